@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality_gam, quality_rules, simhash
+from . import langid, packing, pii, quality_gam, quality_rules, simhash
 from .common import held, table
 
 
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+
+
 def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -17,6 +21,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_gam.fit(docs, labels.where(~held("doc_id", 5, 0)))
@@ -30,8 +38,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_simhash_bktree": op3_simhash_bktree,
     "op4_quality_rules": op4_quality_rules,
+    "op7_packing": op7_packing,
     "op8_quality_gam": op8_quality_gam,
     "op10_langid": op10_langid,
 }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from asofworks.llm import langid, quality_gam, simhash
+from asofworks.llm import langid, packing, pii, quality_gam, simhash
 from asofworks.llm.common import checkpoint, held, table
 
 #: Texts whose best language is less likely than this are rejected, as are those without a letter.
@@ -31,7 +32,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(first, "doc_id", "left_semi")
 
 
-STAGES = [("language ID", language), ("quality classifier", quality), ("SimHash near-dedup", near_duplicates)]
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms for personal data; n_chars follows a text that has changed."""
+    done = pii.pseudonymise(docs, count_out="_pseudonyms")
+    return done.withColumn("n_chars", F.when(F.col("_pseudonyms") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_pseudonyms")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences of the corpus: a row for each piece of a document."""
+    return packing.pack(docs)
+
+
+STAGES = [("language ID", language), ("quality classifier", quality), ("SimHash near-dedup", near_duplicates), ("PII pseudonyms", private), ("best-fit packing", pack)]
 
 ORACLE_SQL = None
 
