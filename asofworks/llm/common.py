@@ -79,8 +79,10 @@ class Texts:
     """A text column's UTF-8 bytes: data, and the start and end of each row's (empty for null)."""
 
     def __init__(self, column: pa.Array):
-        column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+        column = column.cast(pa.large_string()) if pa.types.is_string(column.type) else column
         n = len(column)
+        if pa.types.is_binary(column.type):
+            column = column.cast(pa.large_binary())
         _, offsets, data = column.buffers()
         bounds = np.frombuffer(offsets, np.int64, n + 1, column.offset * 8) if n else np.zeros(1, np.int64)
         self.null = np.asarray(column.is_null())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, quality_gam, quality_rules, simhash
+from . import gif, langid, packing, pieces, pii, quality_gam, quality_rules, simhash
 from .common import held, table
 
 
@@ -21,6 +21,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.store(table(spark, sf_dir, "documents"), keep=["doc_id"], media=False)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(docs, model, keep=["doc_id"]).select("doc_id", held("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = langid.fit(docs.where(~held("doc_id", 4, 2)))
@@ -41,8 +49,10 @@ QUERIES = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_simhash_bktree": op3_simhash_bktree,
     "op4_quality_rules": op4_quality_rules,
+    "op6_gif_media": op6_gif_media,
     "op7_packing": op7_packing,
     "op8_quality_gam": op8_quality_gam,
+    "op9_pieces": op9_pieces,
     "op10_langid": op10_langid,
 }
 
