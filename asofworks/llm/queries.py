@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, langid, packing, pieces, pii, quality_gam, quality_rules, simhash
+from . import gif, html_text, langid, packing, pieces, pii, quality_gam, quality_rules, simhash
 from .common import held, table
 
 
@@ -21,6 +21,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages), keep=["page_id", "url"])
+
+
 def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store(table(spark, sf_dir, "documents"), keep=["doc_id"], media=False)
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_simhash_bktree": op3_simhash_bktree,
     "op4_quality_rules": op4_quality_rules,
+    "op5_html_text": op5_html_text,
     "op6_gif_media": op6_gif_media,
     "op7_packing": op7_packing,
     "op8_quality_gam": op8_quality_gam,
