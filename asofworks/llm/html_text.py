@@ -11,7 +11,7 @@ The potentials are counts from labelled pages: those that mark their article
 (article or main element, or a role of that kind). Inside it is content,
 except elements that the markup itself names as something else. Marks of the
 article are hidden from half of the pages' counts, so that pages without them
-are told by the rest. Fixed pseudo-counts stand in for markup that the
+are told by the rest. Fixed odds stand in for markup that the
 labelled pages do not show.
 
 Defined results: a null or empty page has an empty text; a page without any
@@ -47,6 +47,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 # Words of class, id and role names.
 NOT_CONTENT = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer contentinfo sidebar aside complementary rail widget comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices alert warning popup modal overlay dialog newsletter subscribe subscription signup login register form search share sharing social related recommended recommendations more pagination pager toolbar skip copyright legal disclaimer tags metadata byline hidden".split())
 CONTENT = frozenset("article articlebody content main post entry story body text maincontent prose".split())
+NAMES_ARTICLE = frozenset(("article", "main"))
 NAMES_OTHER = frozenset("nav header footer aside form menu search dialog".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -191,22 +192,26 @@ def labels(nodes: list[Node]) -> list[int] | None:
     return out
 
 
-# Fixed pseudo-counts (structure, content, boilerplate), for what labelled pages may not show.
+# Fixed odds (structure, content, boilerplate), for what labelled pages may not show.
 PRIOR = {
     **{("tag", f"{t} {k}"): (0.1, 0.1, 40.0) for t in NAMES_OTHER for k in ("plain", "links")},
-    **{("tag", f"{t} plain"): (1.0, 12.0, 6.0) for t in "article main p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split()},
+    **{("tag", f"{t} {k}"): (1.0, 60.0, 0.5) for t in NAMES_ARTICLE for k in ("plain", "links")},
+    **{("tag", f"{t} plain"): (0.5, 12.0, 2.0) for t in "p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split()},
     **{("tag", f"{t} plain"): (1.0, 4.0, 4.0) for t in "ul ol li dl dd dt table tbody tr td th hgroup details summary".split()},
     **{("tag", f"{t} plain"): (8.0, 4.0, 4.0) for t in ("div", "section", "center", "body")},
     **{("tag", f"{t} links"): (1.0, 1.0, 20.0) for t in "div section li ul ol dl dd dt table tbody tr td th p".split()},
     ("hint", "-1"): (0.2, 0.2, 60.0),
     ("hint", "1"): (4.0, 20.0, 1.0),
 }
-EDGE_PRIOR = ((10.0, 3.0, 10.0), (0.01, 60.0, 3.0), (0.05, 0.05, 60.0))
+#: Nodes with a feature value after which what labelled pages show gets half of the trust that it can get.
+TRUST = 50
+MOST_TRUST = 0.7
+EDGE_PRIOR = ((15.0, 5.0, 10.0), (0.01, 60.0, 15.0), (0.005, 0.005, 60.0))
 #: Labelled pages weigh no more than this against an edge's pseudo-counts: pages of one make must not rule out others.
 MOST_EDGES = 100
 ROOT = (0.9, 0.095, 0.005)
 #: How far a feature may tell states apart, in logarithms, so that none decides alone: names of other parts may more.
-MOST_ODDS = {"tag": 3.0, "size": 1.0, "hint": 7.0}
+MOST_ODDS = {"tag": 3.0, "size": 0.5, "hint": 7.0}
 MOST_BY_NAME = 6.0
 
 
@@ -221,22 +226,19 @@ class TreeModel:
     def of(cls, counts: Counter) -> TreeModel:
         """From counts of ("f", name, value, state) and ("e", parent state, child state)."""
         seen: dict[tuple[str, str], list[float]] = {}
+        total = Counter()
         for key, n in counts.items():
             if key[0] == "f":
-                seen.setdefault((key[1], key[2]), [0.5] * 3)[int(key[3])] += n
-        for k, own in PRIOR.items():
-            now = seen.setdefault(k, [0.5] * 3)
-            for s in range(3):
-                now[s] += own[s]
-        total = Counter()
-        for (name, _), own in seen.items():
-            for s in range(3):
-                total[name, s] += own[s]
+                seen.setdefault((key[1], key[2]), [0.0] * 3)[int(key[3])] += n
+                total[key[1], int(key[3])] += n
         weight = {}
-        for (name, value), own in seen.items():
-            logs = [math.log(own[s] / total[name, s]) for s in range(3)]
-            most = MOST_BY_NAME if name == "tag" and value.split()[0] in NAMES_OTHER else MOST_ODDS[name]
-            weight[name, value] = tuple(math.exp(max(-most, v - max(logs))) for v in logs)
+        for name, value in seen.keys() | PRIOR.keys():
+            own, prior = seen.get((name, value), [0.0] * 3), PRIOR.get((name, value), (1.0, 1.0, 1.0))
+            share = [own[s] / max(1, total[name, s]) for s in range(3)]
+            trust = MOST_TRUST * sum(own) / (sum(own) + TRUST)
+            mixed = [trust * share[s] / (max(share) or 1) + (1 - trust) * prior[s] / max(prior) for s in range(3)]
+            most = MOST_BY_NAME if name == "tag" and value.split()[0] in NAMES_OTHER | NAMES_ARTICLE else MOST_ODDS[name]
+            weight[name, value] = tuple(max(math.exp(-most), v / max(mixed)) for v in mixed)
         edge = []
         for s in range(3):
             seen_edges = [counts.get(("e", str(s), str(t)), 0) for t in range(3)]
