@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, html_text, langid, packing, pieces, pii, quality_gam, quality_rules, simhash
+from . import gif, html_text, langid, lm_mixing, packing, pieces, pii, quality_gam, quality_rules, simhash
 from .common import held, table
 
 
+def op1_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_mixing.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
 
@@ -51,6 +55,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_mixing": op1_lm_mixing,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_simhash_bktree": op3_simhash_bktree,
     "op4_quality_rules": op4_quality_rules,
