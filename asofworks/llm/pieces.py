@@ -41,11 +41,13 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 from .common import Texts, annotate, checkpoint, pieces
 
 MARK = "▁"
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 FAN = 64
 #: A run of marks and what follows; the first may lack the marks.
 WORD = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 NEVER = -(1 << 60)
+#: Longer words are solved one by one, not remembered.
+LONG_WORD = 48
 
 
 @dataclass
@@ -79,10 +81,40 @@ class Vocabulary:
         return cls(ids, scores, bytes_, text_of, max(map(len, ids)), min(scores.values()) - 10_000_000)
 
 
+#: Substring hashes: sums of character codes times powers of an odd number, brought to a common power and mixed.
+ODD = 0x9E3779B97F4A7C15
+_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def powers(n: int, which: str) -> np.ndarray:
+    if len(_powers[which]) < n:
+        step = np.uint64(ODD if which == "up" else pow(ODD, -1, 1 << 64))
+        with np.errstate(over="ignore"):
+            _powers[which] = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 16), step)]))
+    return _powers[which][:n]
+
+
+def running(codes: np.ndarray) -> np.ndarray:
+    return np.cumsum((codes + np.uint64(1)) * powers(len(codes), "up"), dtype=np.uint64)
+
+
+def mixed(total: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hash of substrings from their differences of running sums and their first places."""
+    h = total * powers(int(at.max()) + 1 if len(at) else 1, "down")[at]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def hash_of(piece: str) -> int:
+    codes = np.frombuffer(piece.encode("utf-32-le"), "<u4").astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return int(mixed(running(codes)[-1:], np.zeros(1, np.int64))[0])
+
+
 class Solver:
     """Best cuts of character strings; remembers words."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 500_000):
         self.v, self.most, self.known = vocabulary, most_words, {}
         # a tree of characters: each node is its children and its score (None: no piece ends here)
         nested: dict = {}
@@ -93,6 +125,97 @@ class Solver:
             at[""] = score
         frozen = lambda node: ({c: frozen(x) for c, x in node.items() if c}, node.get(""))
         self.tree = frozen(nested)[0]
+        self.score_of = np.zeros(len(vocabulary.text_of), np.int64)
+        by_length: dict[int, list[tuple[int, int, int]]] = {}
+        for piece, i in vocabulary.ids.items():
+            self.score_of[i] = vocabulary.scores[piece]
+            by_length.setdefault(len(piece), []).append((hash_of(piece), i, vocabulary.scores[piece]))
+        self.is_byte, self.byte_of = np.zeros(len(self.score_of), bool), np.zeros(len(self.score_of), np.uint8)
+        self.is_byte[vocabulary.byte_ids] = True
+        self.byte_of[vocabulary.byte_ids] = np.arange(256)
+        # for each length: sorted hashes of its pieces, their ids and scores, and a bit for each beginning of a hash
+        self.pieces = {}
+        for n, rows in by_length.items():
+            rows.sort()
+            hashes = np.array([r[0] for r in rows], np.uint64)
+            if len(set(hashes.tolist())) != len(rows):
+                raise ValueError("two pieces share a hash")
+            there = np.zeros(1 << 18, bool)
+            there[(hashes >> np.uint64(46)).astype(np.int64)] = True
+            self.pieces[n] = hashes, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), there
+
+    def learn(self, words: list[str]) -> None:
+        """Solves many words at once: all substrings are looked up by rolling hashes, and sums grow from place to place over all words."""
+        if len(self.known) + len(words) > self.most:
+            self.known.clear()
+        for at in range(0, len(words), 20_000):
+            self.solve(words[at : at + 20_000])
+
+    def solve(self, words: list[str]) -> None:
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size)
+        start = end - size
+        n = len(codes)
+        left = np.repeat(end, size) - np.arange(n)  # characters to the word's end
+        inside = np.arange(n) - np.repeat(start, size)
+        # places: word w has size + 1 of them, from start[w] + w on
+        node = np.arange(n) + np.repeat(np.arange(len(words)), size)
+        total = n + len(words)
+        best, back, which = np.full(total, NEVER, np.int64), np.full(total, -1, np.int64), np.full(total, -1, np.int64)
+        best[start + np.arange(len(words))] = 0
+        with np.errstate(over="ignore"):
+            rolled = np.concatenate([np.zeros(1, np.uint64), running(codes)])
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]] = []
+            single = np.zeros(n, bool)
+            for length in sorted(self.pieces, reverse=True):
+                hashes, ids, scores, there = self.pieces[length]
+                at = np.flatnonzero(left >= length)
+                h = mixed(rolled[at + length] - rolled[at], at)
+                at, h = (x[there[(h >> np.uint64(46)).astype(np.int64)]] for x in (at, h)) if len(at) else (at, h)
+                k = np.searchsorted(hashes, h)
+                k[k == len(hashes)] = 0
+                hit = hashes[k] == h
+                at, k = at[hit], k[hit]
+                if length == 1:
+                    single[at] = True
+                found.append((at, ids[k], scores[k], inside[at] + length, length))
+        alone = np.flatnonzero(~single)
+        found.append((alone, np.full(len(alone), -1), np.full(len(alone), self.v.unknown), inside[alone] + 1, 1))
+        ordered = []
+        for at, ids, scores, stop, length in found:
+            order = np.argsort(stop, kind="stable")
+            ordered.append((at[order], ids[order], scores[order], np.searchsorted(stop[order], np.arange(int(size.max()) + 2)), length))
+        for e in range(1, int(size.max()) + 1):
+            for at, ids, scores, border, length in ordered:
+                a, b = border[e], border[e + 1]
+                if a == b:
+                    continue
+                frm = node[at[a:b]]
+                to = frm + length
+                value = best[frm] + scores[a:b]
+                better = value > best[to]
+                to = to[better]
+                best[to], back[to], which[to] = value[better], frm[better], ids[a:b][better]
+        # backwards, a piece a step for all words
+        now = end + np.arange(len(words))
+        first = start + np.arange(len(words))
+        steps, owners = [], []
+        active = np.arange(len(words))
+        while len(active):
+            steps.append(np.stack([which[now[active]], back[now[active]]]))
+            owners.append(active)
+            now[active] = back[now[active]]
+            active = active[now[active] > first[active]]
+        owner, step = np.concatenate(owners), np.concatenate([np.full(len(o), k) for k, o in enumerate(owners)])
+        found_ids, places = np.concatenate(steps, axis=1)
+        order = np.lexsort((-step, owner))
+        owner, ids, places = owner[order], found_ids[order], places[order]
+        raw = ids.astype("<u4").tobytes()
+        border = np.searchsorted(owner, np.arange(len(words) + 1)) * 4
+        odd = set(owner[ids < 0].tolist())
+        for w, (word, a, b) in enumerate(zip(words, border[:-1].tolist(), border[1:].tolist(), strict=True)):
+            self.known[word] = raw[a:b] if w not in odd else self.slow(word)
 
     def forward(self, text: str, begin: int, end: int, beyond: int = 0) -> tuple[list[int], list[int]]:
         """Best sums from begin to each place up to end + beyond over cuts before end, and the last piece's start for each."""
@@ -137,19 +260,35 @@ class Solver:
         out.reverse()
         return array("I", out).tobytes()
 
-    def word(self, word: str) -> tuple[int, bytes]:
-        if (found := self.known.get(word)) is None:
-            best, back = self.forward(word, 0, len(word))
-            found = best[-1], self.ids_of(word, 0, back, len(word))
-            if len(word) < 64:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+    def slow(self, word: str) -> bytes:
+        _, back = self.forward(word, 0, len(word))
+        return self.ids_of(word, 0, back, len(word))
+
+    def many(self, marked: list[str]) -> list[bytes]:
+        """The ids of whole texts; their words are looked up or learned together."""
+        cut = [WORD.findall(t) if MARK + MARK in t or t[:1] != MARK else [MARK + w for w in t[1:].split(MARK)] if t else [] for t in marked]
+        new = set().union(*cut) - self.known.keys()
+        long = {w for w in new if len(w) > LONG_WORD}
+        own = {w: self.slow(w) for w in long}
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = set().union(*cut)
+        self.learn(list(new - long))
+        get = (self.known | own).__getitem__ if own else self.known.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
     def whole(self, marked: str) -> tuple[int, bytes]:
-        found = [self.word(w) for w in WORD.findall(marked)]
-        return sum(s for s, _ in found), b"".join(i for _, i in found)
+        ids = self.many([marked])[0] if marked else b""
+        return self.score(ids, marked), ids
+
+    def score(self, ids: bytes, marked: str) -> int:
+        """The sum of scores of ids; a character written as bytes counts once."""
+        own = np.frombuffer(ids, "<u4")
+        total = int(self.score_of[own].sum())
+        spelled = own[self.is_byte[own]]
+        if len(spelled):  # UTF-8's first bytes are those that do not continue a character
+            total += self.v.unknown * int(((self.byte_of[spelled] & 0xC0) != 0x80).sum())
+        return total
 
     def cuts(self, text: str, size: int, before: str) -> list[int]:
         """Places in a chunk where a piece must begin."""
@@ -230,39 +369,43 @@ def solver(path: str | None) -> Solver:
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """id, ids (token ids as little-endian unsigned 32-bit bytes) and score (in millionths) of every row."""
     kind = df.schema[id_col].dataType.simpleString()
+    source = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("text"))
+    is_giant = F.coalesce(F.length("text") >= chunk, F.lit(False))  # with the mark before it, more than a chunk
+
+    def start_small():
+        own = solver(path)
+
+        def f(b: pa.RecordBatch) -> list:
+            marked = [MARK + t.replace(" ", MARK) if t else "" for t in Texts(b.column("text")).strings()]
+            ids = own.many(marked)
+            return [pa.array(ids, pa.binary()), pa.array([own.score(i, m) for i, m in zip(ids, marked, strict=True)], pa.int64())]
+
+        return f
+
+    small = annotate(source.where(~is_giant), [StructField("ids", BinaryType()), StructField("score", LongType())], start_small, ["text"], [id_col])
 
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own, part, n = solver(path), TaskContext.get().partitionId(), 0
         beyond = own.v.longest - 1
         for whole in batches:
-            for b in pieces(whole, text_col):
-                rows = {k: [] for k in ("row", "chunk", "chunks", "ids", "score", "text", "before", "matrix")}
-                at = []
-                for i, text in enumerate(Texts(b.column(text_col)).strings()):
-                    marked = MARK + text.replace(" ", MARK) if text else ""
-                    count = max(1, -(-len(marked) // chunk))
+            for b in pieces(whole, "text"):
+                rows, at = [], []
+                for i, text in enumerate(Texts(b.column("text")).strings()):
+                    marked = MARK + text.replace(" ", MARK)
+                    count = -(-len(marked) // chunk)
                     for c in range(count):
+                        piece, before = marked[c * chunk : (c + 1) * chunk + beyond], marked[c * chunk - 1] if c else ""
+                        rows.append(((part << 40) + n, c, count, piece, before, own.matrix(piece, min(chunk, len(marked) - c * chunk), before).tobytes()))
                         at.append(i)
-                        values = [(part << 40) + n, c, count, None, None, None, None, None]
-                        if count == 1:
-                            values[4], values[3] = own.whole(marked)
-                        else:
-                            piece = marked[c * chunk : (c + 1) * chunk + beyond]
-                            size = min(chunk, len(marked) - c * chunk)
-                            values[5], values[6] = piece, marked[c * chunk - 1] if c else ""
-                            values[7] = own.matrix(piece, size, values[6]).tobytes()
-                        for k, v in zip(rows, values, strict=True):
-                            rows[k].append(v)
                     n += 1
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array(at, pa.int64())), *(pa.array(v, t) for v, t in zip(rows.values(), types, strict=True))], [id_col, *rows])
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary()]
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array(at, pa.int64())), *columns], [id_col, "row", "chunk", "chunks", "text", "before", "matrix"])
 
-    source = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    found = checkpoint(source.mapInArrow(first_pass, f"`{id_col}` {kind}, row long, chunk int, chunks int, ids binary, score long, text string, before string, matrix binary"))
-    small = found.where("chunks = 1").select(id_col, "ids", "score")
-    giant = found.where("chunks > 1").withColumn("block", F.floor(F.col("chunk") / FAN).cast("int"))
+    # the chunks of giant texts are written once: their rows' numbers must not change
+    giant = checkpoint(source.where(is_giant).mapInArrow(cut, f"`{id_col}` {kind}, row long, chunk int, chunks int, text string, before string, matrix binary")).withColumn("block", F.floor(F.col("chunk") / FAN).cast("int"))
 
     def block_matrix(pdf):
         pdf = pdf.sort_values("chunk")
@@ -301,7 +444,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
         return f
 
-    solved = annotate(giant.drop("ids", "score", "matrix", "block").join(states, ["row", "chunk"]), [StructField("ids", BinaryType())], start, ["text", "before", "entry", "leave", "chunk", "chunks"], [id_col, "row", "chunk", "score"])
+    solved = annotate(giant.drop("matrix", "block").join(states, ["row", "chunk"]), [StructField("ids", BinaryType())], start, ["text", "before", "entry", "leave", "chunk", "chunks"], [id_col, "row", "chunk", "score"])
 
     def join_ids(pdf):
         pdf = pdf.sort_values("chunk")
