@@ -31,7 +31,7 @@ def trades(spark: SparkSession, d: str) -> DataFrame:
 
 def market(spark: SparkSession, d: str) -> DataFrame:
     """(symbol, sector, date, close, oi, rate)"""
-    return trades(spark, d).groupBy("symbol", "sector", "date").agg(F.round(F.avg("o_totalprice"), 2).alias("close"), F.round(F.sum("o_totalprice"), 2).alias("oi"), F.round(F.avg(F.col("urgent").cast("double")) / 10, 6).alias("rate"))
+    return trades(spark, d).groupBy("symbol", "sector", "date").agg(F.round(F.avg("o_totalprice"), 6).alias("close"), F.round(F.sum("o_totalprice"), 2).alias("oi"), F.round(F.avg(F.col("urgent").cast("double")) / 10, 6).alias("rate"))
 
 
 def sectors(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,7 @@ def dispersion(spark: SparkSession, d: str) -> DataFrame:
 # The same tables in DuckDB's SQL, as common table expressions: each needs those named after it.
 PARTS: dict[str, tuple[str, str]] = {
     "trades": ("", "SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS date, substr(o_orderpriority, 1, 1) IN ('1', '2') AS urgent, c_mktsegment AS member, n_name AS symbol, r_name AS sector FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
-    "market": ("trades", "SELECT symbol, sector, date, round(avg(o_totalprice), 2) AS close, round(sum(o_totalprice), 2) AS oi, round(avg(CAST(urgent AS DOUBLE)) / 10, 6) AS rate FROM trades GROUP BY ALL"),
+    "market": ("trades", "SELECT symbol, sector, date, round(avg(o_totalprice), 6) AS close, round(sum(o_totalprice), 2) AS oi, round(avg(CAST(urgent AS DOUBLE)) / 10, 6) AS rate FROM trades GROUP BY ALL"),
     "sectors": ("", "SELECT n_name AS symbol, r_name AS sector FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "months": ("", "SELECT as_of FROM (SELECT last_day(CAST(unnest(generate_series(CAST(date_trunc('month', a) AS TIMESTAMP), CAST(date_trunc('month', b) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE)) AS as_of, a, b FROM (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders)) WHERE as_of BETWEEN a AND b"),
     "numbered": ("months", "SELECT as_of, row_number() OVER (ORDER BY as_of) AS p FROM months"),

@@ -94,7 +94,7 @@ def forward_return(spark, d):
 
 
 TRAILING = "SELECT b.symbol, p.as_of, p.days, CASE WHEN a.close <> 0 AND b.close <> 0 THEN b.close / a.close - 1 END AS ret FROM probes p JOIN at_days b ON b.t = p.as_of JOIN at_days a ON a.t = p.start AND a.symbol = b.symbol"
-WITH_TRAILING = "probes AS (SELECT as_of, days, CAST(as_of - CAST(days AS INTEGER) AS DATE) AS start FROM months CROSS JOIN (SELECT unnest([7, 30, 91, 182, 365, 730]) AS days)), at_days AS (SELECT symbol, t, max_by(close, date) AS close FROM market JOIN (SELECT as_of AS t FROM probes UNION SELECT start FROM probes) ON date <= t GROUP BY ALL), trailing AS (" + TRAILING + ")"
+WITH_TRAILING = "probes AS (SELECT as_of, days, CAST(as_of - CAST(days AS INTEGER) AS DATE) AS start FROM months CROSS JOIN (SELECT unnest([7, 30, 91, 182, 365, 730]) AS days)), at_days AS (SELECT symbol, t, max_by(close, date) AS close FROM market JOIN (SELECT as_of AS t FROM probes UNION SELECT start FROM probes) ON date <= t GROUP BY ALL), trail AS (" + TRAILING + ")"
 
 
 def with_trailing(query_: str, *needs: str) -> str:
@@ -106,22 +106,22 @@ def trailing(spark, d, horizons=(7, 30, 91, 182, 365, 730)):
     return asof.trailing_returns(D.prices(spark, d), D.months(spark, d), horizons)
 
 
-@query(with_trailing("SELECT symbol, as_of, days, round(ret, 6) AS ret FROM trailing"))
+@query(with_trailing("SELECT symbol, as_of, days, round(ret, 6) AS ret FROM trail"))
 def trailing_return_horizons(spark, d):
     return rounded(trailing(spark, d), "ret")
 
 
-@query(with_trailing(f"SELECT t.symbol, as_of, days, round(t.ret - b.ret, 6) AS rel FROM trailing t JOIN (SELECT as_of, days, ret FROM trailing WHERE symbol = '{HEDGE}') b USING (as_of, days)"))
+@query(with_trailing(f"SELECT t.symbol, as_of, days, round(t.ret - b.ret, 6) AS rel FROM trail t JOIN (SELECT as_of, days, ret FROM trail WHERE symbol = '{HEDGE}') b USING (as_of, days)"))
 def relative_momentum(spark, d):
     return rounded(returns.relative_momentum(trailing(spark, d), HEDGE), "rel")
 
 
-@query(with_trailing(f"SELECT as_of, CASE WHEN ret > 0.15 THEN 'bull' WHEN ret < -0.10 THEN 'bear' ELSE 'sideways' END AS regime FROM trailing WHERE symbol = '{HEDGE}' AND days = 91"))
+@query(with_trailing(f"SELECT as_of, CASE WHEN ret > 0.15 THEN 'bull' WHEN ret < -0.10 THEN 'bear' ELSE 'sideways' END AS regime FROM trail WHERE symbol = '{HEDGE}' AND days = 91"))
 def regime_tags(spark, d):
     return returns.regime(trailing(spark, d, (91,)), HEDGE)
 
 
-GATES = "SELECT symbol, as_of, max(CASE WHEN days = 30 THEN ret END) AS r1, max(CASE WHEN days = 91 THEN ret END) AS r3 FROM trailing WHERE days IN (30, 91) GROUP BY ALL"
+GATES = "SELECT symbol, as_of, max(CASE WHEN days = 30 THEN ret END) AS r1, max(CASE WHEN days = 91 THEN ret END) AS r3 FROM trail WHERE days IN (30, 91) GROUP BY ALL"
 
 
 @query(with_trailing(f"SELECT symbol, as_of, coalesce(r1 >= 0.10, false) AS absolute, coalesce(r1 >= 0 AND r3 >= 0, false) AS dual FROM ({GATES})"))
@@ -136,7 +136,7 @@ def basket_forward_return(spark, d):
     return rounded(returns.basket_returns(D.baskets(spark, d), D.monthly(spark, d)), "ret")
 
 
-@query(with_trailing("SELECT sector, as_of, days, round(avg(ret), 6) AS ret, count(ret) AS n FROM baskets JOIN trailing USING (symbol, as_of) GROUP BY ALL", "baskets"))
+@query(with_trailing("SELECT sector, as_of, days, round(avg(ret), 6) AS ret, count(ret) AS n FROM baskets JOIN trail USING (symbol, as_of) GROUP BY ALL", "baskets"))
 def basket_trailing_return(spark, d):
     own = D.baskets(spark, d).join(trailing(spark, d), ["symbol", "as_of"])
     return rounded(own.groupBy("sector", "as_of", "days").agg(F.avg("ret").alias("ret"), F.count("ret").alias("n")), "ret")
@@ -242,7 +242,7 @@ def zscore_blend(spark, d):
     return rounded(consensus.blend(a, b, 0.5), "score")
 
 
-@query(sql("SELECT as_of, item FROM (SELECT *, max(kept) OVER (PARTITION BY as_of) AS some FROM (SELECT n.as_of, item, CASE WHEN lag(p) OVER (PARTITION BY item ORDER BY p) = p - 1 THEN 1 ELSE 0 END AS kept FROM items JOIN numbered n USING (as_of) WHERE stance_sign > 0)) WHERE kept = 1 OR some = 0", "items", "numbered"))
+@query(sql("SELECT as_of, item FROM (SELECT *, max(kept) OVER (PARTITION BY as_of) AS any_kept FROM (SELECT n.as_of, item, CASE WHEN lag(p) OVER (PARTITION BY item ORDER BY p) = p - 1 THEN 1 ELSE 0 END AS kept FROM items JOIN numbered n USING (as_of) WHERE stance_sign > 0)) WHERE kept = 1 OR any_kept = 0", "items", "numbered"))
 def persistence_filter(spark, d):
     return lifecycle.persistent(D.items(spark, d).where("stance_sign > 0"), D.months(spark, d))
 
@@ -466,7 +466,7 @@ def jackknife_sharpe(spark, d):
     return rounded(metrics.jackknife_sharpe(walked(spark, d)), "sharpe", digits=5)
 
 
-@query(f"{walk_sql(SECTOR_LS, 'sized', 'months', tail='').rstrip()}, {WITH_TRAILING} SELECT regime, round(avg(ret), 6) AS mean_ret, count(*) AS n, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM walked JOIN (SELECT as_of, CASE WHEN ret > 0.15 THEN 'bull' WHEN ret < -0.10 THEN 'bear' ELSE 'sideways' END AS regime FROM trailing WHERE symbol = '{HEDGE}' AND days = 91) USING (as_of) GROUP BY regime")
+@query(f"{walk_sql(SECTOR_LS, 'sized', 'months', tail='').rstrip()}, {WITH_TRAILING} SELECT regime, round(avg(ret), 6) AS mean_ret, count(*) AS n, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM walked JOIN (SELECT as_of, CASE WHEN ret > 0.15 THEN 'bull' WHEN ret < -0.10 THEN 'bear' ELSE 'sideways' END AS regime FROM trail WHERE symbol = '{HEDGE}' AND days = 91) USING (as_of) GROUP BY regime")
 def regime_stats(spark, d):
     own = metrics.by_regime(walked(spark, d), returns.regime(trailing(spark, d, (91,)), HEDGE))
     return rounded(own, "mean_ret", "win_rate")
@@ -540,10 +540,10 @@ def walk_forward_selection(spark, d):
 
 
 ROTATION = f"""{sql('', 'baskets', 'monthly', 'live', 'months', 'sized', 'market', 'betas').rstrip()}, {WITH_TRAILING},
-rel AS (SELECT sector, as_of, days, avg(ret) - any_value(h) AS rel FROM baskets JOIN trailing USING (symbol, as_of) JOIN (SELECT as_of, days, ret AS h FROM trailing WHERE symbol = '{HEDGE}') USING (as_of, days) WHERE days IN (30, 91) GROUP BY sector, as_of, days),
+rel AS (SELECT sector, as_of, days, avg(ret) - any_value(h) AS rel FROM baskets JOIN trail USING (symbol, as_of) JOIN (SELECT as_of, days, ret AS h FROM trail WHERE symbol = '{HEDGE}') USING (as_of, days) WHERE days IN (30, 91) GROUP BY sector, as_of, days),
 fit AS (SELECT b.as_of, b.sector, row_number() OVER (PARTITION BY b.as_of ORDER BY conviction DESC, b.sector) AS rank FROM ({BULLISH}) b JOIN rel x ON x.sector = b.sector AND x.as_of = b.as_of AND x.days = 30 AND x.rel >= 0 JOIN rel y ON y.sector = b.sector AND y.as_of = b.as_of AND y.days = 91 AND y.rel >= 0),
 chosen AS ({finalize_sql("SELECT as_of, symbol, 1.0 / members AS w FROM fit JOIN sized USING (sector, as_of) WHERE rank <= 3")}),
-falling AS (SELECT as_of FROM trailing WHERE symbol = '{HEDGE}' AND days = 91 AND ret < -0.10),
+falling AS (SELECT as_of FROM trail WHERE symbol = '{HEDGE}' AND days = 91 AND ret < -0.10),
 book AS ({hedged_sql("SELECT * FROM chosen WHERE as_of IN (SELECT as_of FROM falling)")} UNION ALL SELECT * FROM chosen WHERE as_of NOT IN (SELECT as_of FROM falling) UNION ALL SELECT as_of, '{HEDGE}', 1.0 FROM months WHERE as_of NOT IN (SELECT as_of FROM chosen))"""
 
 
@@ -614,7 +614,7 @@ def ic_pvalue(spark, d):
     return stats.ic_ttest(stats.period_ic(evaluation(spark, d), "signal", "ret"))
 
 
-CONTROL = "SELECT e.as_of, e.signal AS s, e.ret, t.ret AS x FROM eval e JOIN trailing t ON t.symbol = e.item AND t.as_of = e.as_of AND t.days = 91 WHERE t.ret IS NOT NULL"
+CONTROL = "SELECT e.as_of, e.signal AS s, e.ret, t.ret AS x FROM eval e JOIN trail t ON t.symbol = e.item AND t.as_of = e.as_of AND t.days = 91 WHERE t.ret IS NOT NULL"
 
 
 @query(f"{sql('', 'live', 'monthly', 'baskets', 'market', 'months').rstrip()}, {BASKET_RET}, {EVAL}, {WITH_TRAILING}, controlled AS ({CONTROL}), resid AS (SELECT c.as_of, c.ret, round(s - my - coalesce(k, 0) * (x - mx), 9) AS signal FROM controlled c JOIN (SELECT as_of, CASE WHEN regr_sxx(s, x) > 0 THEN regr_slope(s, x) END AS k, avg(s) AS my, avg(x) AS mx FROM controlled GROUP BY as_of) USING (as_of)), {RANKS.format(p='as_of', q='as_of,', t='resid')}, {PERIOD} SELECT as_of, n, round(ic, 6) AS ic FROM ics WHERE ic IS NOT NULL AND NOT isnan(ic)")
