@@ -1,11 +1,13 @@
-"""The library's registered queries, each with DuckDB SQL for the same rows."""
+"""The library's registered queries, each with DuckDB SQL for the same rows where SQL can express it."""
 
 from __future__ import annotations
 
+from . import market_queries, text_queries
+
 
 def queries() -> dict:
-    return {}
+    return market_queries.QUERIES | text_queries.QUERIES
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return market_queries.ORACLES | text_queries.ORACLES
