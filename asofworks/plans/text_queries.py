@@ -27,15 +27,15 @@ def query(oracle: str | None = None):
 
 
 def docs(spark, d):
-    """Documents with a day of their own: 2020-01-01 and doc_id modulo 1500 days."""
-    return table(spark, d, "documents").withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1500).cast("int")))
+    """Documents with a day of their own: 2020-01-01 and doc_id times 37 modulo 1500 days."""
+    return table(spark, d, "documents").withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") * 37 % 1500).cast("int")))
 
 
-DAY = "CAST(DATE '2020-01-01' + CAST(doc_id % 1500 AS INTEGER) AS DATE)"
+DAY = "CAST(DATE '2020-01-01' + CAST(doc_id * 37 % 1500 AS INTEGER) AS DATE)"
 T = "2022-12-31"
 t0 = lambda: F.lit(T).cast("date")
 STRIP = r"trim(regexp_replace(regexp_replace({}, 'https?://\S+', '', 'g'), '@\w+', '', 'g'))"
-NORM = r"trim(regexp_replace(replace(translate(lower({}), '‘’“”–—', '''''""--'), '…', '...'), '\s+', ' ', 'g'))"
+NORM = r"""trim(regexp_replace(replace(translate(lower({}), '‘’“”–—', '''''""--'), '…', '...'), '\s+', ' ', 'g'))"""
 
 
 @query(f"SELECT doc_id, length({STRIP.format('text')}) AS n FROM documents WHERE length({STRIP.format('text')}) >= 50")
