@@ -17,7 +17,7 @@ from pyspark.sql.types import StructField, StructType
 ROOT = Path(__file__).resolve().parents[2]
 
 #: Text bytes that one call of a batch function gets at most (a longer text comes alone).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
