@@ -245,7 +245,7 @@ def post_type(spark, d):
 @query(sql("SELECT symbol, date, close, oi FROM market", "market"))
 def ohlcv_parse(spark, d):
     """Responses with numbers as strings are built for each symbol and month, and parsed and typed again."""
-    bar = F.struct((F.unix_date("date") * 86_400_000).cast("string").alias("time"), F.col("close").cast("string").alias("close"), F.col("oi").cast("string").alias("oi"))
+    bar = F.struct((F.unix_date("date").cast("long") * 86_400_000).cast("string").alias("time"), F.col("close").cast("string").alias("close"), F.col("oi").cast("string").alias("oi"))
     said = D.market(spark, d).groupBy("symbol", F.last_day("date").alias("m")).agg(F.to_json(F.struct(F.lit("0").alias("code"), F.collect_list(bar).alias("data"))).alias("j"))
     bars = said.select("symbol", F.inline(F.from_json("j", "data array<struct<time:string,close:string,oi:string>>")["data"]))
     return bars.select("symbol", F.timestamp_millis(F.col("time").cast("long")).cast("date").alias("date"), F.col("close").cast("double").alias("close"), F.col("oi").cast("double").alias("oi"))
@@ -341,7 +341,7 @@ def replayed_calls(spark, d):
 @query("SELECT doc_id, passage, min(idx) AS idx FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS passage, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents) WHERE idx IN (0, 2, 99) GROUP BY ALL")
 def selected_passages(spark, d):
     p = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "passage")).withColumn("idx", F.col("idx").cast("long"))
-    picks = table(spark, d, "documents").select("doc_id", F.explode(F.array(F.lit(0), F.lit(2), F.lit(99))).cast("long").alias("idx"))
+    picks = table(spark, d, "documents").select("doc_id", F.explode(F.array(*[F.lit(i).cast("long") for i in (0, 2, 99)])).alias("idx"))
     return reconcile.selected(p, picks)
 
 
