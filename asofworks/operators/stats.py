@@ -23,10 +23,10 @@ def average_rank(value: str, by: tuple[str, ...]):
 
 
 def rank_ic(df: DataFrame, signal: str, outcome: str, by: tuple[str, ...] = (), least: int = 5, distinct: int = 2) -> DataFrame:
-    """by, n and ic (Spearman's correlation); null with fewer than `least` rows or `distinct` signal values."""
+    """by, n and ic (Spearman's correlation); null with fewer than `least` rows or `distinct` signal values, or where all outcomes are equal."""
     own = df.where(F.col(signal).isNotNull() & F.col(outcome).isNotNull())
     ranked = own.select(*by, F.col(signal).alias("_s"), average_rank(signal, by).alias("_a"), average_rank(outcome, by).alias("_b"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= least) & (F.countDistinct("_s") >= distinct), F.corr("_a", "_b")).alias("ic"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= least) & (F.countDistinct("_s") >= distinct), F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b"))).alias("ic"))
 
 
 def period_ic(df: DataFrame, signal: str, outcome: str) -> DataFrame:
