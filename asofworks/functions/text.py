@@ -61,8 +61,9 @@ def coerced(value: Column, allowed: tuple[str, ...], default: str) -> Column:
 
 def conviction(value: Column, default: int | None = 50) -> Column:
     """Rounded half to even and held within 0 and 100."""
-    number = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.rint(value.try_cast("double"))))
-    return F.coalesce(number.cast("int"), F.lit(default).cast("int"))
+    number = F.rint(value.try_cast("double"))
+    held = F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), number)))  # greatest and least skip nulls
+    return F.coalesce(held.cast("int"), F.lit(default).cast("int"))
 
 
 def unmasked(value: Column) -> Column:
@@ -118,7 +119,7 @@ def repair(text: str) -> str | None:
             candidate = tail + "".join(reversed(stack))
             try:
                 json.loads(candidate)
-                return candidate
+                return candidate.strip()
             except ValueError:
                 continue
     return None
