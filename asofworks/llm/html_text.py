@@ -200,7 +200,7 @@ PRIOR = {
     **{("tag", f"{t} plain"): (1.0, 4.0, 4.0) for t in "ul ol li dl dd dt table tbody tr td th hgroup details summary".split()},
     **{("tag", f"{t} plain"): (8.0, 4.0, 4.0) for t in ("div", "section", "center", "body")},
     **{("tag", f"{t} links"): (1.0, 1.0, 20.0) for t in "div section li ul ol dl dd dt table tbody tr td th p".split()},
-    ("hint", "-1"): (0.2, 0.2, 60.0),
+    ("hint", "-1"): (0.02, 0.02, 60.0),
     ("hint", "1"): (4.0, 20.0, 1.0),
 }
 #: Nodes with a feature value after which what labelled pages show gets half of the trust that it can get.
@@ -211,8 +211,10 @@ EDGE_PRIOR = ((15.0, 5.0, 10.0), (0.01, 60.0, 15.0), (0.005, 0.005, 60.0))
 MOST_EDGES = 100
 ROOT = (0.9, 0.095, 0.005)
 #: How far a feature may tell states apart, in logarithms, so that none decides alone: names of other parts may more.
-MOST_ODDS = {"tag": 3.0, "size": 0.5, "hint": 7.0}
+MOST_ODDS = {"tag": 3.0, "size": 0.5, "hint": 8.5}
 MOST_BY_NAME = 6.0
+#: Less for article itself: a reader's comment may be one.
+MOST_BY_ARTICLE = 4.5
 
 
 @dataclass
@@ -237,7 +239,8 @@ class TreeModel:
             share = [own[s] / max(1, total[name, s]) for s in range(3)]
             trust = MOST_TRUST * sum(own) / (sum(own) + TRUST)
             mixed = [trust * share[s] / (max(share) or 1) + (1 - trust) * prior[s] / max(prior) for s in range(3)]
-            most = MOST_BY_NAME if name == "tag" and value.split()[0] in NAMES_OTHER | NAMES_ARTICLE else MOST_ODDS[name]
+            tag = value.split()[0] if name == "tag" else ""
+            most = MOST_BY_NAME if tag in NAMES_OTHER else MOST_BY_ARTICLE if tag in NAMES_ARTICLE else MOST_ODDS[name]
             weight[name, value] = tuple(max(math.exp(-most), v / max(mixed)) for v in mixed)
         edge = []
         for s in range(3):
