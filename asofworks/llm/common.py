@@ -16,6 +16,7 @@ from pyspark.sql.types import StructField, StructType
 
 ROOT = Path(__file__).resolve().parents[2]
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Text bytes that one call of a batch function gets at most (a longer text comes alone).
 BATCH_BYTES = 4 << 20
 
@@ -26,8 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Python workers must be able to import this package; ship it where PYTHONPATH does not have it."""
+    """Readies a session: Arrow batches that suit long texts, and this package on the Python workers' path.
+
+    A batch of Spark's default of 10,000 rows holds 30 MB of documents, several
+    times over in JVM and Python; a session's own setting is left alone.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_asofworks_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="asofworks-")
