@@ -17,6 +17,7 @@ from pyspark.sql.types import StructField, StructType
 ROOT = Path(__file__).resolve().parents[2]
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Text bytes that one call of a batch function gets at most (a longer text comes alone).
 BATCH_BYTES = 4 << 20
 
@@ -35,6 +36,8 @@ def ready(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if spark.conf.get(ARROW_ROWS) == "10000":
         spark.conf.set(ARROW_ROWS, "1000")
+    if spark.conf.get(ARROW_BYTES, "").rstrip("b") == str(64 << 20):
+        spark.conf.set(ARROW_BYTES, str(8 << 20))
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_asofworks_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="asofworks-")
