@@ -8,6 +8,8 @@ in a month with many urgent orders, and bearish with few.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,22 @@ HEDGE = "NATION_0"
 FLOOR = 100_000.0
 
 
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(f):
+    """Derived tables that many queries share are small (a row a symbol and day at most) and are persisted once a session and folder."""
+
+    @wraps(f)
+    def get(spark: SparkSession, d: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, d, f.__name__)
+        if key not in _kept:
+            _kept[key] = f(spark, d).persist()
+        return _kept[key]
+
+    return get
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -29,16 +47,19 @@ def trades(spark: SparkSession, d: str) -> DataFrame:
     return o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
 
 
+@kept
 def market(spark: SparkSession, d: str) -> DataFrame:
     """(symbol, sector, date, close, oi, rate)"""
     return trades(spark, d).groupBy("symbol", "sector", "date").agg(F.round(F.avg("o_totalprice"), 6).alias("close"), F.round(F.sum("o_totalprice"), 2).alias("oi"), F.round(F.avg(F.col("urgent").cast("double")) / 10, 6).alias("rate"))
 
 
+@kept
 def sectors(spark: SparkSession, d: str) -> DataFrame:
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"))
 
 
+@kept
 def months(spark: SparkSession, d: str) -> DataFrame:
     return calendar.month_ends(calendar.span(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")), "day"))
 
@@ -47,10 +68,12 @@ def quarters(spark: SparkSession, d: str) -> DataFrame:
     return calendar.quarter_ends(calendar.span(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")), "day"))
 
 
+@kept
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     return calendar.with_next(months(spark, d)).where("next_as_of IS NOT NULL")
 
 
+@kept
 def views(spark: SparkSession, d: str) -> DataFrame:
     """(as_of, member, item, item_type, parent_sector, stance_sign, conviction): tokens and sectors."""
     t = trades(spark, d).withColumn("as_of", F.last_day("date"))
@@ -63,12 +86,14 @@ def views(spark: SparkSession, d: str) -> DataFrame:
     return of("symbol", "token", F.col("sector")).unionByName(of("sector", "sector", F.lit(None).cast("string")))
 
 
+@kept
 def items(spark: SparkSession, d: str) -> DataFrame:
     """(as_of, item, item_type, parent_sector, stance_sign, conviction): the members' sum of signed convictions."""
     v = views(spark, d).groupBy("as_of", "item", "item_type", "parent_sector").agg(F.sum(F.col("stance_sign") * F.col("conviction")).alias("s"), F.sum("conviction").alias("c"), F.count("*").alias("n"))
     return v.select("as_of", "item", "item_type", "parent_sector", F.signum("s").cast("int").alias("stance_sign"), F.floor(F.col("c") / F.col("n")).cast("int").alias("conviction"))
 
 
+@kept
 def panel(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.lifecycle(items(spark, d), months(spark, d))
 
@@ -81,14 +106,17 @@ def prices(spark: SparkSession, d: str) -> DataFrame:
     return market(spark, d).select("symbol", "date", "close")
 
 
+@kept
 def baskets(spark: SparkSession, d: str) -> DataFrame:
     return returns.basket_members(sectors(spark, d), backtest.open_interest(market(spark, d), months(spark, d)), FLOOR)
 
 
+@kept
 def monthly(spark: SparkSession, d: str) -> DataFrame:
     return asof.forward_returns(prices(spark, d), pairs(spark, d))
 
 
+@kept
 def betas(spark: SparkSession, d: str) -> DataFrame:
     """Point-in-time betas of 60 rows."""
     return returns.betas_as_of(returns.rolling_beta(returns.daily_returns(prices(spark, d)), HEDGE, 60), months(spark, d))

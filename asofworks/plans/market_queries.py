@@ -270,7 +270,7 @@ def finalize_sql(raw: str, cap: int | None = None) -> str:
     return f"SELECT as_of, symbol, w / total AS w FROM (SELECT *, sum(abs(w)) OVER (PARTITION BY as_of) AS total FROM ({book})) WHERE total <> 0"
 
 
-def book_sql(book: str, digits: int = 6) -> str:
+def book_sql(book: str, digits: int = 12) -> str:
     return f"SELECT as_of, symbol, round(w, {digits}) AS w FROM ({book})"
 
 
@@ -284,65 +284,65 @@ SECTOR_LS = finalize_sql(SECTOR_RAW.format(1, "<> 0"))
 
 @query(sql(book_sql(SECTOR_LS), "live", "sized"))
 def sector_ls_targets(spark, d):
-    return rounded(portfolio.sector_ls(D.live(spark, d), D.baskets(spark, d)), "w")
+    return rounded(portfolio.sector_ls(D.live(spark, d), D.baskets(spark, d)), "w", digits=12)
 
 
 @query(sql(book_sql(finalize_sql(SECTOR_RAW.format(-1, "<> 0"))), "live", "sized"))
 def sector_fade_targets(spark, d):
-    return rounded(portfolio.sector_ls(D.live(spark, d), D.baskets(spark, d), fade=True), "w")
+    return rounded(portfolio.sector_ls(D.live(spark, d), D.baskets(spark, d), fade=True), "w", digits=12)
 
 
 @query(sql(book_sql(finalize_sql(SECTOR_RAW.format(1, "= 1"))), "live", "sized"))
 def long_only_targets(spark, d):
-    return rounded(portfolio.long_only(D.live(spark, d), D.baskets(spark, d)), "w")
+    return rounded(portfolio.long_only(D.live(spark, d), D.baskets(spark, d)), "w", digits=12)
 
 
 @query(sql(book_sql(finalize_sql(TOKEN_RAW)), "live"))
 def token_ls_targets(spark, d):
-    return rounded(portfolio.token_ls(D.live(spark, d)), "w")
+    return rounded(portfolio.token_ls(D.live(spark, d)), "w", digits=12)
 
 
 @query(sql(book_sql(finalize_sql(INTRA_RAW)), "live", "sized"))
 def intra_sector_targets(spark, d):
-    return rounded(portfolio.intra_sector(D.live(spark, d), D.baskets(spark, d)), "w")
+    return rounded(portfolio.intra_sector(D.live(spark, d), D.baskets(spark, d)), "w", digits=12)
 
 
 @query(sql(book_sql(finalize_sql(VERSUS_RAW)), "live", "baskets"))
 def token_vs_sector_targets(spark, d):
-    return rounded(portfolio.token_vs_sector(D.live(spark, d), D.baskets(spark, d)), "w")
+    return rounded(portfolio.token_vs_sector(D.live(spark, d), D.baskets(spark, d)), "w", digits=12)
 
 
 @query(sql(book_sql(finalize_sql(BOTH_RAW)), "live", "sized"))
 def both_targets(spark, d):
-    return rounded(portfolio.both(D.live(spark, d), D.baskets(spark, d)), "w")
+    return rounded(portfolio.both(D.live(spark, d), D.baskets(spark, d)), "w", digits=12)
 
 
 @query(sql(book_sql(finalize_sql(TOKEN_RAW, 5)), "live"))
 def capped_targets(spark, d):
-    return rounded(portfolio.token_ls(D.live(spark, d), cap=5), "w")
+    return rounded(portfolio.token_ls(D.live(spark, d), cap=5), "w", digits=12)
 
 
 def hedged_sql(book: str, target: str = "0") -> str:
     return f"SELECT as_of, symbol, sum(w) AS w FROM (SELECT as_of, symbol, w FROM ({book}) UNION ALL SELECT as_of, '{HEDGE}', {target} - coalesce(sum(CASE WHEN symbol <> '{HEDGE}' THEN w * coalesce(beta, 1) END), 0) FROM ({book}) LEFT JOIN betas USING (symbol, as_of) GROUP BY as_of) GROUP BY ALL HAVING symbol <> '{HEDGE}' OR abs(sum(w)) >= 1e-12"
 
 
-@query(sql(book_sql(hedged_sql(SECTOR_LS), 5), "live", "sized", "betas"))
+@query(sql(book_sql(hedged_sql(SECTOR_LS), 11), "live", "sized", "betas"))
 def beta_neutral_book(spark, d):
-    return rounded(portfolio.hedge_to(portfolio.sector_ls(D.live(spark, d), D.baskets(spark, d)), D.betas(spark, d), HEDGE), "w", digits=5)
+    return rounded(portfolio.hedge_to(portfolio.sector_ls(D.live(spark, d), D.baskets(spark, d)), D.betas(spark, d), HEDGE), "w", digits=11)
 
 
-@query(sql(book_sql(hedged_sql(SECTOR_LS, "0.5"), 5), "live", "sized", "betas"))
+@query(sql(book_sql(hedged_sql(SECTOR_LS, "0.5"), 11), "live", "sized", "betas"))
 def target_beta_book(spark, d):
-    return rounded(portfolio.hedge_to(portfolio.sector_ls(D.live(spark, d), D.baskets(spark, d)), D.betas(spark, d), HEDGE, 0.5), "w", digits=5)
+    return rounded(portfolio.hedge_to(portfolio.sector_ls(D.live(spark, d), D.baskets(spark, d)), D.betas(spark, d), HEDGE, 0.5), "w", digits=11)
 
 
 AUM = 50_000_000.0
 
 
-@query(sql(f"SELECT as_of, symbol, round(sum(w), 6) AS w FROM (WITH b AS (SELECT as_of, symbol, w, CASE WHEN symbol = '{HEDGE}' THEN w ELSE sign(w) * least(abs(w), 5 * 0.05 * coalesce(oi, 0) / {AUM}) END AS c FROM ({finalize_sql(TOKEN_RAW)}) LEFT JOIN ois USING (symbol, as_of)) SELECT as_of, symbol, c AS w FROM b UNION ALL SELECT as_of, '{HEDGE}', sum(abs(w) - abs(c)) FROM b GROUP BY as_of HAVING sum(abs(w) - abs(c)) > 1e-9) GROUP BY ALL", "live", "ois"))
+@query(sql(f"SELECT as_of, symbol, round(sum(w), 12) AS w FROM (WITH b AS (SELECT as_of, symbol, w, CASE WHEN symbol = '{HEDGE}' THEN w ELSE sign(w) * least(abs(w), 5 * 0.05 * coalesce(oi, 0) / {AUM}) END AS c FROM ({finalize_sql(TOKEN_RAW)}) LEFT JOIN ois USING (symbol, as_of)) SELECT as_of, symbol, c AS w FROM b UNION ALL SELECT as_of, '{HEDGE}', sum(abs(w) - abs(c)) FROM b GROUP BY as_of HAVING sum(abs(w) - abs(c)) > 1e-9) GROUP BY ALL", "live", "ois"))
 def capacity_capped_book(spark, d):
     oi = backtest.open_interest(D.market(spark, d), D.months(spark, d))
-    return rounded(portfolio.capacity(portfolio.token_ls(D.live(spark, d)), oi, HEDGE, AUM), "w")
+    return rounded(portfolio.capacity(portfolio.token_ls(D.live(spark, d)), oi, HEDGE, AUM), "w", digits=12)
 
 
 def bullish(spark, d):
@@ -360,19 +360,19 @@ def top_sectors(spark, d):
 
 @query(sql(book_sql(finalize_sql(f"SELECT as_of, symbol, 1.0 / members AS w FROM ({TOP2}) JOIN sized USING (sector, as_of)")), "live", "sized"))
 def top_sector_book(spark, d):
-    return rounded(portfolio.equal_baskets(portfolio.top_sectors(bullish(spark, d), 2, 40), D.baskets(spark, d)), "w")
+    return rounded(portfolio.equal_baskets(portfolio.top_sectors(bullish(spark, d), 2, 40), D.baskets(spark, d)), "w", digits=12)
 
 
-@query(sql("SELECT as_of, sector, round(w, 6) AS w FROM (SELECT as_of, sector, CASE WHEN b <= n THEN 0.5 / n ELSE 0 END - CASE WHEN s <= n THEN 0.5 / n ELSE 0 END AS w FROM (SELECT *, least(2, max(b) OVER (PARTITION BY as_of)) AS n FROM (SELECT as_of, item AS sector, row_number() OVER (PARTITION BY as_of ORDER BY conviction DESC, item) AS b, row_number() OVER (PARTITION BY as_of ORDER BY conviction, item) AS s FROM live WHERE item_type = 'sector'))) WHERE w <> 0", "live"))
+@query(sql("SELECT as_of, sector, round(w, 12) AS w FROM (SELECT as_of, sector, CASE WHEN b <= n THEN 0.5 / n ELSE 0 END - CASE WHEN s <= n THEN 0.5 / n ELSE 0 END AS w FROM (SELECT *, least(2, max(b) OVER (PARTITION BY as_of)) AS n FROM (SELECT as_of, item AS sector, row_number() OVER (PARTITION BY as_of ORDER BY conviction DESC, item) AS b, row_number() OVER (PARTITION BY as_of ORDER BY conviction, item) AS s FROM live WHERE item_type = 'sector'))) WHERE w <> 0", "live"))
 def long_short_sectors(spark, d):
-    return rounded(portfolio.long_short(D.live(spark, d).where("item_type = 'sector'").select("as_of", F.col("item").alias("sector"), "conviction"), 2), "w")
+    return rounded(portfolio.long_short(D.live(spark, d).where("item_type = 'sector'").select("as_of", F.col("item").alias("sector"), "conviction"), 2), "w", digits=12)
 
 
 SCHEMES = ("ew", "cw", "cw2", "invvol", "cw_invvol", "rankdecay")
 
 
 @query(with_vols(
-    "SELECT scheme, as_of, sector, round(CASE WHEN total = 0 THEN 1.0 / k ELSE x / total END, 6) AS w FROM (SELECT *, sum(x) OVER (PARTITION BY scheme, as_of) AS total, count(*) OVER (PARTITION BY scheme, as_of) AS k FROM (SELECT as_of, sector, unnest(['ew', 'cw', 'cw2', 'invvol', 'cw_invvol', 'rankdecay']) AS scheme, coalesce(unnest([1.0, c, c * c, i, c * i, n - o + 1]), 0) AS x FROM (SELECT as_of, sector, CAST(conviction AS DOUBLE) AS c, coalesce(1 / vol, quantile_cont(vol, 0.5) OVER w) AS i, count(*) OVER w AS n, row_number() OVER (PARTITION BY as_of ORDER BY conviction DESC, sector) AS o FROM (" + BULLISH + ") LEFT JOIN vols USING (sector, as_of) WINDOW w AS (PARTITION BY as_of))))", "live"))
+    "SELECT scheme, as_of, sector, round(CASE WHEN total = 0 THEN 1.0 / k ELSE x / total END, 12) AS w FROM (SELECT *, sum(x) OVER (PARTITION BY scheme, as_of) AS total, count(*) OVER (PARTITION BY scheme, as_of) AS k FROM (SELECT as_of, sector, unnest(['ew', 'cw', 'cw2', 'invvol', 'cw_invvol', 'rankdecay']) AS scheme, coalesce(unnest([1.0, c, c * c, i, c * i, n - o + 1]), 0) AS x FROM (SELECT as_of, sector, CAST(conviction AS DOUBLE) AS c, coalesce(1 / vol, quantile_cont(vol, 0.5) OVER w) AS i, count(*) OVER w AS n, row_number() OVER (PARTITION BY as_of ORDER BY conviction DESC, sector) AS o FROM (" + BULLISH + ") LEFT JOIN vols USING (sector, as_of) WINDOW w AS (PARTITION BY as_of))))", "live"))
 def allocation_schemes(spark, d):
     vols = returns.basket_vol(returns.daily_returns(D.prices(spark, d)), D.sectors(spark, d), D.months(spark, d))
     chosen = bullish(spark, d).join(vols, ["sector", "as_of"], "left")
@@ -380,7 +380,7 @@ def allocation_schemes(spark, d):
     for s in SCHEMES:
         own = portfolio.allocation(chosen, s).withColumn("scheme", F.lit(s))
         out = own if out is None else out.unionByName(own)
-    return rounded(out, "w").select("scheme", "as_of", "sector", "w")
+    return rounded(out, "w", digits=12).select("scheme", "as_of", "sector", "w")
 
 
 # Returns
@@ -552,9 +552,9 @@ def rotation(spark, d):
     return backtest.gated_rotation(bullish(spark, d), D.baskets(spark, d), t.where("days = 30").drop("days"), t.where("days = 91").drop("days"), HEDGE, D.months(spark, d), betas=D.betas(spark, d))
 
 
-@query(f"{ROTATION} SELECT as_of, symbol, round(w, 5) AS w FROM book")
+@query(f"{ROTATION} SELECT as_of, symbol, round(w, 11) AS w FROM book")
 def gated_rotation_book(spark, d):
-    return rounded(rotation(spark, d), "w", digits=5)
+    return rounded(rotation(spark, d), "w", digits=11)
 
 
 @query(f"{ROTATION} SELECT as_of, round(ret, 5) AS ret FROM ({realize_sql('SELECT * FROM book', rates=False)})")
