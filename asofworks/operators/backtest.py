@@ -80,7 +80,7 @@ def gated_rotation(convictions: DataFrame, baskets: DataFrame, returns_1m: DataF
         return mean.join(base, "as_of").select("sector", "as_of", (F.col("_m") - F.col("_h")).alias(out))
 
     fit = convictions.join(relative(returns_1m, "r1"), ["sector", "as_of"]).join(relative(returns_3m, "r3"), ["sector", "as_of"]).where((F.col("r1") >= gate) & (F.col("r3") >= gate))
-    chosen = P.equal_baskets(P.top_sectors(fit, k), baskets)
+    chosen = P.equal_baskets(P.top_sectors(fit, k), baskets).persist()  # a few rows a date, read by each part of the hedge
     rest = dates.select("as_of").distinct().join(chosen.select("as_of").distinct(), "as_of", "left_anti").select("as_of", F.lit(hedge).alias("symbol"), F.lit(1.0).alias("w"))
     if betas is None:
         return chosen.unionByName(rest)

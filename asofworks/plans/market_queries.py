@@ -548,7 +548,7 @@ book AS ({hedged_sql("SELECT * FROM chosen WHERE as_of IN (SELECT as_of FROM fal
 
 
 def rotation(spark, d):
-    t = trailing(spark, d, (30, 91))
+    t = trailing(spark, d, (30, 91)).persist()  # read four times
     return backtest.gated_rotation(bullish(spark, d), D.baskets(spark, d), t.where("days = 30").drop("days"), t.where("days = 91").drop("days"), HEDGE, D.months(spark, d), betas=D.betas(spark, d))
 
 
