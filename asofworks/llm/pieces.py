@@ -114,7 +114,7 @@ def hash_of(piece: str) -> int:
 class Solver:
     """Best cuts of character strings; remembers words."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 350_000):
         self.v, self.most, self.known = vocabulary, most_words, {}
         # a tree of characters: each node is its children and its score (None: no piece ends here)
         nested: dict = {}
