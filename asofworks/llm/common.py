@@ -36,7 +36,7 @@ def ready(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if spark.conf.get(ARROW_ROWS) == "10000":
         spark.conf.set(ARROW_ROWS, "1000")
-    if spark.conf.get(ARROW_BYTES, "0b").rstrip("b") == str(64 << 20):
+    if spark.conf.get(ARROW_BYTES).rstrip("b") == str(64 << 20):
         spark.conf.set(ARROW_BYTES, str(8 << 20))
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_asofworks_shipped", False):
         return
