@@ -41,6 +41,8 @@ from .graph import components
 RADIUS = 3
 BLOCKS = 5
 MOST = 4096
+#: Pairs of a query and a node that a walk looks at together.
+FRONT = 1 << 15
 SEED = 42
 
 
@@ -110,7 +112,14 @@ class Forest:
         query = np.flatnonzero(here)
         node = self.roots[place[query]] if len(query) else query
         near = np.arange(-radius, radius + 1)
-        while len(query):
+        todo = [(query, node)]
+        while todo:  # parts of the front, so that a dense shard takes no more memory than a sparse one
+            query, node = todo.pop()
+            if len(query) > FRONT:
+                todo += [(query[k : k + FRONT], node[k : k + FRONT]) for k in range(0, len(query), FRONT)]
+                continue
+            if not len(query):
+                continue
             distance = np.bitwise_count(fp[query] ^ self.fp[node]).astype(np.int64)
             hit = distance <= radius
             if hit.any():
@@ -121,7 +130,7 @@ class Forest:
             place[place == len(self.keys)] = 0
             found = (self.keys[place] == key) if len(self.keys) else np.zeros(key.shape, bool)
             row, _ = np.nonzero(found)
-            query, node = query[row], self.nodes[place[found]]
+            todo.append((query[row], self.nodes[place[found]]))
 
 
 def spanning(n: int, batches) -> np.ndarray:
