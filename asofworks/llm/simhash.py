@@ -31,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
@@ -176,11 +176,11 @@ def masks() -> list[int]:
     return [sum(block[i] for i in own) for own in combinations(range(BLOCKS), BLOCKS - RADIUS)]
 
 
-def in_slices(keyed: DataFrame, columns: list[str]) -> DataFrame:
+def in_slices(keyed: DataFrame, columns: list[str], by: str = "fp") -> DataFrame:
     """Rows of shards of two and more: key (a shard and a pair of its slices), side (0: in the tree, 1: asks only), columns."""
     sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    # only shards of two and more; the slices of a shard come from a hash of the fingerprint, so they are about equal
-    own = keyed.join(sizes, "shard").withColumn("slices", F.ceil(F.col("n") / MOST).cast("int")).withColumn("slice", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("slices")).cast("int"))
+    # only shards of two and more; the slices of a shard come from a hash of by, so they are about equal
+    own = keyed.join(sizes, "shard").withColumn("slices", F.ceil(F.col("n") / MOST).cast("int")).withColumn("slice", F.pmod(F.xxhash64(by, F.lit(1)), F.col("slices")).cast("int"))
     # slice i's tree is met by the queries of slices j >= i: one task for each pair (i, j)
     as_tree = F.transform(F.sequence(F.col("slice"), F.col("slices") - 1), lambda j: F.struct(F.col("slice").alias("i"), j.alias("j"), F.lit(0).alias("side")))
     as_query = F.when(F.col("slice") > 0, F.transform(F.sequence(F.lit(0), F.col("slice") - 1), lambda i: F.struct(i.alias("i"), F.col("slice").alias("j"), F.lit(1).alias("side"))))
@@ -202,30 +202,38 @@ def links(nodes: DataFrame) -> DataFrame:
     return in_slices(keyed, ["fp"]).repartition("key").mapInArrow(run, "a long, b long")
 
 
-# Near copies: five-word shingles, shards by min-hashes
+# Near copies: five-word shingles, shards by min-hashes, an exact similarity at last
 
 COPY_WIDTH = 5
-COPY_RADIUS = 12
+#: Texts are near copies from this similarity on, as a fraction: the Jaccard index of their sets of five-word shingles.
+COPY_SHARE = (4, 5)
+#: What may keep a pair of similarity 0.8 from its exact comparison: no shared band (one pair in 640), or a fingerprint
+#: or a sketch too far off (fewer than one in 1,500, simulated for 6 to 1,000 shingles).
 BANDS, BAND_ROWS = 9, 3
+COPY_RADIUS = 22
 #: Bins of a sketch: the least hash of each bin, as one byte (0: none). Of two texts the share of equal bins among those
 #: that either fills estimates their similarity, with a deviation of 0.025 at 0.8 and nearly exactly for short texts.
 BINS = 256
-COPY_LEAST = 0.79
+COPY_LEAST = 0.7
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) + 2 * k & (1 << 64) - 1 | 1 for k in range(BANDS * BAND_ROWS)], np.uint64)
 
 
-def copy_print(raw: bytes) -> tuple[int, bytes, bytes]:
-    """The fingerprint, the min-hashes and the sketch of a text's five-word shingles."""
+def shingle_hashes(raw: bytes) -> np.ndarray:
+    """The hashes of a text's lower-cased five-word shingles, repeats included; a shorter text is one shingle."""
     words = raw.lower().split()
     joined = b" ".join(words)
     if len(words) <= COPY_WIDTH:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        start = np.cumsum(size + 1) - size - 1
-        end = (start + size)[COPY_WIDTH - 1 :]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(start.tolist(), end.tolist(), strict=False)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.cumsum(size + 1) - size - 1
+    end = (start + size)[COPY_WIDTH - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(start.tolist(), end.tolist(), strict=False)], np.uint64)
+
+
+def copy_print(raw: bytes) -> tuple[int, bytes, bytes]:
+    """The fingerprint, the min-hashes and the sketch of a text's five-word shingles."""
+    hashes = shingle_hashes(raw)
     least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max)
     with np.errstate(over="ignore"):
         for at in range(0, len(hashes), 2048):
@@ -236,54 +244,146 @@ def copy_print(raw: bytes) -> tuple[int, bytes, bytes]:
     place, first = np.unique(ordered >> np.uint64(56), return_index=True)
     sketch = np.zeros(BINS, np.uint8)
     sketch[place.astype(np.int64)] = 1 + (ordered[first] & np.uint64(0xFFFF)) % np.uint64(255)
-    return majority(hashes) if words else 0, (least >> np.uint64(32)).astype("<u4").tobytes(), sketch.tobytes()
+    return majority(hashes) if raw.strip() else 0, (least >> np.uint64(32)).astype("<u4").tobytes(), sketch.tobytes()
 
 
-def copy_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (node, fp, mins, sketch) within COPY_RADIUS bits whose sketches agree, among those that share a band of min-hashes."""
-    width = 4 * BAND_ROWS
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("mins", i * width + 1, width)) for i in range(BANDS)])
-    keyed = nodes.select("node", "fp", F.explode(bands).alias("shard"))
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Are two sets, as sorted arrays, of a similarity of COPY_SHARE or more?"""
+    part, whole = COPY_SHARE
+    if min(len(a), len(b)) * whole < max(len(a), len(b)) * part:
+        return False
+    place = np.searchsorted(a, b)
+    place[place == len(a)] = 0
+    both = int((a[place] == b).sum())
+    return both * whole >= (len(a) + len(b) - both) * part
 
-    def run(batches):
-        whole = pa.Table.from_batches(list(batches))
-        if not whole.num_rows:
-            return
-        b = whole.combine_chunks().to_batches()[0]
-        key, side, fp, node = (np.asarray(b.column(c)) for c in ("key", "side", "fp", "node"))
-        fp = fp.view(np.uint64)
-        sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        tree = np.flatnonzero(side == 0)
-        forest = Forest(key[tree], fp[tree])
 
-        def hits(step: int = 2048):
-            for at in range(0, len(fp), step):
-                part = slice(at, at + step)
-                for q, found in forest.search(key[part], fp[part], COPY_RADIUS):
-                    a, c = q + at, tree[found]
-                    for k in range(0, len(a), 16384):
-                        x, y = a[k : k + 16384], c[k : k + 16384]
-                        u, v = sketch[x], sketch[y]
-                        same = ((u == v) & (u > 0)).sum(axis=1) >= COPY_LEAST * ((u | v) > 0).sum(axis=1)
-                        yield x[same], y[same]
+class WideForest(Forest):
+    """A forest for wide radii: the edges to follow from a node are one range of its keys, not looked up one by one."""
+
+    def search(self, shard: np.ndarray, fp: np.ndarray, radius: int):
+        place = np.searchsorted(self.shards, shard)
+        place[place == len(self.shards)] = 0
+        here = self.shards[place] == shard if len(self.shards) else np.zeros(len(shard), bool)
+        query = np.flatnonzero(here)
+        todo = [(query, self.roots[place[query]] if len(query) else query)]
+        while todo:
+            query, node = todo.pop()
+            if len(query) > FRONT:
+                todo += [(query[k : k + FRONT], node[k : k + FRONT]) for k in range(0, len(query), FRONT)]
+                continue
+            if not len(query):
+                continue
+            distance = np.bitwise_count(fp[query] ^ self.fp[node]).astype(np.int64)
+            hit = distance <= radius
+            if hit.any():
+                yield query[hit], node[hit]
+            low = np.searchsorted(self.keys, node * 65 + np.maximum(distance - radius, 0))
+            n = np.searchsorted(self.keys, node * 65 + np.minimum(distance + radius, 64), side="right") - low
+            child = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            todo.append((np.repeat(query, n), self.nodes[child]))
+
+
+def candidates(b: pa.RecordBatch, done):
+    """Yields (x, y) row arrays of the pairs in a task's shards that may be near copies, each pair in the first band that it shares; done(x, y) marks pairs to pass over."""
+    key, side, band, fp = (np.asarray(b.column(c)) for c in ("key", "side", "band", "fp"))
+    fp = fp.view(np.uint64)
+    bands = np.asarray(b.column("bands").flatten()).reshape(-1, BANDS)
+    sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+    tree = np.flatnonzero(side == 0)
+    forest = WideForest(key[tree], fp[tree])
+    asks = np.flatnonzero((side == 1) | ~np.isin(key, key[side == 1]))  # a slice's own pairs are met where it stands alone
+    for at in range(0, len(asks), 2048):
+        part = asks[at : at + 2048]
+        for q, found in forest.search(key[part], fp[part], COPY_RADIUS):
+            a, c = part[q], tree[found]
+            once = (side[a] == 1) | (a > c)
+            a, c = a[once], c[once]
+            for k in range(0, len(a), 16384):
+                x, y = a[k : k + 16384], c[k : k + 16384]
+                new = ~done(x, y)
+                x, y = x[new], y[new]
+                own = (bands[x] == bands[y]).argmax(axis=1) == band[x]
+                x, y = x[own], y[own]
+                u, v = sketch[x], sketch[y]
+                same = ((u == v) & (u > 0)).sum(axis=1) >= COPY_LEAST * ((u | v) > 0).sum(axis=1)
+                if same.any():
+                    yield x[same], y[same]
+
+
+def one_batch(batches) -> pa.RecordBatch | None:
+    whole = pa.Table.from_batches(list(batches))
+    return whole.combine_chunks().to_batches()[0] if whole.num_rows else None
+
+
+def marked_rows(batches):
+    """Of a task's rows those with a candidate: key, side, band, node."""
+    b = one_batch(batches)
+    if b is None:
+        return
+    found = np.zeros(b.num_rows, bool)
+    for x, y in candidates(b, lambda x, y: found[x] & found[y]):
+        found[x] = found[y] = True
+    yield b.select(["key", "side", "band", "node"]).filter(pa.array(found))
+
+
+def exact_links(batches):
+    """Spanning links (a, b) of a task's near copies, each pair decided by its sets of shingles unless others connect it."""
+    b = one_batch(batches)
+    if b is None:
+        return
+    node, text = np.asarray(b.column("node")), b.column("text")
+    sets: dict[int, np.ndarray] = {}
+    root = np.arange(b.num_rows)
+
+    def own(i: int) -> np.ndarray:
+        if node[i] not in sets:
+            sets[node[i]] = np.unique(shingle_hashes(text[i].as_py().encode()))
+        return sets[node[i]]
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    a, c = [], []
+    for xs, ys in candidates(b, lambda x, y: root[x] == root[y]):
+        for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+            p, q = top(x), top(y)
+            if p != q and near(own(x), own(y)):
+                root[max(p, q)] = min(p, q)
+                a.append(node[x])
+                c.append(node[y])
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+
+def copy_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect nodes (node, fp, bands, sketch) as all near copies that share a band would. texts: node, text.
+
+    Two passes over the shards: the first finds the rows that have a candidate;
+    only their texts travel to the second, which decides.
+    """
+    dealt = in_slices(nodes.select("node", F.posexplode("bands").alias("band", "shard")), ["node", "band"], "node")
+    # fingerprints and sketches join late: only nodes that share a shard with others need theirs
+    marked = dealt.join(nodes, "node").repartition("key").mapInArrow(marked_rows, "key long, side int, band int, node long")
+    return marked.join(nodes, "node").join(texts, "node").repartition("key").mapInArrow(exact_links, "a long, b long")
 
-        root = spanning(len(fp), hits())
-        linked = np.flatnonzero(root != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"])
 
-    # sketches join late: only nodes that share a shard with others need theirs
-    dealt = in_slices(keyed, ["node", "fp"]).join(nodes.select("node", "sketch"), "node").repartition("key")
-    return dealt.mapInArrow(run, "a long, b long")
+def spaced(text: Column) -> Column:
+    """A text's lower-cased (A-Z) words with one space between them, as in shingles; empty for null."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), r"[\t\n\x0B\f\r ]+", " "))
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): texts of a similarity of about 0.8 or more on five-word shingles, directly or through others.
+    """(id, component_id): texts of a similarity of 0.8 or more on five-word shingles, directly or through others.
 
     Radius 3 on one fingerprint means a similarity of 0.98; a wider radius
-    cannot be cut into blocks. So shards are named by bands of min-hashes, in
-    which all pairs of such similarity meet but for one in 500, trees are
-    searched within COPY_RADIUS, and found pairs count if their sketches agree
-    in COPY_LEAST of their bins.
+    cannot be cut into blocks. So shards are named by bands of min-hashes, trees
+    are searched within COPY_RADIUS and sketches compared to pass over pairs
+    that are far apart, and what is left is decided by the sets of shingles.
+    About one pair in 500 of a similarity of 0.8 is not compared, fewer above.
     """
     from .common import checkpoint
 
@@ -292,9 +392,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return [pa.array(np.array([p[0] for p in prints], np.uint64).view(np.int64)), pa.array([p[1] for p in prints], pa.binary()), pa.array([p[2] for p in prints], pa.binary())]
 
     fields = [StructField("fp", LongType()), StructField("mins", BinaryType()), StructField("sketch", BinaryType())]
-    marked = checkpoint(annotate(df, fields, lambda: f, [text_col], [id_col], text_col).withColumn("node", F.xxhash64("fp", "mins", "sketch")))
+    named = df.withColumn("node", F.xxhash64(spaced(F.col(text_col))))
+    marked = checkpoint(annotate(named, fields, lambda: f, [text_col], [id_col, "node"], text_col))
     nodes = checkpoint(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("mins").alias("mins"), F.min("sketch").alias("sketch"), F.min(id_col).alias("first_id")))
-    rooted = nodes.select("node", "first_id").join(components(copy_links(nodes)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    width = 4 * BAND_ROWS
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("mins", i * width + 1, width)) for i in range(BANDS)])
+    texts = named.groupBy("node").agg(F.min(spaced(F.col(text_col))).alias("text"))
+    linked = components(copy_links(nodes.select("node", "fp", bands.alias("bands"), "sketch"), texts))
+    rooted = nodes.select("node", "first_id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marked.select(id_col, "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select(id_col, "component_id")
 

@@ -73,6 +73,27 @@ def test_near_copies_of_made_texts(spark):
     assert got == {i: i // 100 * 100 for i, _ in data if i < 9000} | {9000: 9000, 9001: 9000, 9002: 9002, 9003: 9002}
 
 
+def test_near_copies_are_decided_by_their_shingles(spark):
+    import random
+
+    r = random.Random(7)
+    data, alike = [], {}
+    for k in range(240):  # pairs that differ in words far apart, at similarities on both sides of 0.8
+        n = r.randrange(105, 400)
+        words = [f"v{r.randrange(10**6)}" for _ in range(n)]
+        other = list(words)
+        for place in r.sample(range(5, n - 5, 6), max(1, round(n * r.uniform(0.1, 0.15) / 5))):
+            other[place] = f"x{r.randrange(10**6)}"
+        data += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = shingles(data[-2][1]), shingles(data[-1][1])
+        alike[k] = len(a & b) / len(a | b)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    above, below = [k for k, v in alike.items() if 0.8 <= v <= 0.85], [k for k, v in alike.items() if 0.75 <= v < 0.8]
+    assert len(above) > 30 and len(below) > 30
+    assert sum(got[2 * k + 1] != 2 * k for k in above) <= 1  # one pair in 500 shares no band
+    assert all(got[2 * k + 1] == 2 * k + 1 for k, v in alike.items() if v < 0.8)
+
+
 def test_private_and_packed(stages):
     _, docs, done = stages[3]
     f = pii.Feistel(pii.KEY)
