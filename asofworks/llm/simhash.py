@@ -376,8 +376,13 @@ def spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), r"[\t\n\x0B\f\r ]+", " "))
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): texts of a similarity of 0.8 or more on five-word shingles, directly or through others.
+def copy_node(text_col: str) -> Column:
+    """The node of a text: texts of the same words in the same order share it."""
+    return F.xxhash64(spaced(F.col(text_col)))
+
+
+def copy_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(id, node) of every row, and (node, root, first_id) of every node: nodes of texts of a similarity of 0.8 or more on five-word shingles, directly or through others, have one root.
 
     Radius 3 on one fingerprint means a similarity of 0.98; a wider radius
     cannot be cut into blocks. So shards are named by bands of min-hashes, trees
@@ -392,7 +397,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return [pa.array(np.array([p[0] for p in prints], np.uint64).view(np.int64)), pa.array([p[1] for p in prints], pa.binary()), pa.array([p[2] for p in prints], pa.binary())]
 
     fields = [StructField("fp", LongType()), StructField("mins", BinaryType()), StructField("sketch", BinaryType())]
-    named = df.withColumn("node", F.xxhash64(spaced(F.col(text_col))))
+    named = df.withColumn("node", copy_node(text_col))
     marked = checkpoint(annotate(named, fields, lambda: f, [text_col], [id_col, "node"], text_col))
     nodes = checkpoint(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("mins").alias("mins"), F.min("sketch").alias("sketch"), F.min(id_col).alias("first_id")))
     width = 4 * BAND_ROWS
@@ -400,8 +405,21 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     texts = named.groupBy("node").agg(F.min(spaced(F.col(text_col))).alias("text"))
     linked = components(copy_links(nodes.select("node", "fp", bands.alias("bands"), "sketch"), texts))
     rooted = nodes.select("node", "first_id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return marked.select(id_col, "node"), rooted
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of every row: the smallest id among its near copies (copy_components)."""
+    marked, rooted = copy_components(df, id_col, text_col)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.select(id_col, "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select(id_col, "component_id")
+    return marked.join(rooted.join(least, "root").select("node", "component_id"), "node").select(id_col, "component_id")
+
+
+def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of near copies one row: the smallest id, then the smallest hash of the text. An id with texts of several groups stands in each."""
+    _, rooted = copy_components(df, id_col, text_col)
+    kept = rooted.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("k")).select(F.col("k.first_id").alias(id_col), F.col("k.node").alias("node"))
+    return df.withColumn("node", copy_node(text_col)).join(kept, [id_col, "node"], "left_semi").dropDuplicates([id_col, "node"]).select(*df.columns)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -94,6 +94,14 @@ def test_near_copies_are_decided_by_their_shingles(spark):
     assert all(got[2 * k + 1] == 2 * k + 1 for k, v in alike.items() if v < 0.8)
 
 
+def test_an_id_with_two_texts_keeps_both(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(80))
+    data = [(5, text("a")), (5, text("b")), (3, text("a") + " more"), (9, text("b") + " more"), (5, text("b").upper()), (7, text("c")), (7, text("c")), (None, text("c"))]
+    docs = spark.createDataFrame(data, table(spark, SF, "documents").select("doc_id", "text").schema)
+    got = [(r["doc_id"], r["text"].lower()) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(3, text("a") + " more"), (5, text("b")), (7, text("c")), (None, text("c"))], key=str)
+
+
 def test_private_and_packed(stages):
     _, docs, done = stages[3]
     f = pii.Feistel(pii.KEY)
