@@ -1,5 +1,6 @@
 """The operators' plain functions against brute force."""
 
+import math
 import random
 import zlib
 
@@ -317,3 +318,23 @@ def test_probabilities_of_one_more_byte_add_up():
     total += np.exp(-cost[layout.start[0] + 3])  # the end
     assert 0.9 < total <= 1.0001  # upper case and 0 do not occur
     assert (model.costs([b"ban", b"x"])[1][layout.start[0] :][:4] == cost[layout.start[0] :][:4]).all()
+
+
+def test_probabilities_of_whole_texts_add_up():
+    from itertools import product
+
+    r = np.random.default_rng(1)
+    tree = lm_mixing.Tree.of(np.bincount(np.frombuffer(b"a b ab ba\xff" * 20, np.uint8), minlength=256))
+    table = r.integers(-40, 40, (lm_mixing.CONTEXTS, lm_mixing.SLOTS)).astype(np.int8)
+    gaps = np.zeros(256)
+    gaps[32], gaps[lm_mixing.END] = 0.5, 0.5
+    with np.errstate(divide="ignore"):
+        model = lm_mixing.Model(tree, table, np.full((lm_mixing.GATES, lm_mixing.CONTEXTS), 0.02), -np.log(gaps), -np.log([0.7, 0.3]))
+    counts = {b"a": 40, b"b": 30, b"ab": 20}  # of 90 words and 3 distinct ones
+    cost = lambda w: math.log(94) - math.log(counts[w] + 1) if w in counts else math.inf
+    texts = [bytes(x) for n in range(6) for x in product(b"ab ", repeat=n)]
+    logs = model.log10(texts, [np.array([cost(w) for w in t.split()]) for t in texts])
+    assert 0.05 < sum(10.0**logs) <= 1.0001
+    # the expert pays nothing to a word that it does not know: what a word costs is at least its spelling
+    spelled = lambda t: model.costs([t])[1].sum() / math.log(10)
+    assert -model.log10([b"b" * 40], [np.array([math.inf])])[0] == pytest.approx(spelled(b"b" * 40) + math.log10(2), rel=1e-5)
