@@ -205,6 +205,22 @@ def test_language_model(docs, empty):
     assert lm_mixing.fit_and_score(empty).count() == 0
 
 
+def test_language_model_counts_all_documents(spark):
+    texts = [f"one two{' ' if i % 5 else chr(9)}three  four{chr(10) if i % 7 else ''}" + "z" * (i % 11) for i in range(300)]
+    model = lm_mixing.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), sample_docs=6)
+    data = [t.encode() + b"\xff" for t in texts]
+    seen, ends, gaps = Counter(b for t in data for b in t), Counter(), 0
+    for t in data:
+        for k, b in enumerate(t):
+            if b in b" \t\n\xff":
+                gaps += 1
+                ends[b] += k > 0 and t[k - 1] not in b" \t\n\xff"
+    total = sum(ends.values())
+    assert [math.exp(-model.gaps[b]) for b in b" \t\n\xff"] == pytest.approx([(ends[b] + 0.5) / (total + 3.5) for b in b" \t\n\xff"])
+    assert math.exp(-model.wide[1]) == pytest.approx((gaps - total + 1) / (gaps + 2))
+    assert (model.tree.size == lm_mixing.Tree.of([seen[b] for b in range(256)]).size).all()
+
+
 def test_pages(spark):
     page = "<html><nav><a href=1>Home</a></nav><article><h1>Title {0}</h1><p>One &amp; two.<p>Four</article><footer>c</footer>"
     data = [(i, "u", page.format(i), "x") for i in range(30)] + [(50, None, None, "x"), (51, "u", "", "x"), (None, "u", "<p>a", "x"), (3, "u", page.format(3), "x")]
