@@ -140,8 +140,13 @@ def json_extract(spark, d):
 
 @query("SELECT event_id, event_type AS kind, 2 AS n FROM events WHERE event_id < 2000")
 def json_repair(spark, d):
+    return json_repair_all(spark, d).where("event_id < 2000")
+
+
+@query("SELECT event_id, event_type AS kind, 2 AS n FROM events")
+def json_repair_all(spark, d):
     cut = F.concat(F.lit('text {"kind": "'), "event_type", F.lit('", "tags": ["a", "b'))
-    fixed = table(spark, d, "events").where("event_id < 2000").select("event_id", F.from_json(X.repaired(cut), "kind string, tags array<string>").alias("j"))
+    fixed = table(spark, d, "events").select("event_id", F.from_json(X.repaired(cut), "kind string, tags array<string>").alias("j"))
     return fixed.select("event_id", F.col("j.kind").alias("kind"), F.size("j.tags").alias("n"))
 
 

@@ -128,3 +128,9 @@ def test_registry_is_whole():
 @pytest.mark.parametrize("name", ["basket_forward_return", "lifecycle_panel", "thread_roots", "slugs"])
 def test_queries_run(spark, name):
     assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_all_events_are_repaired(spark):
+    folder = "/root/testdata/sf0.01"
+    got = {tuple(r) for r in registry.queries()["json_repair_all"](spark, folder).collect()}
+    assert got == {(r[0], r[1], 2) for r in spark.read.parquet(f"{folder}/events.parquet").select("event_id", "event_type").collect()} and len(got) > 2000
