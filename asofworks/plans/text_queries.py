@@ -76,6 +76,13 @@ def corpus_lines(spark, d):
     return own.select("source", n.alias("line_no"), F.format_string("[%s] (%s) %s", F.col("day").cast("string"), "source", F.substring("text", 1, 80)).alias("line"))
 
 
+@query(f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY {DAY}, doc_id) AS line_no, '[' || {DAY} || '] (' || source || ') ' || trim(text) AS line FROM documents WHERE {DAY} <= DATE '{T}'")
+def corpus_lines_whole(spark, d):
+    own = docs(spark, d).where(F.col("day") <= t0())
+    n = F.row_number().over(W.partitionBy("source").orderBy("day", "doc_id")).cast("long")
+    return own.select("source", n.alias("line_no"), F.format_string("[%s] (%s) %s", F.col("day").cast("string"), "source", F.trim("text")).alias("line"))
+
+
 @query("SELECT conv_id, turn, CASE WHEN lag(role) OVER w <> role THEN md5(lag(text) OVER w) END AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def preceding_turn_context(spark, d):
     own = evidence.preceding(table(spark, d, "conversations"), "conv_id", "turn", "role", "text")
@@ -132,6 +139,12 @@ def citation_parse(spark, d):
     return docs(spark, d).select("doc_id", F.inline(X.citations(said)))
 
 
+@query(f"SELECT doc_id, day, quote FROM (SELECT doc_id, CAST({DAY} AS VARCHAR) AS day, replace(text, '\"', '') AS quote FROM documents UNION ALL SELECT doc_id, 'undated', source FROM documents)")
+def citation_parse_whole(spark, d):
+    said = F.format_string('see [%s] "%s" and [undated]  "%s"', F.col("day").cast("string"), F.replace("text", F.lit('"'), F.lit("")), "source")
+    return docs(spark, d).select("doc_id", F.inline(X.citations(said)))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_extract(spark, d):
     said = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone."))

@@ -134,3 +134,13 @@ def test_all_events_are_repaired(spark):
     folder = "/root/testdata/sf0.01"
     got = {tuple(r) for r in registry.queries()["json_repair_all"](spark, folder).collect()}
     assert got == {(r[0], r[1], 2) for r in spark.read.parquet(f"{folder}/events.parquet").select("event_id", "event_type").collect()} and len(got) > 2000
+
+
+@pytest.mark.parametrize("name", ["corpus_lines_whole", "citation_parse_whole"])
+def test_whole_texts_reach_lines_and_citations(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.001"
+    got = sorted(tuple(r) for r in registry.queries()[name](spark, folder).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    assert got == sorted(con.execute(registry.oracle_sql()[name]).fetchall()) and max(len(r[2]) for r in got) > 1000
