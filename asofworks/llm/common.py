@@ -7,6 +7,7 @@ import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -49,15 +50,34 @@ def ready(spark: SparkSession) -> None:
     sc._asofworks_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the session was given as its checkpoint folder.
+
+    Only a session that runs in one process may have neither: executors elsewhere could not read a machine's own folder.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="asofworks-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, written to the cluster's shared checkpoint folder, without its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="asofworks-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written as a Parquet table to the cluster's shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def fold(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string")) % n
