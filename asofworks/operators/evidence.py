@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """df in the cluster's checkpoint folder, without its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="asofworks-checkpoint-"))
-    return df.checkpoint()
+from .storage import saved
 
 
 def thread_roots(posts: DataFrame, most_rounds: int = 40) -> DataFrame:
