@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from asofworks.operators.storage import shared_folder
+
 ROOT = Path(__file__).resolve().parents[2]
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -50,20 +52,6 @@ def ready(spark: SparkSession) -> None:
     sc._asofworks_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or what the session was given as its checkpoint folder.
-
-    Only a session that runs in one process may have neither: executors elsewhere could not read a machine's own folder.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="asofworks-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, written to the cluster's shared checkpoint folder, without its lineage."""
     shared_folder(df.sparkSession)
@@ -88,21 +76,21 @@ def held(column: str, n: int, remainder: int) -> Column:
     return F.coalesce(fold(column, n) == remainder, F.lit(True))
 
 
-def hash_sample(df: DataFrame, key: str, limit: int, strata: str | None = None) -> DataFrame:
-    """About limit rows (of each stratum), those with the smallest hashes of key; all rows where there are no more.
+def hash_sample(df: DataFrame, keys: list[str], limit: int, strata: str | None = None) -> DataFrame:
+    """About limit distinct rows (of each stratum), those with the smallest hashes of keys; all distinct rows where there are no more.
 
-    Deterministic, without a shuffle of the rows: one count, then a filter.
+    Deterministic, without a shuffle of the rows but for the sample: counts, then
+    a filter. Rows that are equal count once in the sample, so that it is bounded
+    even where one row stands for a third of the table.
     """
     steps = 1 << 40
-    mark = F.pmod(F.xxhash64(key), F.lit(steps))
+    mark = F.pmod(F.xxhash64(*keys), F.lit(steps))
     if strata is None:
         n = df.count()
-        return df if n <= limit else df.where(mark < int(steps * limit / n))
-    counts = {r[0]: r[1] for r in df.groupBy(strata).count().collect()}
-    keep = F.lit(False)
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        keep = keep | (F.col(strata).eqNullSafe(F.lit(value)) & (mark < int(steps * min(1.0, limit / n))))
-    return df.where(keep)
+        return df.dropDuplicates(keys) if n <= limit else df.where(mark < int(steps * limit / n)).dropDuplicates(keys)
+    shares = df.groupBy(strata).agg(F.least(F.lit(1.0), F.lit(float(limit)) / F.count("*")).alias("_share")).withColumnRenamed(strata, "_stratum")
+    own = df.join(shares, F.col(strata).eqNullSafe(F.col("_stratum"))).where(mark < (F.col("_share") * steps).cast("long"))
+    return own.select(*df.columns).dropDuplicates([*keys, strata])
 
 
 class Texts:

@@ -50,8 +50,10 @@ CONTENT = frozenset("article articlebody content main post entry story body text
 NAMES_ARTICLE = frozenset(("article", "main"))
 NAMES_OTHER = frozenset("nav header footer aside form menu search dialog".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-CUT_OFF = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
+#: What begins a comment, a declaration or a tag; the rest of a tag, with quoted values and without regard to quotes.
+BEGINS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+REST = re.compile(r"([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>")
+PLAIN_REST = re.compile(r"([^>]*+)>")
 NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -80,11 +82,18 @@ def hints(attributes: str) -> tuple[int, bool]:
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str] | None]]:
-    """Nodes in the page's order (the first is the root), and runs of (node, text) with None where a block begins or ends."""
+    """Nodes in the page's order (the first is the root), and runs of (node, text) with None where a block begins or ends.
+
+    Linear in the page's length, whatever it holds: no search begins again where
+    an earlier one ended without success, and open elements are found by tag.
+    """
     nodes, runs = [Node("body", -1, 0, False)], []
     stack: list[tuple[str, int]] = []  # open elements and the node that their text belongs to
+    places: dict[str, list[int]] = {}  # where elements of each tag stand in the stack
+    blocks: list[int] = []  # where block elements do
     here, hidden, at, end = 0, 0, 0, len(page)
     links = 0
+    rest = REST  # until a tag's quotes are not closed
 
     def text(raw: str) -> None:
         if raw and not hidden:
@@ -97,45 +106,53 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str] | None]]:
     def close(k: int) -> None:
         """Closes the open elements from place k on."""
         nonlocal here, hidden, links
-        for tag, _ in stack[k:]:
+        if blocks and blocks[-1] >= k:
+            runs.append(None)
+        while len(stack) > k:
+            tag, _ = stack.pop()
+            places[tag].pop()
             hidden -= tag in HIDDEN
             links -= tag == "a"
-        if any(tag in BLOCK for tag, _ in stack[k:]):
-            runs.append(None)
-        del stack[k:]
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
         here = stack[-1][1] if stack else 0
 
+    def last(tags) -> int:
+        """The place of the innermost open element of tags; -1: there is none."""
+        return max((own[-1] for t in tags if (own := places.get(t))), default=-1)
+
     while at < end:
-        m = TOKEN.search(page, at)
+        m = BEGINS.search(page, at)
         if m is None:
-            rest = page[at:]
-            text(CUT_OFF.sub("", rest))
+            text(page[at:])
             break
         text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
+            closing = "-->" if m[0] == "<!--" else ">"
+            k = page.find(closing, at)
+            if k < 0:  # cut off
+                break
+            at = k + len(closing)
             continue
-        tag, attributes = m[2].lower(), m[3]
+        tag = m[2].lower()
+        r = rest.match(page, at)
+        if r is None:
+            rest = PLAIN_REST
+            r = rest.match(page, at)
+            if r is None:  # cut off
+                break
+        at, attributes = r.end(), r[1]
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
+            if (k := last((tag,))) >= 0:
                 close(k)
             continue
-        if tag in ENDS_P and not hidden:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+        if tag in ENDS_P and not hidden and blocks and stack[blocks[-1]][0] == "p":
+            close(blocks[-1])
         if tag in CLOSES:
             own, stop = CLOSES[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in own:
-                    close(i)
-                    break
-                if stack[i][0] in stop:
-                    break
+            if (k := last(own)) > last(stop):
+                close(k)
         if tag in VOID:
             if tag == "br":
                 text(" ")
@@ -143,13 +160,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str] | None]]:
                 runs.append(None)
             continue
         if tag in RAW:  # up to its end tag, whatever stands there
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            stop = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
         if tag in ("html", "body"):
             continue
         if tag in BLOCK:
             runs.append(None)
+            blocks.append(len(stack))
         hint, role = hints(attributes) if attributes else (0, False)
         if (tag in BLOCK or hint < 0) and not hidden:
             nodes.append(Node(tag, here, hint, role))
@@ -157,6 +175,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str] | None]]:
             here = len(nodes) - 1
         hidden += tag in HIDDEN
         links += tag == "a"
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, here))
     for i in range(len(nodes) - 1, 0, -1):
         nodes[nodes[i].parent].chars += nodes[i].chars
@@ -315,7 +334,7 @@ def page_counts(page: str) -> list[tuple[str, ...]]:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = 2_000) -> TreeModel:
     """Potentials from the labelled ones of about max_pages pages; their counts are summed by Spark."""
-    sample = hash_sample(pages.where(F.col(html_col).isNotNull()).select(id_col, html_col), id_col, max_pages)
+    sample = hash_sample(pages.where(F.col(html_col).isNotNull()).select(id_col, html_col), [id_col, html_col], max_pages)
     kind = ArrayType(ArrayType(StringType()))
     found = annotate(sample, [StructField("found", kind)], lambda: lambda b: [pa.array([page_counts(p) for p in Texts(b.column(html_col)).strings()], pa.list_(pa.list_(pa.string())))], [html_col], [], html_col)
     rows = found.select(F.explode("found").alias("key")).groupBy("key").count().collect()  # a row for each feature value

@@ -1,13 +1,16 @@
 """Language identification by a byte convolutional network.
 
-A text's UTF-8 bytes are cut into windows of WINDOW bytes. Filters of two,
-three and four bytes run over each window, their largest values are kept
-(max pooling), and a softmax layer turns them into probabilities. Each text's
-probabilities are the mean over all its windows.
+A text's UTF-8 bytes are cut into windows of WINDOW bytes, each beginning with
+the last three of the one before, so that no run of four bytes is lost between
+two. Filters of two, three and four bytes run over each window, their largest
+values are kept (max pooling), and a softmax layer turns them into
+probabilities. Each text's probabilities are the mean over all its windows.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
-0. Without labelled rows every text is ``und``. Repeated rows get equal
-results; ties go to the language first in alphabetical order. Extra columns
+0. Without labelled rows every text is ``und``. A text of any length is read
+whole, by all its windows. Repeated rows get equal results, and rows that share
+an id are told apart by their texts alone; ties go to the language first in
+alphabetical order. An empty table gives an empty result. Extra columns
 are ignored, or kept by ``identify(..., keep=...)``, where an own column named
 like a result is replaced.
 """
@@ -27,8 +30,9 @@ from .common import Texts, annotate, hash_sample
 
 WINDOW = 64
 WIDTHS = (2, 3, 4)
-#: Byte classes: letters without case, white space, digits, other ASCII, and UTF-8 bytes of other letters.
-CLASSES = 64
+STEP = WINDOW - max(WIDTHS) + 1
+#: Byte classes: letters without case, white space, digits, other ASCII, and each of UTF-8's other bytes.
+CLASSES = 29 + 64 + 51
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -39,8 +43,8 @@ def byte_classes() -> np.ndarray:
         out[first : first + 26] = np.arange(26)
     out[[9, 10, 11, 12, 13, 32]] = 26
     out[48:58] = 27
-    out[128:192] = 29 + (b[128:192] & 31)
-    out[192:196], out[196:224], out[224:] = 61, 62, 63
+    out[128:192] = 29 + b[:64]
+    out[194:245] = 93 + b[:51]
     return out.astype(np.uint8)
 
 
@@ -88,12 +92,15 @@ class ByteCnn:
 
 def windows_of(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """All windows of all texts, filled up with white space, and each window's row."""
-    count = -(-texts.size // WINDOW)
-    first = np.concatenate([[0], np.cumsum(count)])
-    out = np.full(int(first[-1]) * WINDOW, 26, np.uint8)
-    for a, b, at in zip(texts.start.tolist(), texts.end.tolist(), (first[:-1] * WINDOW).tolist(), strict=True):
+    count = np.where(texts.size > 0, 1 + np.maximum(0, -(-(texts.size - WINDOW) // STEP)), 0)
+    room = np.where(count > 0, (count - 1) * STEP + WINDOW, 0)
+    end = np.cumsum(room)
+    out = np.full(max(WINDOW, int(end[-1]) if len(end) else 0), 26, np.uint8)
+    for a, b, at in zip(texts.start.tolist(), texts.end.tolist(), (end - room).tolist(), strict=True):
         out[at : at + b - a] = BYTE_CLASS[texts.data[a:b]]
-    return out.reshape(-1, WINDOW), np.repeat(np.arange(len(texts)), count)
+    row = np.repeat(np.arange(len(texts)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return np.lib.stride_tricks.sliding_window_view(out, WINDOW)[(end - room)[row] + nth * STEP], row
 
 
 def train(texts: list[str], langs: list[str], filters: int = 16, epochs: int = 6, per_text: int = 8, seed: int = 7) -> ByteCnn:
@@ -154,8 +161,8 @@ def train(texts: list[str], langs: list[str], filters: int = 16, epochs: int = 6
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500) -> ByteCnn:
-    """A network from about per_language rows of each language (the bound on what comes to the driver)."""
-    rows = hash_sample(labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col), id_col, per_language, lang_col)
+    """A network from about per_language rows of each language (the bound on what comes to the driver, with the number of languages)."""
+    rows = hash_sample(labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col), [id_col, text_col], per_language, lang_col)
     rows = sorted(rows.collect(), key=lambda r: (str(r[0]), str(r[1])))
     return train([r[1] for r in rows], [str(r[2]) for r in rows])
 

@@ -6,8 +6,11 @@ pairs that explain most of what is left. A score is the logistic function of
 an intercept plus one table entry a feature and a pair.
 
 Defined results: null and empty texts have all features 0 and are scored like
-any other. Without labelled rows the score is 0.5. Repeated rows get equal
-scores. Inputs are the text alone.
+any other; a text of any length is read whole. Without labelled rows the score
+is 0.5. Repeated rows get equal scores; of an id with several labels the lowest
+counts, and of its texts the smallest teaches. A score of exactly the threshold
+is 1. An empty table gives an empty result. Inputs are the text alone; kept
+columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -175,8 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from about max_rows labelled documents (the bound on the broadcast sample, and on what comes to the driver)."""
     # an id with several labels counts once, with the lowest
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).alias("label_y"))
-    sample = hash_sample(own, "label_id", max_rows)
-    joined = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "label_id")
+    sample = hash_sample(own, ["label_id"], max_rows)
+    # of an id's texts one: the smallest (a partial aggregate, however often an id occurs)
+    joined = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "label_id").groupBy("label_id").agg(F.min("text").alias("text"), F.min("label_y").alias("label_y"))
 
     def start():
         return lambda batch: [pa.array(list(features(Texts(batch.column("text")))), pa.list_(pa.float64()))]
