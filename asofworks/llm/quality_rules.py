@@ -7,13 +7,21 @@ good documents". Cut-offs are tested from the mildest on, and testing stops at
 the first that is not certified (fixed sequence), with the error level split
 over all strata and rules (Bonferroni). So with probability 1 - error no rule
 of any stratum drops more than its share, and all rules together no more than
-max_false_rejection of the good documents of a stratum. Among certified
+max_false_rejection of the good documents of a stratum. The test needs
+independent documents, so texts that are equal but for case and white space
+count once in a stratum. Among certified
 cut-offs that one is used which rejects most labelled bad documents, and of
 equals the mildest; a rule without a certified cut-off rejects nothing.
 
-Defined results: a null or empty text has no words and fails the base rule. A
-null stratum is a stratum of its own. A document with several labels counts
-once, as bad if any of them is bad.
+Cut-offs are found by one small group for each stratum and joined to the
+documents, so strata may be many; Spark chooses the join by their size.
+
+Defined results: a null or empty text has no words and fails the base rule; a
+text of any length is counted whole. A null stratum is a stratum of its own; one
+without labels has no cut-offs. A document with several labels counts once, as
+bad if any of them is bad. Repeated rows are judged alike; a ratio of exactly
+the cut-off is kept. An empty table gives an empty result. Kept columns named
+like a count are replaced by it.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
@@ -40,7 +48,6 @@ RATIOS = {
     "repeats": lambda: F.col("n_repeat_words") / F.col("n_words"),
 }
 GRID = 200
-MOST_STRATA = 10_000
 
 
 def repeat_words(words: list[bytes], size: int = 3) -> int:
@@ -83,9 +90,10 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     """P(X <= k) for X of Binomial(n, p), summed exactly in logarithms."""
     if k >= n:
         return 1.0
-    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(terms)
-    return min(1.0, math.exp(top) * sum(math.exp(t - top) for t in terms))
+    i = np.arange(k)
+    terms = n * math.log1p(-p) + np.concatenate([[0.0], np.cumsum(np.log((n - i) / (i + 1)) + math.log(p) - math.log1p(-p))])
+    top = terms.max()
+    return min(1.0, math.exp(top) * float(np.exp(terms - top).sum()))
 
 
 def certified_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, error: float) -> int:
@@ -104,39 +112,42 @@ def level(rule: str):
     return F.least(F.lit(GRID), F.floor(F.coalesce(RATIOS[rule](), F.lit(0.0)) * GRID)).cast("int")
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", label_col: str = "quality", max_false_rejection: float = 0.04, error: float = 0.05) -> dict[tuple, int]:
-    """(stratum, rule) -> the level above which the rule rejects; from all labelled documents that pass the base rule."""
+def plain_text(text_col: str) -> Column:
+    """Equal for texts that are equal but for case and white space."""
+    return F.xxhash64(F.regexp_replace(F.trim(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))), r"\s+", " "))
+
+
+def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", label_col: str = "quality", max_false_rejection: float = 0.04, error: float = 0.05) -> DataFrame:
+    """(stratum, rule, cutoff): the level above which the rule rejects; from all labelled documents that pass the base rule. measured may have _same, equal for texts that count once."""
     own = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).alias("good"))
-    passed = measured.where(~F.col("base_failed")).select(F.col(id_col).alias("label_id"), F.col(stratum).cast("string").alias("stratum"), *[level(r).alias(r) for r in RATIOS])
-    rows = passed.join(own, "label_id").select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RATIOS])).alias("x"))
-    found = rows.groupBy("stratum", "x.rule", "x.level").agg(F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") != 1).cast("long")).alias("bad")).collect()
-    strata = {r["stratum"] for r in found}
-    if len(strata) > MOST_STRATA:
-        raise ValueError(f"{len(strata)} strata; at most {MOST_STRATA} can be calibrated")
-    out = {}
-    for s in strata:
-        for rule in RATIOS:
-            good, bad = np.zeros(GRID + 1, np.int64), np.zeros(GRID + 1, np.int64)
-            for r in found:
-                if r["stratum"] == s and r["rule"] == rule:
-                    good[r["level"]], bad[r["level"]] = r["good"], r["bad"]
-            out[s, rule] = certified_cutoff(good, bad, max_false_rejection / len(RATIOS), error / (len(RATIOS) * len(strata)))
-    return out
-
-
-def apply_rules(measured: DataFrame, cutoffs: dict[tuple, int], stratum: str = "lang") -> DataFrame:
+    same = F.col("_same") if "_same" in measured.columns else F.monotonically_increasing_id()
+    passed = measured.where(~F.col("base_failed")).select(F.col(id_col).alias("label_id"), F.col(stratum).cast("string").alias("stratum"), same.alias("_same"), *[level(r).alias(r) for r in RATIOS])
+    once = passed.join(own, "label_id").groupBy("stratum", "_same").agg(F.min("good").alias("good"), *[F.max(r).alias(r) for r in RATIOS])
+    rows = once.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RATIOS])).alias("x"))
+    found = rows.groupBy("stratum", "x.rule", "x.level").agg(F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") != 1).cast("long")).alias("bad"))
+    found = checkpoint(found)  # the strata are counted before they are tested
+    strata = max(1, found.select("stratum").distinct().count())
+
+    def cut(pdf):  # at most GRID + 1 rows
+        good, bad = np.zeros(GRID + 1, np.int64), np.zeros(GRID + 1, np.int64)
+        good[pdf["level"]], bad[pdf["level"]] = pdf["good"], pdf["bad"]
+        own = certified_cutoff(good, bad, max_false_rejection / len(RATIOS), error / (len(RATIOS) * strata))
+        return pdf.iloc[:1][["stratum", "rule"]].assign(cutoff=own)
+
+    return found.groupBy("stratum", "rule").applyInPandas(cut, "stratum string, rule string, cutoff int")
+
+
+def apply_rules(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """measured and kept: not base_failed, and no rule's level above the cut-off of its stratum."""
+    limits = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RATIOS])
+    both = measured.join(limits, F.col(stratum).cast("string").eqNullSafe(F.col("_stratum")), "left")
     fine = ~F.col("base_failed")
     for rule in RATIOS:
-        limit = F.lit(GRID)
-        for (s, r), cut in cutoffs.items():
-            if r == rule and cut < GRID:
-                limit = F.when(F.col(stratum).cast("string").eqNullSafe(F.lit(s)), cut).otherwise(limit)
-        fine = fine & (level(rule) <= limit)
-    return measured.withColumn("kept", fine)
+        fine = fine & (level(rule) <= F.coalesce(F.col(f"_{rule}"), F.lit(GRID)))
+    return both.withColumn("kept", fine).select(*[F.col(f"`{c}`") for c in measured.columns if c != "kept"], "kept")
 
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", **risk: float) -> DataFrame:
     """id, stratum, COUNTS, base_failed and kept of every row; the counts are made once and kept in a checkpoint."""
-    measured = checkpoint(measure(df, text_col, [id_col, stratum]))
-    return apply_rules(measured, calibrate(measured, labels, id_col, stratum, **risk), stratum)
+    measured = checkpoint(measure(df.withColumn("_same", plain_text(text_col)), text_col, [id_col, stratum, "_same"]))
+    return apply_rules(measured, calibrate(measured, labels, id_col, stratum, **risk), stratum).drop("_same")
