@@ -4,25 +4,28 @@ A text becomes characters as SentencePiece does: spaces turn into the mark and
 one mark is put before the text. Of all ways to cut it into pieces the one with
 the largest sum of scores is taken (the unigram model's Viterbi search); a
 character that is no piece costs the lowest score less 10 and is written as its
-UTF-8 bytes. Sums are exact integers. Of equal sums a fixed one is taken: in a
-word or a text of one chunk that with the longest last piece, from the end.
-
-Giant texts are cut into chunks of CHUNK characters. The state at a chunk's
-border is how many characters beyond it the piece across it covers (0 to
-LONGEST - 1). A chunk yields its transfer matrix in max-plus algebra (best sum
-from each entry state to each exit state); matrices combine associatively,
-first within blocks of FAN chunks, then over a text's blocks; a backward pass
-over the small matrices gives every chunk's entry and exit state, and chunks
-are then cut into pieces each on its own.
-
-Within a chunk no piece goes on over a mark that follows another character, so
-there the state is always 0: words between such places are solved once, and
-remembered, and a chunk's matrix is the sum of a way in, a middle and a way
-out. A chunk without such a place is solved from each entry state.
+UTF-8 bytes. Sums are exact integers.
+
+No piece goes on over a mark that follows another character, so words between
+such places are solved each on its own, and remembered. Ties: in a word of up
+to LONG_WORD characters the longest last piece is taken, from the end; in a
+longer one the cut whose sum of tie weights (a hash of a piece's place in the
+word and its length) is largest. Both depend on the word alone, so ids do not
+depend on CHUNK (but for equal sums of 32-bit hashes).
+
+Giant texts are cut into chunks of about CHUNK characters, at a word's start or
+within a word of more than LONG_WORD. The state at a chunk's border is how many
+characters beyond it the piece across it covers (0 to LONGEST - 1). A chunk
+yields its transfer matrix in max-plus algebra (best sum, and of equal ones
+best tie weight, from each entry state to each exit state); matrices combine
+associatively, first within blocks of FAN chunks, then over a text's blocks; a
+backward pass over the small matrices gives every chunk's entry and exit state,
+and chunks are then cut into pieces each on its own.
 
 Defined results: a null or empty text has no pieces and score 0. A mark that
-stands in a text decodes to a space, as in SentencePiece. Repeated rows are
-encoded each.
+stands in a text decodes to a space, as in SentencePiece. Repeated rows, and
+rows that share an id, are encoded each. An empty table gives an empty result.
+Only id and text are read, so names of other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -83,6 +86,7 @@ class Vocabulary:
 
 #: Substring hashes: sums of character codes times powers of an odd number, brought to a common power and mixed.
 ODD = 0x9E3779B97F4A7C15
+MASK = (1 << 64) - 1
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -217,10 +221,13 @@ class Solver:
         for w, (word, a, b) in enumerate(zip(words, border[:-1].tolist(), border[1:].tolist(), strict=True)):
             self.known[word] = raw[a:b] if w not in odd else self.slow(word)
 
-    def forward(self, text: str, begin: int, end: int, beyond: int = 0) -> tuple[list[int], list[int]]:
-        """Best sums from begin to each place up to end + beyond over cuts before end, and the last piece's start for each."""
+    def forward(self, text: str, begin: int, end: int, beyond: int = 0, since: int = 0) -> tuple[list[int], list[int], list[int]]:
+        """Within a word: best sums from begin to each place up to end + beyond over cuts before end, their tie weights, and the last piece's start for each.
+
+        since: how far the word's start lies before begin.
+        """
         n = end - begin
-        best, back = [NEVER] * (n + beyond + 1), [-1] * (n + beyond + 1)
+        best, ties, back = [NEVER] * (n + beyond + 1), [0] * (n + beyond + 1), [-1] * (n + beyond + 1)
         best[0] = 0
         tree, unknown, longest = self.tree, self.v.unknown, self.v.longest
         own = text[begin : end + beyond]
@@ -228,7 +235,7 @@ class Solver:
             base = best[i]
             if base == NEVER:
                 continue
-            children, k = tree, i
+            children, k, tie, place = tree, i, ties[i], (since + i) << 8
             single = False
             for c in own[i : i + longest]:
                 node = children.get(c)
@@ -240,11 +247,15 @@ class Solver:
                     if k == i + 1:
                         single = True
                     score += base
-                    if score > best[k]:
-                        best[k], back[k] = score, i
-            if not single and base + unknown > best[i + 1]:
-                best[i + 1], back[i + 1] = base + unknown, i
-        return best, back
+                    if score >= best[k]:
+                        weight = tie + (((place + k - i) * ODD & MASK) >> 32)
+                        if score > best[k] or weight > ties[k]:
+                            best[k], ties[k], back[k] = score, weight, i
+            if not single and base + unknown >= best[i + 1]:
+                weight = tie + (((place + 1) * ODD & MASK) >> 32)
+                if base + unknown > best[i + 1] or weight > ties[i + 1]:
+                    best[i + 1], ties[i + 1], back[i + 1] = base + unknown, weight, i
+        return best, ties, back
 
     def ids_of(self, text: str, begin: int, back: list[int], at: int) -> bytes:
         out = []
@@ -261,7 +272,7 @@ class Solver:
         return array("I", out).tobytes()
 
     def slow(self, word: str) -> bytes:
-        _, back = self.forward(word, 0, len(word))
+        back = self.forward(word, 0, len(word))[2]
         return self.ids_of(word, 0, back, len(word))
 
     def many(self, marked: list[str]) -> list[bytes]:
@@ -290,63 +301,87 @@ class Solver:
             total += self.v.unknown * int(((self.byte_of[spelled] & 0xC0) != 0x80).sum())
         return total
 
-    def cuts(self, text: str, size: int, before: str) -> list[int]:
-        """Places in a chunk where a piece must begin."""
-        out = [m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}", text) if m.start() < size]
-        if text[:1] == MARK and before and before != MARK:
-            out.insert(0, 0)
-        return out
-
-    def matrix(self, text: str, size: int, before: str) -> np.ndarray:
-        """Best sums from each entry to each exit state. text: the chunk's size characters and up to longest - 1 beyond; before: the character before."""
+    def chunks(self, marked: str, chunk: int) -> list[tuple[int, int, int, bool]]:
+        """Of each chunk of a text: where it begins and ends, how far the word at its beginning has gone, and whether a word goes on over its end."""
+        starts = np.array([0, *(m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}", marked))])
+        stops = np.append(starts[1:], len(marked))
+        borders = [(0, 0)]
+        for b in range(chunk, len(marked), chunk):
+            w = int(np.searchsorted(starts, b, side="right")) - 1
+            at = b if stops[w] - starts[w] > LONG_WORD else int(starts[w])
+            if at > borders[-1][0]:
+                borders.append((at, at - int(starts[w])))
+        ends = [*borders[1:], (len(marked), 0)]
+        return [(a, b, since, on > 0) for (a, since), (b, on) in zip(borders, ends, strict=True)]
+
+    def parts(self, text: str, size: int, since: int, on: bool) -> tuple[int, int]:
+        """Where a chunk's first whole word begins, and where the word begins that goes on over its end (size: none)."""
+        starts = [m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}", text[:size])]
+        first = 0 if not since else starts[0] if starts else size
+        return first, (starts[-1] if starts else 0 if not since else size) if on else size
+
+    def matrix(self, text: str, size: int, since: int, on: bool) -> np.ndarray:
+        """Best sums, and their tie weights, from each entry to each exit state. text: the chunk's size characters and up to longest - 1 beyond."""
         s, states = self.v.longest, range(self.v.longest)
-        out = np.full((s, s), NEVER, np.int64)
-        cuts = self.cuts(text, size, before)
-        inner = [c for c in cuts if c >= min(s - 1, size)]
-        if inner:
-            first, last = inner[0], inner[-1]
-            ways_in = [self.forward(text, k, first)[0][-1] if k <= first else NEVER for k in states]
-            middle = self.whole(text[first:last])[0] if last > first else 0
-            ways_out = self.forward(text, last, size, s - 1)[0][size - last :]
-            for k in states:
-                if ways_in[k] > NEVER // 2:
-                    for e in states:
-                        if ways_out[e] > NEVER // 2:
-                            out[k, e] = ways_in[k] + middle + ways_out[e]
-        else:
+        out = np.stack([np.full((s, s), NEVER, np.int64), np.zeros((s, s), np.int64)])
+        first, last = self.parts(text, size, since, on)
+        if since and first == size:  # inside one word
             for k in states:
                 if k <= size:
-                    out[k] = self.forward(text, k, size, s - 1)[0][size - k :]
+                    best, ties, _ = self.forward(text, k, size, s - 1 if on else 0, since + k)
+                    out[0, k, : len(best) - size + k], out[1, k, : len(best) - size + k] = best[size - k :], ties[size - k :]
                 else:
-                    out[k, k - size] = 0
-        out[out < NEVER // 2] = NEVER
+                    out[0, k, k - size] = 0
+        else:
+            middle = self.whole(text[first:last])[0] if last > first else 0
+            ways_out = self.forward(text, last, size, s - 1) if on else ([0], [0], [])
+            best, ties = (np.array(x[size - last :] if on else x) for x in ways_out[:2])
+            for k in states if since else (0,):
+                if k <= first:
+                    into = self.forward(text, k, first, 0, since + k)
+                    if into[0][-1] > NEVER // 2:
+                        out[0, k, : len(best)], out[1, k, : len(best)] = into[0][-1] + middle + best, into[1][-1] + ties
+        out[0][out[0] < NEVER // 2] = NEVER
+        out[1][out[0] == NEVER] = 0
         return out
 
-    def between(self, text: str, size: int, before: str, entry: int, leave: int) -> bytes:
+    def between(self, text: str, size: int, since: int, on: bool, entry: int, leave: int) -> bytes:
         """The ids of the pieces that begin in a chunk, given its states."""
-        inner = [c for c in self.cuts(text, size, before) if c >= entry]
+        first, last = self.parts(text, size, since, on)
         if entry > size or (entry == size and leave == 0):
             return b""
-        first, last = (inner[0], inner[-1]) if inner else (entry, entry)
-        head = self.ids_of(text, entry, self.forward(text, entry, first)[1], first - entry) if first > entry else b""
+        if since and first == size:
+            back = self.forward(text, entry, size, leave, since + entry)[2]
+            return self.ids_of(text, entry, back, size + leave - entry)
+        head = self.ids_of(text, entry, self.forward(text, entry, first, 0, since + entry)[2], first - entry) if first > entry else b""
         middle = self.whole(text[first:last])[1] if last > first else b""
-        back = self.forward(text, last, size, self.v.longest - 1)[1]
-        return head + middle + self.ids_of(text, last, back, size + leave - last)
+        tail = self.ids_of(text, last, self.forward(text, last, size, leave)[2], size + leave - last) if on else b""
+        return head + middle + tail
+
+
+def best_of(sums: np.ndarray, ties: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """Along axis the largest sums, and of equal ones the largest tie weight."""
+    top = sums.max(axis=axis, keepdims=True)
+    return np.maximum(top.squeeze(axis), NEVER), np.where(sums == top, ties, -1).max(axis=axis)
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product: first a, then b."""
-    return np.maximum((a[:, :, None] + b[None]).max(axis=1), NEVER)
+    return np.stack(best_of(a[0][:, :, None] + b[0][None], a[1][:, :, None] + b[1][None], 1))
 
 
 def walk(matrices: list[np.ndarray], entry: int, leave: int) -> list[tuple[int, int]]:
     """Entry and exit state of each part on the best way from entry to leave."""
-    ways = [matrices[0][entry]]
+    ways = [matrices[0][:, entry]]
     for m in matrices[1:]:
-        ways.append(np.maximum((ways[-1][:, None] + m).max(axis=0), NEVER))
+        ways.append(np.stack(best_of(ways[-1][0][:, None] + m[0], ways[-1][1][:, None] + m[1], 0)))
     out, state = [], leave
     for i in range(len(matrices) - 1, -1, -1):
-        before = entry if i == 0 else int((ways[i - 1] + matrices[i][:, state]).argmax())
+        if i == 0:
+            before = entry
+        else:
+            sums = ways[i - 1][0] + matrices[i][0][:, state]
+            before = int(np.where(sums == sums.max(), ways[i - 1][1] + matrices[i][1][:, state], -1).argmax())
         out.append((before, state))
         state = before
     return out[::-1]
@@ -354,7 +389,7 @@ def walk(matrices: list[np.ndarray], entry: int, leave: int) -> list[tuple[int,
 
 def square(raw: bytes) -> np.ndarray:
     m = np.frombuffer(raw, np.int64)
-    return m.reshape(int(len(m) ** 0.5), -1)
+    return m.reshape(2, round((len(m) / 2) ** 0.5), -1)
 
 
 _solvers: dict = {}
@@ -394,18 +429,18 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 rows, at = [], []
                 for i, text in enumerate(Texts(b.column("text")).strings()):
                     marked = MARK + text.replace(" ", MARK)
-                    count = -(-len(marked) // chunk)
-                    for c in range(count):
-                        piece, before = marked[c * chunk : (c + 1) * chunk + beyond], marked[c * chunk - 1] if c else ""
-                        rows.append(((part << 40) + n, c, count, piece, before, own.matrix(piece, min(chunk, len(marked) - c * chunk), before).tobytes()))
+                    cut = own.chunks(marked, chunk)
+                    for c, (begin, stop, since, on) in enumerate(cut):
+                        piece = marked[begin : stop + beyond]
+                        rows.append(((part << 40) + n, c, stop - begin, since, on, piece, own.matrix(piece, stop - begin, since, on).tobytes()))
                         at.append(i)
                     n += 1
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary()]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.binary()]
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array(at, pa.int64())), *columns], [id_col, "row", "chunk", "chunks", "text", "before", "matrix"])
+                yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array(at, pa.int64())), *columns], [id_col, "row", "chunk", "size", "since", "on", "text", "matrix"])
 
     # the chunks of giant texts are written once: their rows' numbers must not change
-    giant = checkpoint(source.where(is_giant).mapInArrow(cut, f"`{id_col}` {kind}, row long, chunk int, chunks int, text string, before string, matrix binary")).withColumn("block", F.floor(F.col("chunk") / FAN).cast("int"))
+    giant = checkpoint(source.where(is_giant).mapInArrow(cut, f"`{id_col}` {kind}, row long, chunk int, size int, since long, on boolean, text string, matrix binary")).withColumn("block", F.floor(F.col("chunk") / FAN).cast("int"))
 
     def block_matrix(pdf):
         pdf = pdf.sort_values("chunk")
@@ -420,8 +455,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         states = walk(ms, 0, 0)
         total = ms[0]
         for m in ms[1:]:
-            total = combine(total[:1], m)
-        return pdf[["row", "block"]].assign(entry=[s[0] for s in states], leave=[s[1] for s in states], score=int(total[0, 0]))
+            total = combine(total[:, :1], m)
+        return pdf[["row", "block"]].assign(entry=[s[0] for s in states], leave=[s[1] for s in states], score=int(total[0, 0, 0]))
 
     def chunk_states(pdf):
         pdf = pdf.sort_values("chunk")
@@ -438,13 +473,13 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
         def f(b: pa.RecordBatch) -> list:
             out = []
-            for text, before, entry, leave, c, count in zip(*(b.column(k).to_pylist() for k in ("text", "before", "entry", "leave", "chunk", "chunks")), strict=True):
-                out.append(own.between(text, len(text) if c == count - 1 else chunk, before, entry, leave))
+            for row in zip(*(b.column(k).to_pylist() for k in ("text", "size", "since", "on", "entry", "leave")), strict=True):
+                out.append(own.between(*row))
             return [pa.array(out, pa.binary())]
 
         return f
 
-    solved = annotate(giant.drop("matrix", "block").join(states, ["row", "chunk"]), [StructField("ids", BinaryType())], start, ["text", "before", "entry", "leave", "chunk", "chunks"], [id_col, "row", "chunk", "score"])
+    solved = annotate(giant.drop("matrix", "block").join(states, ["row", "chunk"]), [StructField("ids", BinaryType())], start, ["text", "size", "since", "on", "entry", "leave"], [id_col, "row", "chunk", "score"])
 
     def join_ids(pdf):
         pdf = pdf.sort_values("chunk")
