@@ -1,45 +1,60 @@
 """Format-preserving pseudonyms for personal data and secrets.
 
-Each value that is found and validated is mapped to a number below the count
-of all values of its format, permuted by a keyed Feistel network over that
+Each value that is found and validated is brought to a canonical form (a day, a
+lower-cased address, all digits of a number), mapped to a number below the
+count of all values of its kind, permuted by a keyed Feistel network over that
 range (cycle-walking where the network's range is larger), and written back in
-the same format. So a card number keeps its length, separators and check-digit
-state, an IBAN its country and valid check digits, a date stays a date, and
-equal values get equal pseudonyms in all documents. With the key, `reveal`
-undoes it.
-
-Formats: e-mail addresses, IPv4 addresses, card numbers (13 to 19 digits),
-IBANs, US social security numbers, telephone numbers, dates from 1900 to 2099
-(ISO, dotted, slashed) and quoted or bare hexadecimal secrets of 32 digits and
-more.
-
-Defined results: null stays null; a text without such values is unchanged.
-Overlapping findings: the one that begins first counts, of those the one
-listed first. A number that fails its format's validation is left alone,
-except that digits of a card's length without a valid check digit stay so.
+the format that was found. So a card number keeps its length, separators and
+valid check digit, an IBAN its country, a telephone number its country code, a
+date stays a date, and equal values get equal pseudonyms in all documents, in
+whatever way they are written: 2020-03-04, 04.03.2020 and 4.3.2020 stay one
+day, addresses in two cases one address. With the key, `reveal` undoes it.
+
+Formats: e-mail addresses, IPv4 addresses, card numbers (13 to 19 digits with a
+valid check digit), IBANs, US social security numbers, telephone numbers, dates
+from 1900 to 2099 (ISO, dotted, slashed) and quoted or bare hexadecimal secrets
+of 32 digits and more. Two properties of a day are kept, so that it can be read
+back from any way of writing: whether its day comes after the 12th, and whether
+day or month has one digit.
+
+Defined results: null stays null; an empty text, or one without such values, is
+unchanged. Overlapping findings: the one that begins first counts, of those the
+one listed first. A number that fails its format's validation is left alone. A
+text of any length is read whole; every search is linear in its length.
+Repeated rows are treated alike; an empty table gives an empty result. A column
+with the name of the count of replacements is replaced by it; all others are
+kept as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
+from bisect import bisect_left
 from collections.abc import Callable
 from datetime import date, timedelta
+from functools import cache
 from math import isqrt
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
 from .common import Texts, annotate
 
-#: Only for tests and examples: a real run passes its own secret.
-KEY = b"example key, replace it"
+#: The session's setting with the secret key.
+KEY_CONF = "spark.asofworks.pseudonyms.key"
 ROUNDS = 8
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting; without it a new random one, kept nowhere: values stay linked, and nobody can undo it."""
+    return spark.conf.get(KEY_CONF, "").encode() or secrets.token_bytes(32)
+
+
 class Feistel:
     """Keyed permutations of range(size), one for each size and tweak."""
 
@@ -97,7 +112,9 @@ def spread(text: str, f: Feistel, tweak: bytes, back: bool, hexadecimal: bool =
 def email(m: str, f: Feistel, back: bool) -> str:
     local, _, domain = m.partition("@")
     first, dot, rest = domain.partition(".")
-    return spread(f"{local}@{first}", f, b"email", back) + dot + rest
+    found = f"{local}@{first}"
+    new = spread(found.lower(), f, b"email", back)
+    return "".join(c.upper() if old.isupper() else c for c, old in zip(new, found, strict=True)) + dot + rest
 
 
 def ipv4(m: str, f: Feistel, back: bool) -> str | None:
@@ -110,12 +127,11 @@ def ipv4(m: str, f: Feistel, back: bool) -> str | None:
 
 def card(m: str, f: Feistel, back: bool) -> str | None:
     digits = re.sub(r"\D", "", m)
-    if not 13 <= len(digits) <= 19:
+    if not 13 <= len(digits) <= 19 or luhn(digits):
         return None
-    state = luhn(digits)
     body = f.permute(int(digits[:-1]), 10 ** (len(digits) - 1), b"card%d" % len(digits), back)
     own = f"{body:0{len(digits) - 1}d}"
-    return refill(m, own + str((state - luhn(own + "0")) % 10))
+    return refill(m, own + str(-luhn(own + "0") % 10))
 
 
 def iban(m: str, f: Feistel, back: bool) -> str | None:
@@ -141,19 +157,40 @@ def ssn(m: str, f: Feistel, back: bool) -> str | None:
     return f"{AREAS[a]:03d}-{g + 1:02d}-{s + 1:04d}"
 
 
+# Country codes of one and of two digits; all others have three.
+ONE_DIGIT = frozenset("1 7".split())
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def phone(m: str, f: Feistel, back: bool) -> str | None:
-    keep = re.match(r"\+\d{1,3}(?=[ (.-])|\+\d|", m).group()
-    digits = re.sub(r"\D", "", m[len(keep) :])
-    if not 7 <= len(digits) <= 14:
+    """Numbers with + keep their country code; those without are national ones of code 1."""
+    digits = re.sub(r"\D", "", m)
+    code = "1" if m[0] != "+" else digits[: 1 if digits[:1] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3]
+    rest = digits[len(code) :] if m[0] == "+" else digits
+    if not 7 <= len(rest) <= 14:
         return None
-    v = f.permute(int(digits), 10 ** len(digits), b"phone%d" % len(digits), back)
-    return keep + refill(m[len(keep) :], f"{v:0{len(digits)}d}")
+    v = f.permute(int(rest), 10 ** len(rest), b"phone%s|%d" % (code.encode(), len(rest)), back)
+    return refill(m, (code if m[0] == "+" else "") + f"{v:0{len(rest)}d}")
 
 
 FIRST = date(1900, 1, 1)
 DAYS = (date(2100, 1, 1) - FIRST).days
 
 
+def kind_of(day: date) -> tuple[bool, bool]:
+    """What decides how a day may be written: after the 12th, and a day or month of one digit."""
+    return day.day > 12, min(day.day, day.month) < 10
+
+
+@cache
+def days_by_kind() -> dict[tuple[bool, bool], list[date]]:
+    out: dict[tuple[bool, bool], list[date]] = {}
+    for n in range(DAYS):
+        day = FIRST + timedelta(n)
+        out.setdefault(kind_of(day), []).append(day)
+    return out
+
+
 def calendar(m: str, f: Feistel, back: bool) -> str | None:
     """Dates: year-month-day, day.month.year, month/day/year (day/month/year where only that is one)."""
     sep = re.search(r"[-./]", m).group()
@@ -161,25 +198,21 @@ def calendar(m: str, f: Feistel, back: bool) -> str | None:
     padded = all(len(p) > 1 for p in parts)
     n = list(map(int, parts))
     order = {"-": (0, 1, 2), ".": (2, 1, 0), "/": (2, 0, 1)}[sep]
-    late = sep == "/" and n[0] > 12  # the day comes first
-    if late:
+    if sep == "/" and n[0] > 12:  # the day comes first
         order = (2, 1, 0)
     try:
         day = date(*(n[i] for i in order))
     except ValueError:
         return None
-    if not 0 <= (v := (day - FIRST).days) < DAYS:
+    if not 0 <= (day - FIRST).days < DAYS:
         return None
-    style = b"date" + sep.encode() + b"dm"[late : late + 1] + b"01"[padded : padded + 1]
-    while True:  # within dates that are written in the same way
-        v = f.permute(v, DAYS, style, back)
-        day = FIRST + timedelta(v)
-        own = [0, 0, 0]
-        for value, i in zip((day.year, day.month, day.day), order, strict=True):
-            own[i] = value
-        text = sep.join((f"{x:02d}" if padded else str(x)) for x in own)
-        if (not late or day.day > 12) and (padded or min(day.day, day.month) < 10):
-            return text
+    kind = kind_of(day)
+    alike = days_by_kind()[kind]
+    day = alike[f.permute(bisect_left(alike, day), len(alike), b"date%d%d" % kind, back)]
+    own = [0, 0, 0]
+    for value, i in zip((day.year, day.month, day.day), order, strict=True):
+        own[i] = value
+    return sep.join((f"{x:02d}" if padded else str(x)) for x in own)
 
 
 def secret(m: str, f: Feistel, back: bool) -> str | None:
@@ -198,7 +231,7 @@ KINDS: list[tuple[str, str, Callable[[str, Feistel, bool], str | None]]] = [
     ("date", r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d)", calendar),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     ("card", r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\w|-\d)", card),
-    ("phone", r"(?<![\w])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", phone),
+    ("phone", r"(?<![\w])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", phone),
 ]
 NUMBERS = re.compile("|".join(f"(?P<{name}>{re.sub(r'\\([12])', lambda m: f'(?P=c{m[1]})', re.sub(r'\(\[ -\]\)', lambda m, n=iter('12'): f'(?P<c{next(n)}>[ -])', pattern))})" for name, pattern, _ in KINDS))
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
@@ -236,8 +269,10 @@ def pseudonyms(text: str, f: Feistel, back: bool = False) -> tuple[str, int]:
     return "".join([*out, text[last:]]), len(found)
 
 
-def pseudonymise(df: DataFrame, key: bytes = KEY, text_col: str = "text", keep: list[str] | None = None, count_out: str = "n_pseudonyms", back: bool = False) -> DataFrame:
+def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", keep: list[str] | None = None, count_out: str = "n_pseudonyms", back: bool = False) -> DataFrame:
     """keep (default: all columns of df, in their order) with the text replaced, and the number of replacements."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
 
     def start():
         f = Feistel(key)
@@ -261,6 +296,6 @@ def pseudonymise(df: DataFrame, key: bytes = KEY, text_col: str = "text", keep:
     return done.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col, count_out])])
 
 
-def reveal(df: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+def reveal(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """Undoes pseudonymise with the same key, for values whose pseudonyms stand apart as the values did."""
     return pseudonymise(df, key, text_col, back=True)
