@@ -5,10 +5,11 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from asofworks.llm import gif, graph, html_text, langid, lm_mixing, packing, pieces, pii, quality_gam, quality_rules, simhash
+from asofworks.llm import gif, graph, html_text, langid, lm_mixing, lm_model, packing, pieces, pii, quality_gam, quality_rules, simhash
 from asofworks.llm.common import hash_sample, held
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, batch int, component_id long"
@@ -44,9 +45,11 @@ def key(r):
 
 
 def test_hash_sample(docs, empty):
-    assert hash_sample(docs, "doc_id", 1000).count() == docs.count()
-    assert 0 < hash_sample(docs, "doc_id", 20).count() < docs.count()
-    assert hash_sample(empty, "doc_id", 5, "lang").count() == 0
+    assert hash_sample(docs, ["doc_id", "text"], 1000).count() == docs.distinct().count()
+    assert 0 < hash_sample(docs, ["doc_id", "text"], 20).count() < docs.count()
+    assert hash_sample(empty, ["doc_id", "text"], 5, "lang").count() == 0
+    same = docs.sparkSession.range(3000).select(F.lit(7).alias("doc_id"), F.lit("one text").alias("text"), F.lit("en").alias("lang"))
+    assert hash_sample(same, ["doc_id", "text"], 20).count() <= 1 and hash_sample(same, ["doc_id", "text"], 5000, "lang").count() == 1
 
 
 def test_language(docs, empty):
@@ -149,14 +152,21 @@ def test_packing(docs, empty):
 
 
 def test_pseudonyms(docs, empty):
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs.withColumn("n_pseudonyms", F.lit(-1)), b"key")
     got = sorted(((r["doc_id"], r["text"], r["n_pseudonyms"]) for r in out.collect()), key=key)
     assert out.columns == [*docs.columns, "n_pseudonyms"]
     want = sorted(((r[0], r[1]) for r in rows()), key=key)
     assert [(a[0], a[1]) for a in got if a[0] != 105] == [w for w in want if w[0] != 105]
     assert next(a for a in got if a[0] == 105)[2] == 2
-    assert sorted(((r["doc_id"], r["text"]) for r in pii.reveal(out.drop("n_pseudonyms")).collect()), key=key) == want
-    assert pii.pseudonymise(empty).count() == 0
+    assert sorted(((r["doc_id"], r["text"]) for r in pii.reveal(out, b"key").collect()), key=key) == want
+    assert pii.pseudonymise(empty, b"key").count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, b"")
+    spark = docs.sparkSession
+    assert pii.session_key(spark) != pii.session_key(spark)  # no key, so nobody has it
+    spark.conf.set(pii.KEY_CONF, "secret")
+    assert pii.session_key(spark) == b"secret"
+    spark.conf.unset(pii.KEY_CONF)
 
 
 def test_media(docs, empty):
@@ -174,15 +184,17 @@ def test_media(docs, empty):
     assert gif.store(empty).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [1 << 16, 500])
-def test_pieces(docs, empty, chunk):
-    out = pieces.decode(pieces.encode(docs, chunk=chunk)).collect()
+def test_pieces(docs, empty):
+    whole = pieces.encode(docs).collect()
     s = pieces.solver(None)
-    assert Counter((r["doc_id"], r["decoded"]) for r in out) == Counter((r[0], r[1] or "") for r in rows())
     texts = {r[0]: r[1] or "" for r in rows()}
-    for r in out:
+    for r in whole:
         m = pieces.MARK + texts[r["doc_id"]].replace(" ", pieces.MARK) if texts[r["doc_id"]] else ""
         assert r["score"] == (s.forward(m, 0, len(m))[0][-1] if m else 0)
+    chunked = pieces.encode(docs, chunk=500)
+    assert Counter((r["doc_id"], bytes(r["ids"]), r["score"]) for r in chunked.collect()) == Counter((r["doc_id"], bytes(r["ids"]), r["score"]) for r in whole)
+    out = pieces.decode(chunked).collect()
+    assert Counter((r["doc_id"], r["decoded"]) for r in out) == Counter((r[0], r[1] or "") for r in rows())
     assert pieces.digest(empty).count() == 0
 
 
@@ -207,18 +219,64 @@ def test_language_model(docs, empty):
 
 def test_language_model_counts_all_documents(spark):
     texts = [f"one two{' ' if i % 5 else chr(9)}three  four{chr(10) if i % 7 else ''}" + "z" * (i % 11) for i in range(300)]
-    model = lm_mixing.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), sample_docs=6)
-    data = [t.encode() + b"\xff" for t in texts]
-    seen, ends, gaps = Counter(b for t in data for b in t), Counter(), 0
-    for t in data:
+    training = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts = lm_mixing.token_counts(training).cache()
+    found = {bytes(r["token"]): r["c"] for r in counts.collect()}
+    assert {w: c for w, c in found.items() if w[:1] != b" "} == Counter(w for t in texts for w in t.encode().split())
+    assert found[b" "] == 300
+    after, between = Counter(), Counter()
+    for t in texts:
+        t = t.encode() + b"\xff"
         for k, b in enumerate(t):
             if b in b" \t\n\xff":
-                gaps += 1
-                ends[b] += k > 0 and t[k - 1] not in b" \t\n\xff"
-    total = sum(ends.values())
-    assert [math.exp(-model.gaps[b]) for b in b" \t\n\xff"] == pytest.approx([(ends[b] + 0.5) / (total + 3.5) for b in b" \t\n\xff"])
-    assert math.exp(-model.wide[1]) == pytest.approx((gaps - total + 1) / (gaps + 2))
-    assert (model.tree.size == lm_mixing.Tree.of([seen[b] for b in range(256)]).size).all()
+                (after if k and t[k - 1] not in b" \t\n" else between)[b] += 1
+    assert {w[2]: c for w, c in found.items() if w[:2] == b" a"} == after and {w[2]: c for w, c in found.items() if w[:2] == b" b"} == between
+    model = lm_mixing.fit(training, counts, sample_docs=6)
+    assert (model.n_tokens, model.n_distinct) == (300 + sum(c for w, c in found.items() if w[:1] != b" "), 1 + sum(w[:1] != b" " for w in found))
+    code = model.code
+    raw = np.zeros((lm_model.CONTEXTS, 2 * lm_model.SLOTS), np.int32)
+    lm_model.count_into(raw, code, [t.encode() for t in texts])
+    for k in range(lm_model.CONTEXTS):
+        values, less = lm_model.tables(raw[k])
+        assert (model.values[k] == values).all() and (model.less[k] == less).all()
+
+
+def test_continuations_by_brute_force(spark):
+    """What batches name, counted again over all of them; and copies are told by each other."""
+    r = random.Random(2)
+    passage = " ".join(f"p{r.randrange(500)}" for _ in range(90))
+    texts = [" ".join(f"w{r.randrange(300)}" for _ in range(80)) + (" " + passage if i % 3 == 0 else "") for i in range(60)]
+    twice = [i for i in range(60) if i % 3 and zlib.crc32(str(i).encode()) % 7 != 2][:2]  # both are learned from
+    texts[twice[0]] = texts[twice[1]] = " ".join(f"v{r.randrange(900)}" for _ in range(150))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 7 == 2).withColumn("batch", (F.col("doc_id") % 3).cast("int"))
+    code = lm_model.Code.of([], 1, [1] * 7, [1] * 7, [[1] * 256] * 3)
+    shared = spark.sparkContext.broadcast(lm_model.Model(code, None, None, None, None, None, n_tokens=1))
+    got = {}
+    for x in lm_mixing.continuations(docs.repartitionById(3, "batch"), shared).collect():
+        got.setdefault((x["batch"], x["key"]), set()).add((x["name"], x["n"], bytes(x["code"])))
+    votes, asking, places = {}, {}, Counter()
+    for batch in range(3):
+        own = {}
+        for i in range(batch, 60, 3):
+            w = lm_model.Words([texts[i].encode()])
+            units, border = w.units(code)
+            for a, k, b in zip(*(x.tolist() for x in w.keyed()), strict=True):
+                asking.setdefault((batch, k), set()).add(i % 7 == 2)
+                if i % 7 != 2:
+                    own.setdefault(k, Counter())[units[border[a] : border[b]]] += 1
+                    places[k] += 1
+        for k, found in own.items():
+            part, n = max(found.items(), key=lambda x: (x[1], x[0]))
+            votes.setdefault(k, Counter())[part] += n
+    want = {}
+    for (batch, k), who in asking.items():
+        if k in votes and (True in who or places[k] > 1):
+            top = sorted(((-n, lm_model.name_of(p), p) for p, n in votes[k].items()))[:2]
+            want[batch, k] = {(name, -n, p) for n, name, p in top}
+    assert got == want and len(want) > 20
+    out = {x["doc_id"]: x["bits_per_byte"] for x in lm_mixing.fit_and_score(docs.select("doc_id", "text")).collect()}
+    others = [v for k, v in out.items() if k not in twice]
+    assert max(out[k] for k in twice) < 0.5 * min(others)
 
 
 def test_pages(spark):

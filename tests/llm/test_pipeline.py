@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     """Each stage's input and output, written and read again."""
+    spark.conf.set(pii.KEY_CONF, "key of the test")
     out, docs = [], table(spark, SF, "documents")
     for k, (name, f) in enumerate(corpus_pipeline.STAGES):
         path = str(tmp_path_factory.mktemp("stage") / str(k))
@@ -104,7 +105,7 @@ def test_an_id_with_two_texts_keeps_both(spark):
 
 def test_private_and_packed(stages):
     _, docs, done = stages[3]
-    f = pii.Feistel(pii.KEY)
+    f = pii.Feistel(b"key of the test")
     assert rows(done) == {k: pii.pseudonyms(t, f)[0] for k, t in rows(docs).items()}
     _, docs, done = stages[4]
     from asofworks.llm.tokens import Encoder
