@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data; n_chars follows a text that has changed."""
-    done = pii.pseudonymise(docs, count_out="_pseudonyms")
+    done = pii.pseudonymise(docs, pii.session_key(spark), count_out="_pseudonyms")
     return done.withColumn("n_chars", F.when(F.col("_pseudonyms") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_pseudonyms")
 
 
