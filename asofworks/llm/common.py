@@ -62,7 +62,7 @@ def written(df: DataFrame) -> DataFrame:
     """df, written as a Parquet table to the cluster's shared checkpoint folder and read again."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/table-{uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -9,11 +9,15 @@ the string of the run's code k - 258 and one sample more), so lengths and
 samples are found by pointer jumping instead of a table built code by code.
 
 `encode` writes 8-bit samples as grey frames, losslessly. `store` turns a text
-column into such media and reads the stored bytes back.
-
-Defined results: a null or empty text is a payload of 576 bytes of 255. Equal
-texts get equal media and features. Bytes that are no GIF, or a broken one,
-raise ValueError in `decode` and give a null in `frames`.
+column into such media, writes the column as a table and reads the stored bytes
+back: payload, digests, brightness feature, times and colour histogram.
+
+Defined results: a null or empty text is a payload of 576 bytes of 255; a text
+of any length is stored whole, in frames of at most 36,864 samples. Equal texts
+get equal media and features, so repeated rows do. An empty table gives an empty
+result. Kept columns named like a result are replaced. Bytes that are no GIF, or
+a broken one, raise ValueError in `decode` and `measured` and give a null in
+`frames`.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField
 
-from .common import Texts, annotate
+from .common import Texts, annotate, written
 
 SIDE = 24
 BLOCK = SIDE * SIDE
@@ -248,23 +252,36 @@ def payload_of(raw: bytes) -> bytes:
     return raw + b"\xff" * (-len(raw) % BLOCK if raw else BLOCK)
 
 
-def store(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, media: bool = True) -> DataFrame:
-    """keep (default: all columns of df), the media bytes (if media), and what is read back from them."""
-    fields = [StructField("media", BinaryType())] if media else []
-    fields += [StructField("n_bytes", LongType()), StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()), StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("feature", StringType()), StructField("n_frames", IntegerType()), StructField("duration_ms", LongType())]
+def media(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """keep (default: all columns of df), n_bytes of the text and its media bytes."""
+
+    def f(batch: pa.RecordBatch) -> list:
+        texts = list(Texts(batch.column(text_col)))
+        return [pa.array([len(raw) for raw in texts], pa.int64()), pa.array([encode(payload_of(raw)) for raw in texts], pa.binary())]
+
+    return annotate(df, [StructField("n_bytes", LongType()), StructField("media", BinaryType())], lambda: f, [text_col], df.columns if keep is None else keep, text_col)
+
+
+def measured(df: DataFrame, media_col: str = "media", keep: list[str] | None = None) -> DataFrame:
+    """keep (default: all columns of df) and what stored media bytes hold: payload, digests, feature, frames, times, colour histogram."""
+    fields = [StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()), StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("feature", StringType()), StructField("n_frames", IntegerType()), StructField("duration_ms", LongType()), StructField("histogram", ArrayType(IntegerType()))]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
 
     def f(batch: pa.RecordBatch) -> list:
         rows = []
-        for raw in Texts(batch.column(text_col)):
-            gif = encode(payload_of(raw))
-            frames = decode(gif)
+        for raw in Texts(batch.column(media_col)):
+            frames = decode(raw)
             back = b"".join(x.samples.tobytes() for x in frames)
-            own = [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(gif), hashlib.sha256(gif).hexdigest(), bytes(grey_levels(frames).astype(np.uint8)).hex(), len(frames), sum(x.delay_ms for x in frames)]
-            rows.append([gif, *own] if media else own)
-        types = [pa.binary()] * media + [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+            colours = sum(histogram(x) for x in frames) // max(1, len(frames))
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), bytes(grey_levels(frames).astype(np.uint8)).hex(), len(frames), sum(x.delay_ms for x in frames), colours.tolist()))
         return [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
 
-    return annotate(df, fields, lambda: f, [text_col], df.columns if keep is None else keep, text_col)
+    return annotate(df, fields, lambda: f, [media_col], df.columns if keep is None else keep, media_col)
+
+
+def store(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """keep (default: all columns of df), n_bytes, the media column as it was written to the shared folder, and what is read back from it."""
+    return measured(written(media(df, text_col, keep)))
 
 
 def frames(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:

@@ -31,7 +31,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.store(table(spark, sf_dir, "documents"), keep=["doc_id"], media=False)
+    return gif.store(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("media")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
