@@ -11,8 +11,12 @@ in the plan. The ranks come from windows over (length, hash bucket) and sums
 over buckets, so that a length with a third of all pieces is dealt out.
 
 Defined results: a null or empty text is one piece, the end token. Repeated
-rows are packed each. A longer document is cut from its end, so its first
-piece may be the short one. An empty table gives an empty result.
+rows, and rows that share an id, are packed each. A longer document, however
+long, is encoded whole and cut from its end, so its first piece may be the short
+one. Ties: of two pairs that fill a gap equally the one with the longer piece is
+taken; pieces of equal length are dealt by a hash of id, piece and content. An
+empty table gives an empty result. Only id and text are read, so names of other
+columns cannot clash.
 """
 
 from __future__ import annotations

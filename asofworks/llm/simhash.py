@@ -20,8 +20,13 @@ tasks: sending every tree everywhere would grow with the square of the corpus.
 
 Defined results: a null or empty text, or one of white space only, has
 fingerprint 0 and links like any other. Repeated rows and exact copies share
-one node. An id of null takes part; a component's id is its smallest non-null
-id. An empty table gives an empty result.
+one node; rows that share an id are told apart by their texts. A text of any
+length is read whole. A bit that exactly half of the hashes have is 0. An id of
+null takes part; a component's id is its smallest non-null id. An empty table
+gives an empty result. Kept columns named like a result are replaced.
+
+Joins on fingerprints and roots may be skewed by masses of copies; their other
+side has one row a key, so adaptive execution splits them.
 """
 
 from __future__ import annotations
@@ -418,8 +423,11 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of near copies one row: the smallest id, then the smallest hash of the text. An id with texts of several groups stands in each."""
     _, rooted = copy_components(df, id_col, text_col)
-    kept = rooted.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("k")).select(F.col("k.first_id").alias(id_col), F.col("k.node").alias("node"))
-    return df.withColumn("node", copy_node(text_col)).join(kept, [id_col, "node"], "left_semi").dropDuplicates([id_col, "node"]).select(*df.columns)
+    own = "_node"
+    while own in {c.lower() for c in df.columns}:
+        own += "_"
+    kept = rooted.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("k")).select(F.col("k.first_id").alias(id_col), F.col("k.node").alias(own))
+    return df.withColumn(own, copy_node(text_col)).join(kept, [id_col, own], "left_semi").dropDuplicates([id_col, own]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
