@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from asofworks.llm import langid, packing, pii, quality_gam, simhash
@@ -122,3 +123,19 @@ def test_private_and_packed(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[-1][2].count()
+
+
+def test_stages_take_nulls_and_empty_tables(spark):
+    """Each stage on rows with nulls, repeats and columns of clashing names, and on no rows."""
+    own = table(spark, SF, "documents")
+    names = ["_language", "_quality", "_good", "_pseudonyms", "node", "n_pseudonyms", "score"]
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (1, "", "en", "s", 0), (2, " \n", None, "s", 3), (3, "12 34", "en", None, 5), (3, "12 34", "en", None, 5)], own.schema)
+    docs = own.limit(30).unionByName(odd)
+    for c in names:
+        docs = docs.withColumn(c, F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "best-fit packing":
+            assert out.columns == docs.columns and {tuple(r) for r in out.select(*names).distinct().collect()} == {("mine",) * len(names)}
+        assert out.count() > 0
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -319,6 +319,21 @@ def test_main_text():
     assert html_text.labels(html_text.parse("<p>a</p>")[0]) is None
 
 
+@pytest.mark.parametrize("page", ["<a " * 8000, "<b>" * 8000 + "</i>" * 8000, '<a "' * 8000, "<!" * 8000, "<p><td>" + "<b>" * 8000 + "<hr>" * 8000, "<div>" * 8000 + "<td></td>" * 8000, "<!--" * 8000, "<" * 50000, "&" * 50000, "<a " + "class='" * 8000 + ">"])
+def test_hostile_pages_take_linear_time(page):
+    from time import process_time
+
+    m = html_text.TreeModel.of(Counter())
+
+    def seconds(p):
+        began = process_time()
+        html_text.main_text(p, m)
+        return process_time() - began
+
+    assert seconds(page * 4) < 0.5 + 8 * max(seconds(page) for _ in range(2))
+    assert seconds(page) < 2
+
+
 # Language model
 
 
