@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType
 
 URL = r"https?://\S+"
 # Typographic marks and what stands for them.
@@ -94,34 +94,48 @@ def unescaped(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
+#: Characters that the last token may have to lose: an escape such as \u00e9, or a number's exponent.
+LAST = 8
+
+
 def repair(text: str) -> str | None:
-    """The JSON object that a cut-off text begins: open strings and brackets closed, trailing commas and half pairs dropped."""
+    """The JSON object that a cut-off text begins: open strings and brackets closed, trailing commas and half pairs dropped.
+
+    One pass notes where the object could be closed, with what is open there:
+    after whole values and, within the last token, after its last characters.
+    The last such places are tried, from the end.
+    """
     at = text.find("{")
     if at < 0:
         return None
     body = text[at:]
-    for end in range(len(body), 0, -1):
-        stack, quoted, escaped = [], False, False
-        for c in body[:end]:
-            if escaped:
-                escaped = False
-            elif quoted:
-                escaped, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "{[":
-                stack.append("}" if c == "{" else "]")
-            elif c in "}]":
-                if not stack or stack.pop() != c:
-                    return None
-        whole = body[:end] + '"' * quoted
-        for tail in (whole, whole.rstrip().rstrip(",")):
-            candidate = tail + "".join(reversed(stack))
-            try:
-                json.loads(candidate)
-                return candidate.strip()
-            except ValueError:
-                continue
+    stack, quoted, escaped, whole, last = [], False, False, [], [(len(body), "")]
+    for i, c in enumerate(body):
+        if escaped:
+            escaped = False
+        elif quoted:
+            escaped, quoted = c == "\\", c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            stack.append("}" if c == "{" else "]")
+        elif c in "}]":
+            if not stack or stack.pop() != c:
+                return None
+        if not quoted and c in "{[]},":  # before a comma, or after a bracket, everything is whole
+            whole = [*whole[-3:], (i + (c != ","), "".join(reversed(stack)))]
+            if not stack:
+                last = []
+                break
+        if i >= len(body) - LAST:
+            last.append((i + 1, '"' * quoted + "".join(reversed(stack))))
+    for end, tail in sorted({*whole, *last}, reverse=True):
+        try:
+            found = body[:end].rstrip() + tail if tail[:1] != '"' else body[:end] + tail
+            json.loads(found)
+            return found.strip()
+        except ValueError:
+            continue
     return None
 
 
@@ -130,12 +144,9 @@ def repaired(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else repair(x))
 
 
-def window_ratio(quote: str, text: str) -> float:
-    """The best similarity of the quote to windows a little longer than it."""
-    size, best = len(quote) + 10, 0.0
-    for at in range(0, max(1, len(text) - len(quote) + 1), max(1, len(quote) // 2)):
-        best = max(best, SequenceMatcher(None, quote, text[at : at + size]).ratio())
-    return best
+def ratio(a: str, b: str) -> float:
+    """How far two texts agree: twice the characters of their matching blocks over all characters."""
+    return SequenceMatcher(None, a, b).ratio()
 
 
 def common_share(quote: str, text: str) -> float:
@@ -148,21 +159,9 @@ def common_share(quote: str, text: str) -> float:
 
 @F.pandas_udf(DoubleType())
 def fuzzy_ratio(quote: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([window_ratio(q, t) for q, t in zip(quote, text, strict=True)], dtype=float)
+    return pd.Series([ratio(q, t) for q, t in zip(quote, text, strict=True)], dtype=float)
 
 
 @F.pandas_udf(DoubleType())
 def common_substring(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([common_share(q, t) for q, t in zip(quote, text, strict=True)], dtype=float)
-
-
-@F.pandas_udf(BooleanType())
-def is_json(text: pd.Series) -> pd.Series:
-    def ok(x: str | None) -> bool:
-        try:
-            json.loads(x or "")
-            return True
-        except ValueError:
-            return False
-
-    return text.map(ok)

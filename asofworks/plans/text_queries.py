@@ -69,11 +69,11 @@ def held_out_window(spark, d):
     return docs(spark, d).where(calendar.held_out(F.col("day"), t0(), 6)).select("doc_id", "day")
 
 
-@query(f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY {DAY}, doc_id) AS line_no, '[' || {DAY} || '] (' || source || ') ' || substr(text, 1, 80) AS line FROM documents WHERE {DAY} <= DATE '{T}'")
+@query(f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY {DAY}, doc_id) AS line_no, '[' || {DAY} || '] (' || source || ') ' || text AS line FROM documents WHERE {DAY} <= DATE '{T}'")
 def corpus_lines(spark, d):
     own = docs(spark, d).where(F.col("day") <= t0())
     n = F.row_number().over(W.partitionBy("source").orderBy("day", "doc_id")).cast("long")
-    return own.select("source", n.alias("line_no"), F.format_string("[%s] (%s) %s", F.col("day").cast("string"), "source", F.substring("text", 1, 80)).alias("line"))
+    return own.select("source", n.alias("line_no"), F.format_string("[%s] (%s) %s", F.col("day").cast("string"), "source", "text").alias("line"))
 
 
 @query(f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY {DAY}, doc_id) AS line_no, '[' || {DAY} || '] (' || source || ') ' || trim(text) AS line FROM documents WHERE {DAY} <= DATE '{T}'")
@@ -130,12 +130,41 @@ def quote_audit_report(spark, d):
 
 @query()
 def quote_audit_fuzzy(spark, d):
-    return audit.similar(quotes(spark, d), table(spark, d, "documents"), coverage=True)
+    return audit.similar(quotes(spark, d), table(spark, d, "documents"))
 
 
-@query(f"SELECT doc_id, day, quote FROM (SELECT doc_id, CAST({DAY} AS VARCHAR) AS day, replace(substr(text, 1, 40), '\"', '') AS quote FROM documents UNION ALL SELECT doc_id, 'undated', source FROM documents)")
+def whole_quotes(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+
+
+@query()
+def quote_audit_near(spark, d):
+    """Verdicts on whole benchmark texts, by all documents that hold 0.85 of one in a row."""
+    return audit.verdicts(whole_quotes(spark, d), audit.similar(whole_quotes(spark, d), table(spark, d, "documents")), docs(spark, d), t0())
+
+
+@query()
+def quote_audit_near_report(spark, d):
+    return audit.report(quote_audit_near(spark, d))
+
+
+def drifted(spark, d):
+    """What users said, with every 23rd character left out, as quotes; and the turns they may be from."""
+    c = table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "role", F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    own = c.where("role = 'user'").select("conv_id", F.col("id").alias("quote_id"), F.regexp_replace("text", "(?s)(.{22}).", "$1").alias("quote"))
+    return own, c.select("conv_id", F.col("id").alias("doc_id"), "text")
+
+
+@query()
+def quote_windows(spark, d):
+    """Of each conversation's quotes the turns that hold them by the windowed ratio."""
+    own, turns = drifted(spark, d)
+    return audit.similar_windows(own, turns, ["conv_id"])
+
+
+@query(f"SELECT doc_id, day, quote FROM (SELECT doc_id, CAST({DAY} AS VARCHAR) AS day, replace(text, '\"', '') AS quote FROM documents UNION ALL SELECT doc_id, 'undated', source FROM documents)")
 def citation_parse(spark, d):
-    said = F.format_string('see [%s] "%s" and [undated]  "%s"', F.col("day").cast("string"), F.replace(F.substring("text", 1, 40), F.lit('"'), F.lit("")), "source")
+    said = F.format_string('see [%s] "%s" and [undated]  "%s"', F.col("day").cast("string"), F.replace("text", F.lit('"'), F.lit("")), "source")
     return docs(spark, d).select("doc_id", F.inline(X.citations(said)))
 
 
@@ -151,9 +180,9 @@ def json_extract(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json(X.json_object(said), "k bigint")["k"].alias("k"))
 
 
-@query("SELECT event_id, event_type AS kind, 2 AS n FROM events WHERE event_id < 2000")
+@query("SELECT event_id, event_type AS kind, 2 AS n FROM events")
 def json_repair(spark, d):
-    return json_repair_all(spark, d).where("event_id < 2000")
+    return json_repair_all(spark, d)
 
 
 @query("SELECT event_id, event_type AS kind, 2 AS n FROM events")
