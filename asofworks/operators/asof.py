@@ -1,8 +1,8 @@
 """Point-in-time look-ups: the last value at or before a date.
 
-Two plan shapes give the same rows. `asof_by_calendar` sends a small calendar
-to every task (only below a checked size) and keeps the latest value of each
-(symbol, date) in a partial aggregate; `asof_by_merge` puts probes and values
+Two plan shapes give the same rows. `asof_by_calendar` sends a small calendar's
+days to every task (only below a checked size), keeps the latest value of each
+symbol up to each date in a partial aggregate and carries it on; `asof_by_merge` puts probes and values
 into one stream per symbol and takes the last value before each probe, which
 costs one shuffle however long the calendar is.
 """
@@ -12,16 +12,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 #: A calendar up to this many dates is sent to every task.
 SMALL_CALENDAR = 2_000
 
 
+def day_map(calendar: DataFrame, probe: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of a calendar of dates: (probe, _pos) in order, (_day, _pos) of each day from the first date to the last with the next date's place, and its bounds (_first, _last)."""
+    w = W.orderBy(probe)  # a row a date of the calendar
+    numbered = calendar.select(probe).where(F.col(probe).isNotNull()).distinct().withColumn("_pos", F.row_number().over(w)).withColumn("_before", F.lag(probe).over(w))
+    days = numbered.select("_pos", F.explode(F.sequence(F.coalesce(F.date_add("_before", 1), F.col(probe)), F.col(probe))).alias("_day"))
+    return numbered.select(probe, "_pos"), days, numbered.agg(F.min(probe).alias("_first"), F.max(probe).alias("_last"))
+
+
 def asof_by_calendar(series: DataFrame, calendar: DataFrame, value: str = "close", key: str = "symbol", day: str = "date", probe: str = "as_of") -> DataFrame:
-    """(key, probe, value, value's day) for every key with a value at or before the probe date; no limit of staleness."""
-    live = series.where(F.col(value).isNotNull())
-    met = live.join(F.broadcast(calendar.select(probe).distinct()), F.col(day) <= F.col(probe))
-    return met.groupBy(key, probe).agg(F.max_by(value, day).alias(value), F.max(day).alias(f"{value}_date"))
+    """(key, probe, value, value's day) for every key with a value at or before the probe date; no limit of staleness. Days and probes are dates.
+
+    Each value goes to the first probe at or after its day (an equal join), the
+    latest of each (key, probe) is a partial aggregate, and what a key has at one
+    probe holds until its next one.
+    """
+    numbered, days, bounds = day_map(calendar, probe)
+    live = series.where(F.col(value).isNotNull() & F.col(day).isNotNull()).select(key, F.col(value).alias("_v"), F.col(day).alias("_d"))
+    met = live.crossJoin(F.broadcast(bounds)).where("_d <= _last").withColumn("_day", F.greatest("_d", "_first")).join(F.broadcast(days), "_day")  # bounds: one row
+    found = met.groupBy(key, "_pos").agg(F.max_by("_v", "_d").alias(value), F.max("_d").alias(f"{value}_date"))
+    until = F.coalesce(F.lead("_pos").over(W.partitionBy(key).orderBy("_pos")), F.lit(SMALL_CALENDAR + 1))
+    spread = found.withColumn("_until", until).select(key, value, f"{value}_date", F.explode(F.sequence(F.col("_pos"), F.col("_until") - 1)).alias("_pos"))
+    return spread.join(F.broadcast(numbered), "_pos").select(key, probe, value, f"{value}_date")
 
 
 def asof_by_merge(series: DataFrame, probes: DataFrame, value: str = "close", key: str = "symbol", day: str = "date", probe: str = "as_of") -> DataFrame:
@@ -35,24 +53,25 @@ def asof_by_merge(series: DataFrame, probes: DataFrame, value: str = "close", ke
 
 def asof(series: DataFrame, calendar: DataFrame, value: str = "close", key: str = "symbol", day: str = "date", probe: str = "as_of") -> DataFrame:
     """Values of all keys at all calendar dates, by the shape that the calendar's size allows."""
-    if calendar.select(probe).distinct().limit(SMALL_CALENDAR + 1).count() <= SMALL_CALENDAR:
+    dates = isinstance(series.schema[day].dataType, DateType) and isinstance(calendar.schema[probe].dataType, DateType)
+    if dates and calendar.select(probe).distinct().limit(SMALL_CALENDAR + 1).count() <= SMALL_CALENDAR:
         return asof_by_calendar(series, calendar, value, key, day, probe)
     probes = series.select(key).distinct().crossJoin(calendar.select(probe).distinct())
     return asof_by_merge(series, probes, value, key, day, probe)
 
 
 def forward_returns(series: DataFrame, pairs: DataFrame, value: str = "close") -> DataFrame:
-    """(symbol, as_of, next_as_of, ret): value(next) / value(as_of) - 1; null where a price is missing or 0."""
+    """(symbol, as_of, next_as_of, ret): value(next) / value(as_of) - 1; null where a price is missing or 0, or the first is not positive."""
     days = pairs.select("as_of").union(pairs.select("next_as_of")).where("as_of IS NOT NULL").distinct()
     prices = asof(series, days, value)
     now = prices.select("symbol", "as_of", F.col(value).alias("_p0")).join(pairs, "as_of")
     then = prices.select("symbol", F.col("as_of").alias("next_as_of"), F.col(value).alias("_p1"))
-    fine = (F.col("_p0") != 0) & (F.col("_p1") != 0)
+    fine = (F.col("_p0") > 0) & (F.col("_p1") != 0)
     return now.join(then, ["symbol", "next_as_of"]).select("symbol", "as_of", "next_as_of", F.when(fine, F.col("_p1") / F.col("_p0") - 1).alias("ret"))
 
 
 def trailing_returns(series: DataFrame, calendar: DataFrame, horizons: tuple[int, ...] = (7, 30, 91, 182, 365, 730), value: str = "close") -> DataFrame:
-    """(symbol, as_of, days, ret) over the given numbers of calendar days; all horizons in one look-up."""
+    """(symbol, as_of, days, ret) over the given numbers of calendar days; all horizons in one look-up. Null where a price is missing or 0, or the first is not positive."""
     spark = series.sparkSession
     spans = spark.createDataFrame([(h,) for h in horizons], "days int")
     probes = calendar.select("as_of").distinct().crossJoin(F.broadcast(spans)).withColumn("_from", F.date_sub("as_of", F.col("days")))
@@ -60,12 +79,14 @@ def trailing_returns(series: DataFrame, calendar: DataFrame, horizons: tuple[int
     prices = asof(series, days, value)
     now = prices.select("symbol", "as_of", F.col(value).alias("_p1")).join(F.broadcast(probes), "as_of")
     then = prices.select("symbol", F.col("as_of").alias("_from"), F.col(value).alias("_p0"))
-    fine = (F.col("_p0") != 0) & (F.col("_p1") != 0)
+    fine = (F.col("_p0") > 0) & (F.col("_p1") != 0)
     return now.join(then, ["symbol", "_from"]).select("symbol", "as_of", "days", F.when(fine, F.col("_p1") / F.col("_p0") - 1).alias("ret"))
 
 
 def snapshot(panel: DataFrame, calendar: DataFrame, day: str = "as_of", probe: str = "t") -> DataFrame:
     """Panel rows of the latest panel date at or before each probe date."""
-    dates = panel.select(day).distinct()
-    latest = calendar.select(probe).distinct().join(dates, F.col(day) <= F.col(probe)).groupBy(probe).agg(F.max(day).alias(day))
-    return panel.join(latest, day)
+    dates = panel.select(F.col(day).alias("_at"), F.col(day).alias("_d")).distinct()
+    both = dates.unionByName(calendar.select(F.col(probe).alias("_at"), F.lit(None).cast(dates.schema["_d"].dataType).alias("_d")).distinct())
+    # in order of dates, and at one date the panel's own first: a row a date
+    latest = both.withColumn(day, F.last("_d", ignorenulls=True).over(W.orderBy("_at", F.col("_d").asc_nulls_last()))).where("_d IS NULL").select(F.col("_at").alias(probe), day)
+    return panel.join(latest.where(F.col(day).isNotNull()), day)

@@ -35,6 +35,12 @@ def kept(f):
     return get
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the session's shared tables; they are made again when a query asks for them."""
+    for key in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
+        _kept.pop(key).unpersist()
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -88,9 +94,9 @@ def views(spark: SparkSession, d: str) -> DataFrame:
 
 @kept
 def items(spark: SparkSession, d: str) -> DataFrame:
-    """(as_of, item, item_type, parent_sector, stance_sign, conviction): the members' sum of signed convictions."""
+    """(as_of, item, item_type, parent_sector, stance_sign, conviction, horizon): the members' sum of signed convictions."""
     v = views(spark, d).groupBy("as_of", "item", "item_type", "parent_sector").agg(F.sum(F.col("stance_sign") * F.col("conviction")).alias("s"), F.sum("conviction").alias("c"), F.count("*").alias("n"))
-    return v.select("as_of", "item", "item_type", "parent_sector", F.signum("s").cast("int").alias("stance_sign"), F.floor(F.col("c") / F.col("n")).cast("int").alias("conviction"))
+    return v.select("as_of", "item", "item_type", "parent_sector", F.signum("s").cast("int").alias("stance_sign"), F.floor(F.col("c") / F.col("n")).cast("int").alias("conviction"), F.when(F.col("n") > 3, "structural").otherwise("tactical").alias("horizon"))
 
 
 @kept
@@ -135,18 +141,18 @@ PARTS: dict[str, tuple[str, str]] = {
     "numbered": ("months", "SELECT as_of, row_number() OVER (ORDER BY as_of) AS p FROM months"),
     "pairs": ("months", "SELECT * FROM (SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS next_as_of FROM months) WHERE next_as_of IS NOT NULL"),
     "views": ("trades", " UNION ALL ".join(f"SELECT as_of, member, item, '{k}' AS item_type, parent_sector, CASE WHEN u * 2 > n THEN 1 WHEN u * 4 < n THEN -1 ELSE 0 END AS stance_sign, CAST(least(100, 20 + 7 * n) AS INTEGER) AS conviction FROM (SELECT last_day(date) AS as_of, member, {c} AS item, {p} AS parent_sector, count(*) AS n, sum(CAST(urgent AS INTEGER)) AS u FROM trades GROUP BY ALL) WHERE n >= 2" for k, c, p in (("token", "symbol", "sector"), ("sector", "sector", "CAST(NULL AS VARCHAR)")))),
-    "items": ("views", "SELECT as_of, item, item_type, parent_sector, CAST(sign(sum(stance_sign * conviction)) AS INTEGER) AS stance_sign, CAST(floor(sum(conviction) / count(*)) AS INTEGER) AS conviction FROM views GROUP BY ALL"),
+    "items": ("views", "SELECT as_of, item, item_type, parent_sector, CAST(sign(sum(stance_sign * conviction)) AS INTEGER) AS stance_sign, CAST(floor(sum(conviction) / count(*)) AS INTEGER) AS conviction, CASE WHEN count(*) > 3 THEN 'structural' ELSE 'tactical' END AS horizon FROM views GROUP BY ALL"),
     "stepped": ("items numbered", "SELECT i.*, p, lag(p) OVER w AS bp, lag(stance_sign) OVER w AS bs, lag(conviction) OVER w AS bc, lead(p) OVER w AS ap FROM items i JOIN numbered USING (as_of) WINDOW w AS (PARTITION BY item ORDER BY p)"),
     "islands": ("stepped", "SELECT *, sum(CASE WHEN bp = p - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY item ORDER BY p) AS island FROM stepped"),
     "panel": (
         "islands numbered",
-        "SELECT as_of, item, item_type, parent_sector, stance_sign, conviction, CASE WHEN bp IS NULL OR bp <> p - 1 THEN 'NEW' WHEN stance_sign * bs < 0 THEN 'FLIPPED' ELSE 'SUSTAINED' END AS lifecycle_state, CASE WHEN bp = p - 1 THEN stance_sign - bs END AS delta_stance, CASE WHEN bp = p - 1 THEN conviction - bc END AS delta_conviction, CAST(row_number() OVER (PARTITION BY item, island ORDER BY p) AS INTEGER) AS age FROM islands"
-        " UNION ALL SELECT n.as_of, item, item_type, parent_sector, 0, 0, 'EXITED', -stance_sign, -conviction, 0 FROM islands i JOIN numbered n ON n.p = i.p + 1 WHERE ap IS NULL OR ap > i.p + 1",
+        "SELECT as_of, item, item_type, parent_sector, CASE sign(stance_sign) WHEN 1 THEN 'bullish' WHEN -1 THEN 'bearish' ELSE 'neutral' END AS stance, stance_sign, conviction, horizon, CASE WHEN bp IS NULL OR bp <> p - 1 THEN 'NEW' WHEN stance_sign * bs < 0 THEN 'FLIPPED' ELSE 'SUSTAINED' END AS lifecycle_state, CASE WHEN bp = p - 1 THEN stance_sign - bs ELSE 0 END AS delta_stance, CASE WHEN bp = p - 1 THEN conviction - bc ELSE 0 END AS delta_conviction, CAST(row_number() OVER (PARTITION BY item, island ORDER BY p) AS INTEGER) AS age FROM islands"
+        " UNION ALL SELECT n.as_of, item, item_type, parent_sector, 'neutral', 0, 0, 'structural', 'EXITED', -stance_sign, -conviction, 0 FROM islands i JOIN numbered n ON n.p = i.p + 1 WHERE ap IS NULL OR ap > i.p + 1",
     ),
     "live": ("panel", "SELECT * FROM panel WHERE lifecycle_state <> 'EXITED'"),
     "days_of": ("pairs", "SELECT as_of AS t FROM pairs UNION SELECT next_as_of FROM pairs"),
     "closes": ("market days_of", "SELECT symbol, t, max_by(close, date) AS close FROM market JOIN days_of ON date <= t GROUP BY ALL"),
-    "monthly": ("closes pairs", "SELECT a.symbol, p.as_of, p.next_as_of, CASE WHEN a.close <> 0 AND b.close <> 0 THEN b.close / a.close - 1 END AS ret FROM pairs p JOIN closes a ON a.t = p.as_of JOIN closes b ON b.t = p.next_as_of AND b.symbol = a.symbol"),
+    "monthly": ("closes pairs", "SELECT a.symbol, p.as_of, p.next_as_of, CASE WHEN a.close > 0 AND b.close <> 0 THEN b.close / a.close - 1 END AS ret FROM pairs p JOIN closes a ON a.t = p.as_of JOIN closes b ON b.t = p.next_as_of AND b.symbol = a.symbol"),
     "ois": ("market months", "SELECT symbol, as_of, max_by(oi, date) AS oi FROM market JOIN months ON date <= as_of GROUP BY ALL"),
     "baskets": ("ois sectors", f"SELECT sector, symbol, as_of FROM ois JOIN sectors USING (symbol) WHERE oi >= {FLOOR}"),
     "sized": ("baskets", "SELECT *, count(*) OVER (PARTITION BY sector, as_of) AS members FROM baskets"),

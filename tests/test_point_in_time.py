@@ -66,12 +66,25 @@ def test_lifecycle_states(spark):
     out = lifecycle.lifecycle(spark.createDataFrame(rows, ITEMS), dates(spark, *p))
     got = {(r["item"], r["as_of"]): (r["lifecycle_state"], r["delta_stance"], r["delta_conviction"], r["age"]) for r in out.collect()}
     assert got == {
-        ("x", p[0]): ("NEW", None, None, 1), ("x", p[1]): ("SUSTAINED", 0, 10, 2), ("x", p[2]): ("FLIPPED", -2, -20, 3), ("x", p[3]): ("EXITED", 1, -40, 0), ("x", p[5]): ("NEW", None, None, 1),
-        ("y", p[0]): ("NEW", None, None, 1), ("y", p[1]): ("SUSTAINED", -1, 0, 2), ("y", p[2]): ("EXITED", 0, -5, 0),
+        ("x", p[0]): ("NEW", 0, 0, 1), ("x", p[1]): ("SUSTAINED", 0, 10, 2), ("x", p[2]): ("FLIPPED", -2, -20, 3), ("x", p[3]): ("EXITED", 1, -40, 0), ("x", p[5]): ("NEW", 0, 0, 1),
+        ("y", p[0]): ("NEW", 0, 0, 1), ("y", p[1]): ("SUSTAINED", -1, 0, 2), ("y", p[2]): ("EXITED", 0, -5, 0),
     }
     assert lifecycle.live_rows(out).count() == 6
 
 
+def test_lifecycle_by_the_published_cases(spark):
+    """New, sustained, flipped and exited as the signal's own documentation tells them."""
+    p = [D(2023, 3, 31), D(2023, 6, 30), D(2023, 9, 30), D(2023, 12, 31)]
+    rows = [(p[0], "zk", "sector", None, 1, 70, "structural"), (p[1], "zk", "sector", None, 1, 85, "structural"), (p[2], "zk", "sector", None, -1, 60, "tactical"), (p[0], "HYPE", "token", "perp-dex", 1, 70, "structural")]
+    out = lifecycle.lifecycle(spark.createDataFrame(rows, ITEMS + ", horizon string"), dates(spark, *p)).orderBy("as_of").collect()
+    zk = [r for r in out if r["item"] == "zk"]
+    assert [r["lifecycle_state"] for r in zk] == ["NEW", "SUSTAINED", "FLIPPED", "EXITED"] and [r["age"] for r in zk] == [1, 2, 3, 0]
+    assert [r["stance"] for r in zk] == ["bullish", "bullish", "bearish", "neutral"] and [r["horizon"] for r in zk] == ["structural", "structural", "tactical", "structural"]
+    assert (zk[0]["delta_stance"], zk[0]["delta_conviction"], zk[1]["delta_conviction"], zk[2]["delta_stance"]) == (0, 0, 15, -2)
+    gone = [r for r in out if r["item"] == "HYPE" and r["as_of"] == p[1]][0]
+    assert (gone["lifecycle_state"], gone["conviction"], gone["stance"], gone["item_type"], gone["parent_sector"]) == ("EXITED", 0, "neutral", "token", "perp-dex")
+
+
 def fold(items, periods):
     """The same rules, one period after the other."""
     out, last, age = [], {}, {}
@@ -84,7 +97,7 @@ def fold(items, periods):
                 out.append((t, i, "FLIPPED" if s * b[0] < 0 else "SUSTAINED", s - b[0], age[i]))
             else:
                 age[i] = 1
-                out.append((t, i, "NEW", None, 1))
+                out.append((t, i, "NEW", 0, 1))
         out += [(t, i, "EXITED", -last[i][0], 0) for i in last if i not in now]
         last = now
     return set(out)
