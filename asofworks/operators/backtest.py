@@ -14,12 +14,10 @@ from .calendar import with_next
 def period_funding(funding: DataFrame, pairs: DataFrame) -> DataFrame:
     """(symbol, as_of, funding): the sum of rates (percent) over (as_of, next_as_of], as a fraction.
 
-    Only distinct days meet the calendar; the rates then join by day.
+    A span's days are rows of the calendar; the rates then join by day.
     """
-    ends = pairs.where("next_as_of IS NOT NULL").select("as_of", "next_as_of")
-    inside = (F.col("date") > F.col("as_of")) & (F.col("date") <= F.col("next_as_of"))
-    spans = funding.select("date").distinct().join(ends, inside).select("date", "as_of")
-    return funding.join(spans, "date").groupBy("symbol", "as_of").agg((F.sum("rate") / 100.0).alias("funding"))
+    ends = pairs.where("next_as_of > as_of").select("as_of", F.explode(F.sequence(F.date_add("as_of", 1), F.col("next_as_of"))).alias("date"))
+    return funding.join(ends, "date").groupBy("symbol", "as_of").agg((F.sum("rate") / 100.0).alias("funding"))
 
 
 def realize(book: DataFrame, returns: DataFrame, funding: DataFrame | None = None, cost_bps: float = 10.0) -> DataFrame:
@@ -80,12 +78,13 @@ def gated_rotation(convictions: DataFrame, baskets: DataFrame, returns_1m: DataF
         return mean.join(base, "as_of").select("sector", "as_of", (F.col("_m") - F.col("_h")).alias(out))
 
     fit = convictions.join(relative(returns_1m, "r1"), ["sector", "as_of"]).join(relative(returns_3m, "r3"), ["sector", "as_of"]).where((F.col("r1") >= gate) & (F.col("r3") >= gate))
-    chosen = P.equal_baskets(P.top_sectors(fit, k), baskets).persist()  # a few rows a date, read by each part of the hedge
-    rest = dates.select("as_of").distinct().join(chosen.select("as_of").distinct(), "as_of", "left_anti").select("as_of", F.lit(hedge).alias("symbol"), F.lit(1.0).alias("w"))
+    chosen = P.equal_baskets(P.top_sectors(fit, k), baskets)
+    # a date without a sector has one row, the hedge symbol's own
+    whole = dates.select("as_of").distinct().join(chosen, "as_of", "left").select("as_of", F.coalesce("symbol", F.lit(hedge)).alias("symbol"), F.coalesce("w", F.lit(1.0)).alias("w"), F.col("w").isNotNull().alias("_chosen"))
     if betas is None:
-        return chosen.unionByName(rest)
+        return whole.drop("_chosen")
     falling = returns_3m.where((F.col("symbol") == hedge) & (F.col("ret") < bear)).select("as_of", F.lit("hedge").alias("decision"))
-    return P.neutralise_when(chosen, betas, hedge, falling).unionByName(rest)
+    return P.neutralise_when(whole, betas, hedge, falling, "_chosen")
 
 
 def choose_by_past(returns: DataFrame, objective: str = "total", least: int = 12, per_year: int = 12) -> DataFrame:

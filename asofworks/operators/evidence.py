@@ -73,16 +73,18 @@ def batches(df: DataFrame, key: str, order: str, size: str, budget: int) -> Data
     The fold needs a key's sizes in order, so keys must be bounded (a
     conversation, a day).
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<struct<o:bigint,b:int>>").alias("out"))
 
-    def step(acc, x):
-        fits = (acc["used"] == 0) | (acc["used"] + x["s"] <= budget)
-        n = F.when(fits, acc["n"]).otherwise(acc["n"] + 1)
-        return F.struct(F.when(fits, acc["used"] + x["s"]).otherwise(x["s"]).alias("used"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), n.alias("b")))).alias("out"))
+    def fill(pdf):
+        pdf, used, n, out = pdf.sort_values(order), 0, 0, []
+        for size_ in pdf[size]:
+            if used and used + size_ > budget:
+                used, n = 0, n + 1
+            used += size_
+            out.append(n)
+        return pdf[[key, order]].assign(batch=out)
 
-    folded = df.groupBy(key).agg(F.aggregate(rows, zero, step, lambda acc: acc["out"]).alias("_r"))
-    return folded.select(key, F.explode("_r").alias("x")).select(key, F.col("x.o").alias(order), F.col("x.b").alias("batch"))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, order))
+    return df.select(key, order, F.col(size).cast("long").alias(size)).groupBy(key).applyInPandas(fill, f"{kinds}, batch int")
 
 
 def chunks(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
@@ -98,7 +100,10 @@ def even_sample(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
 
 def anchors(dates: DataFrame, anchor_dates: DataFrame) -> DataFrame:
     """(as_of, anchor): the latest anchor at or before the date, else the first."""
-    found = dates.select("as_of").distinct().join(anchor_dates.select("anchor").distinct(), F.col("anchor") <= F.col("as_of"), "left").groupBy("as_of").agg(F.max("anchor").alias("anchor"))
+    a = anchor_dates.select(F.col("anchor").alias("_at"), F.col("anchor")).distinct()
+    both = a.unionByName(dates.select(F.col("as_of").alias("_at"), F.lit(None).cast(a.schema["anchor"].dataType).alias("anchor")).distinct())
+    # in order of dates, anchors first: a row a date
+    found = both.withColumn("_last", F.last("anchor", ignorenulls=True).over(W.orderBy("_at", F.col("anchor").asc_nulls_last()))).where("anchor IS NULL").select(F.col("_at").alias("as_of"), F.col("_last").alias("anchor"))
     first = anchor_dates.agg(F.min("anchor").alias("_first"))
     return found.crossJoin(F.broadcast(first)).select("as_of", F.coalesce("anchor", "_first").alias("anchor"))
 

@@ -54,8 +54,9 @@ def attribution(book: DataFrame, returns: DataFrame) -> DataFrame:
     """Per symbol: gain, months held, share of all gain and whether it is one of the three largest."""
     own = book.join(returns.select("as_of", "symbol", "ret"), ["as_of", "symbol"]).where("ret IS NOT NULL").groupBy("symbol").agg(F.sum(F.col("w") * F.col("ret")).alias("pnl"), F.count("*").alias("months"))
     total = own.agg(F.sum("pnl").alias("_t"))
-    rank = F.row_number().over(W.orderBy(F.round("pnl", 9).desc(), "symbol"))  # a row for each symbol
-    return own.crossJoin(F.broadcast(total)).select("symbol", "pnl", "months", F.try_divide(F.col("pnl"), F.col("_t")).alias("share"), (rank <= 3).alias("top3"))
+    top = own.orderBy(F.round("pnl", 9).desc(), "symbol").limit(3).select("symbol", F.lit(True).alias("_top"))  # three rows
+    ranked = own.crossJoin(F.broadcast(total)).join(F.broadcast(top), "symbol", "left")
+    return ranked.select("symbol", "pnl", "months", F.try_divide(F.col("pnl"), F.col("_t")).alias("share"), F.coalesce("_top", F.lit(False)).alias("top3"))
 
 
 def sector_ranks(returns: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -86,10 +86,21 @@ def net_beta(book: DataFrame, betas: DataFrame, hedge: str) -> DataFrame:
 
 def hedge_to(book: DataFrame, betas: DataFrame, hedge: str, target: DataFrame | float = 0.0) -> DataFrame:
     """The book with an overlay of the hedge symbol that brings its net beta to the target ((as_of, target) or one number)."""
-    net = net_beta(book, betas, hedge)
-    own = net.withColumn("target", F.lit(float(target))) if isinstance(target, float) else net.join(target, "as_of", "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
-    overlay = own.select("as_of", F.lit(hedge).alias("symbol"), (F.col("target") - F.col("net")).alias("w"))
-    return merge(book.unionByName(overlay)).where((F.col("symbol") != hedge) | (F.abs("w") >= 1e-12))
+    own = book.withColumn("_on", F.lit(True))
+    own = own.withColumn("target", F.lit(float(target))) if isinstance(target, float) else own.join(target, "as_of", "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
+    return overlaid(own, betas, hedge)
+
+
+def overlaid(book: DataFrame, betas: DataFrame, hedge: str) -> DataFrame:
+    """book (as_of, symbol, w, target, _on), read once: where _on, with one more row a date that brings the net beta to the target."""
+    keys = ["symbol", "as_of"] if "as_of" in betas.columns else ["symbol"]
+    date = W.partitionBy("as_of")
+    own = book.join(betas, keys, "left").withColumn("_b", F.when(F.col("symbol") != hedge, F.col("w") * F.coalesce("beta", F.lit(1.0))))
+    own = own.withColumn("_net", F.coalesce(F.sum("_b").over(date), F.lit(0.0))).withColumn("_n", F.row_number().over(date.orderBy("symbol")))
+    line = lambda symbol, w: F.struct(symbol.alias("symbol"), w.alias("w"))
+    rows = F.array(line(F.col("symbol"), F.col("w")), F.when(F.col("_on") & (F.col("_n") == 1), line(F.lit(hedge), F.col("target") - F.col("_net"))))
+    both = own.select("as_of", "_on", F.explode(rows).alias("x")).where("x IS NOT NULL").groupBy("as_of", "_on", "x.symbol").agg(F.sum("x.w").alias("w"))
+    return both.where(~F.col("_on") | (F.col("symbol") != hedge) | (F.abs("w") >= 1e-12)).select("as_of", "symbol", "w")
 
 
 def target_beta(trends: DataFrame, risk: DataFrame, mode: str) -> DataFrame:
@@ -99,10 +110,12 @@ def target_beta(trends: DataFrame, risk: DataFrame, mode: str) -> DataFrame:
     return trends.select("as_of", "trend").join(risk, "as_of", "full").select("as_of", value.alias("target"))
 
 
-def neutralise_when(book: DataFrame, betas: DataFrame, hedge: str, decisions: DataFrame) -> DataFrame:
-    """The hedge only at dates (as_of, decision) that say "hedge"."""
-    flagged = book.join(decisions.where("decision = 'hedge'").select("as_of").distinct(), "as_of", "left_semi")
-    return hedge_to(flagged, betas, hedge).unionByName(book.join(flagged.select("as_of").distinct(), "as_of", "left_anti").select("as_of", "symbol", "w"))
+def neutralise_when(book: DataFrame, betas: DataFrame, hedge: str, decisions: DataFrame, only: str | None = None) -> DataFrame:
+    """The hedge only at dates (as_of, decision) that say "hedge" (and, with `only`, in rows where that column holds)."""
+    said = decisions.where("decision = 'hedge'").select("as_of").distinct().withColumn("_said", F.lit(True))
+    on = F.coalesce("_said", F.lit(False))
+    flagged = book.join(said, "as_of", "left").withColumn("_on", on if only is None else on & F.col(only)).withColumn("target", F.lit(0.0))
+    return overlaid(flagged.select("as_of", "symbol", "w", "target", "_on"), betas, hedge)
 
 
 def capacity(book: DataFrame, oi: DataFrame, hedge: str, aum: float, share: float = 0.05, days: int = 5) -> DataFrame:
@@ -135,8 +148,11 @@ def long_short(scores: DataFrame, k: int, value: str = "conviction") -> DataFram
     return ranked.select("as_of", "sector", w.alias("w")).where("w <> 0")
 
 
-def allocation(chosen: DataFrame, scheme: str) -> DataFrame:
-    """(as_of, sector, w) of chosen (as_of, sector, conviction, vol); schemes ew, cw, cw2, invvol, cw_invvol, rankdecay.
+SCHEMES = ("ew", "cw", "cw2", "invvol", "cw_invvol", "rankdecay")
+
+
+def allocations(chosen: DataFrame, schemes: tuple[str, ...] = SCHEMES) -> DataFrame:
+    """(scheme, as_of, sector, w) of chosen (as_of, sector, conviction, vol), all schemes in one pass.
 
     Where a volatility is missing the inverse-volatility schemes use the
     median of the known volatilities itself; a sum of 0 gives equal weights.
@@ -145,10 +161,17 @@ def allocation(chosen: DataFrame, scheme: str) -> DataFrame:
     conviction = F.col("conviction").cast("double")
     inverse = F.coalesce(1.0 / F.col("vol"), F.percentile("vol", F.lit(0.5)).over(w))
     place = F.row_number().over(w.orderBy(F.col("conviction").desc(), "sector"))
-    raw = {"ew": F.lit(1.0), "cw": conviction, "cw2": conviction * conviction, "invvol": inverse, "cw_invvol": conviction * inverse, "rankdecay": (F.count("*").over(w) - place + 1).cast("double")}[scheme]
-    own = chosen.withColumn("_r", F.coalesce(raw, F.lit(0.0)))
-    total = F.sum("_r").over(w)
-    return own.select("as_of", "sector", F.when(total == 0, 1.0 / F.count("*").over(w)).otherwise(F.try_divide(F.col("_r"), total)).alias("w"))
+    own = chosen.select("as_of", "sector", conviction.alias("_c"), inverse.alias("_i"), F.count("*").over(w).alias("_k"), place.alias("_p"))
+    c, i = F.col("_c"), F.col("_i")
+    raw = {"ew": F.lit(1.0), "cw": c, "cw2": c * c, "invvol": i, "cw_invvol": c * i, "rankdecay": (F.col("_k") - F.col("_p") + 1).cast("double")}
+    told = own.select("as_of", "sector", "_k", F.inline(F.array(*[F.struct(F.lit(s).alias("scheme"), F.coalesce(raw[s], F.lit(0.0)).alias("_r")) for s in schemes])))
+    total = F.sum("_r").over(W.partitionBy("scheme", "as_of"))
+    return told.select("scheme", "as_of", "sector", F.when(total == 0, 1.0 / F.col("_k")).otherwise(F.try_divide(F.col("_r"), total)).alias("w"))
+
+
+def allocation(chosen: DataFrame, scheme: str) -> DataFrame:
+    """(as_of, sector, w) by one scheme of `allocations`."""
+    return allocations(chosen, (scheme,)).drop("scheme")
 
 
 def scaled(book: DataFrame, gross: DataFrame) -> DataFrame:
@@ -156,6 +179,23 @@ def scaled(book: DataFrame, gross: DataFrame) -> DataFrame:
     return book.join(gross, "as_of").select("as_of", "symbol", (F.col("w") * F.col("gross")).alias("w"))
 
 
+def conviction_gross(items: DataFrame, normal: float = 70.0, most: float = 1.2) -> DataFrame:
+    """(as_of, gross): the items' mean conviction over a normal one, up to `most`."""
+    return items.groupBy("as_of").agg(F.least(F.lit(most), F.avg("conviction") / normal).alias("gross"))
+
+
+def vol_gross(vols: DataFrame, target: float = 0.15, floor: float = 0.05) -> DataFrame:
+    """(as_of, gross): the target over a volatility (as_of, vol), the floor at least; never above 1."""
+    return vols.select("as_of", F.least(F.lit(1.0), target / F.greatest("vol", F.lit(floor))).alias("gross"))
+
+
+def scaled_unless_alone(book: DataFrame, gross: DataFrame, hedge: str) -> DataFrame:
+    """Weights times a date's gross exposure (1 where there is none), but not where the hedge symbol is all of the book."""
+    others = F.max((F.col("symbol") != hedge).cast("int")).over(W.partitionBy("as_of")) == 1
+    own = book.withColumn("_others", others).join(gross, "as_of", "left")
+    return own.select("as_of", "symbol", F.when(F.col("_others"), F.col("w") * F.coalesce("gross", F.lit(1.0))).otherwise(F.col("w")).alias("w"))
+
+
 def avoided(bullish: DataFrame, bearish: DataFrame) -> DataFrame:
     """(as_of, item) of bullish that are not bearish too."""
     return bullish.select("as_of", "item").distinct().join(bearish.select("as_of", "item"), ["as_of", "item"], "left_anti")

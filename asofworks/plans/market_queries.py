@@ -93,7 +93,7 @@ def forward_return(spark, d):
     return rounded(D.monthly(spark, d), "ret")
 
 
-TRAILING = "SELECT b.symbol, p.as_of, p.days, CASE WHEN a.close <> 0 AND b.close <> 0 THEN b.close / a.close - 1 END AS ret FROM probes p JOIN at_days b ON b.t = p.as_of JOIN at_days a ON a.t = p.start AND a.symbol = b.symbol"
+TRAILING = "SELECT b.symbol, p.as_of, p.days, CASE WHEN a.close > 0 AND b.close <> 0 THEN b.close / a.close - 1 END AS ret FROM probes p JOIN at_days b ON b.t = p.as_of JOIN at_days a ON a.t = p.start AND a.symbol = b.symbol"
 WITH_TRAILING = "probes AS (SELECT as_of, days, CAST(as_of - CAST(days AS INTEGER) AS DATE) AS start FROM months CROSS JOIN (SELECT unnest([7, 30, 91, 182, 365, 730]) AS days)), at_days AS (SELECT symbol, t, max_by(close, date) AS close FROM market JOIN (SELECT as_of AS t FROM probes UNION SELECT start FROM probes) ON date <= t GROUP BY ALL), trail AS (" + TRAILING + ")"
 
 
@@ -368,19 +368,12 @@ def long_short_sectors(spark, d):
     return rounded(portfolio.long_short(D.live(spark, d).where("item_type = 'sector'").select("as_of", F.col("item").alias("sector"), "conviction"), 2), "w", digits=12)
 
 
-SCHEMES = ("ew", "cw", "cw2", "invvol", "cw_invvol", "rankdecay")
-
-
 @query(with_vols(
     "SELECT scheme, as_of, sector, round(CASE WHEN total = 0 THEN 1.0 / k ELSE x / total END, 12) AS w FROM (SELECT *, sum(x) OVER (PARTITION BY scheme, as_of) AS total, count(*) OVER (PARTITION BY scheme, as_of) AS k FROM (SELECT as_of, sector, unnest(['ew', 'cw', 'cw2', 'invvol', 'cw_invvol', 'rankdecay']) AS scheme, coalesce(unnest([1.0, c, c * c, i, c * i, n - o + 1]), 0) AS x FROM (SELECT as_of, sector, CAST(conviction AS DOUBLE) AS c, coalesce(1 / vol, quantile_cont(vol, 0.5) OVER w) AS i, count(*) OVER w AS n, row_number() OVER (PARTITION BY as_of ORDER BY conviction DESC, sector) AS o FROM (" + BULLISH + ") LEFT JOIN vols USING (sector, as_of) WINDOW w AS (PARTITION BY as_of))))", "live"))
 def allocation_schemes(spark, d):
     vols = returns.basket_vol(returns.daily_returns(D.prices(spark, d)), D.sectors(spark, d), D.months(spark, d))
     chosen = bullish(spark, d).join(vols, ["sector", "as_of"], "left")
-    out = None
-    for s in SCHEMES:
-        own = portfolio.allocation(chosen, s).withColumn("scheme", F.lit(s))
-        out = own if out is None else out.unionByName(own)
-    return rounded(out, "w", digits=12).select("scheme", "as_of", "sector", "w")
+    return rounded(portfolio.allocations(chosen), "w", digits=12)
 
 
 # Returns
@@ -548,7 +541,7 @@ book AS ({hedged_sql("SELECT * FROM chosen WHERE as_of IN (SELECT as_of FROM fal
 
 
 def rotation(spark, d):
-    t = trailing(spark, d, (30, 91)).persist()  # read four times
+    t = trailing(spark, d, (30, 91))
     return backtest.gated_rotation(bullish(spark, d), D.baskets(spark, d), t.where("days = 30").drop("days"), t.where("days = 91").drop("days"), HEDGE, D.months(spark, d), betas=D.betas(spark, d))
 
 
@@ -562,12 +555,12 @@ def gated_rotation_returns(spark, d):
     return rounded(backtest.realize(rotation(spark, d), D.monthly(spark, d)), "ret", digits=5)
 
 
-@query(sql("SELECT as_of, round(max(CASE WHEN symbol = 'NATION_1' THEN ret END), 6) AS ret FROM monthly WHERE as_of < DATE '1998-01-31' AND symbol = 'NATION_1' GROUP BY as_of UNION ALL SELECT as_of, round(ret, 6) FROM monthly WHERE symbol = 'NATION_2' AND as_of >= DATE '1998-01-31'", "monthly"))
+@query(sql("SELECT as_of, round(max(CASE WHEN symbol = 'NATION_1' THEN ret END), 6) AS ret FROM monthly WHERE as_of < DATE '1998-01-31' AND symbol = 'NATION_1' GROUP BY as_of UNION ALL SELECT as_of, round(ret, 6) FROM monthly WHERE symbol = 'NATION_2' AND as_of >= DATE '1997-06-30' AND as_of NOT IN (SELECT as_of FROM monthly WHERE symbol = 'NATION_1' AND as_of < DATE '1998-01-31')", "monthly"))
 def spliced_returns(spark, d):
     m = D.monthly(spark, d)
     early = m.where("symbol = 'NATION_1' AND as_of < DATE '1998-01-31'")
     late = m.where("symbol = 'NATION_2' AND as_of >= DATE '1997-06-30'")
-    return rounded(backtest.splice(early, late.join(early.select("as_of"), "as_of", "left_anti").where("as_of >= DATE '1998-01-31'")), "ret")
+    return rounded(backtest.splice(early, late), "ret")
 
 
 # Information coefficients
@@ -595,7 +588,7 @@ def evaluation_table(spark, d):
 
 @query(f"{EVALS}, {RANKS.format(p='1', q='', t='eval')} SELECT count(*) AS n, round(CASE WHEN count(*) >= 5 AND count(DISTINCT signal) >= 2 THEN corr(a, b) END, 6) AS ic FROM ranks")
 def rank_ic(spark, d):
-    return rounded(stats.rank_ic(evaluation(spark, d).withColumn("pool", F.lit(0)), "signal", "ret", ("pool",)).drop("pool"), "ic")
+    return rounded(stats.rank_ic(evaluation(spark, d), "signal", "ret"), "ic")
 
 
 @query(f"{EVALS}, {RANKS.format(p='as_of', q='as_of,', t='eval')}, {PERIOD} SELECT as_of, n, round(ic, 6) AS ic FROM ics WHERE ic IS NOT NULL AND NOT isnan(ic)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asofworks.sources.files import exists
+
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """Per window and type: number and sum of values; rows later than the watermark are left out on a stream."""
@@ -24,12 +26,12 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def append_new(batch: DataFrame, path: str, key: str) -> None:
-    """For foreachBatch and resumable jobs: appends the rows whose key the table at path lacks."""
-    spark = batch.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key)
-    except Exception as e:  # the first batch has no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = batch.select(key).limit(0)
-    batch.dropDuplicates([key]).join(done, key, "left_anti").write.mode("append").parquet(path)
+    """For foreachBatch and resumable jobs: appends the rows whose key the table at path lacks.
+
+    Only the keys of the table are read, and of those only the batch's own.
+    """
+    own = batch.dropDuplicates([key])
+    if exists(batch.sparkSession, path):
+        done = batch.sparkSession.read.schema(batch.schema).parquet(path).select(key)
+        own = own.join(done, key, "left_anti")
+    own.write.mode("append").parquet(path)

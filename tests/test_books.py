@@ -102,6 +102,30 @@ def test_metrics(spark):
     assert metrics.metrics(series(spark, [-0.5, 0.1]), 4).first()["max_dd"] == 0  # a loss at first is no drawdown
 
 
+# The published monthly returns of a strategy and of its benchmark.
+PUBLISHED = [
+    0.39244, -0.07865, -0.05326, -0.35866, 0.12038, 0.05178, -0.18094, -0.15696, 0.06336, 0.16577, 0.06364, -0.0019, 0.05256, 0.03669,
+    0.39444, 0.24599, -0.14887, 0.02469, -0.07194, 0.11677, -0.04335, -0.11535, 0.03825, 0.28345, 0.44965, 0.26343, -0.10724, 0.43248,
+    1.05443, -0.34154, 0.11105, -0.07507, 0.22282, 0.01358, -0.10463, -0.15803, 0.36646, -0.28529, 0.09106, -0.17882, 0.00034, -0.00147,
+    0.10829, 0.02305, 0.07706, -0.06762, 0.05133, 0.89797, 0.09103, 0.06593, -0.0212, 0.09625, 0.11914,
+]
+PUBLISHED_BENCHMARK = [
+    0.40076, -0.07129, -0.18893, -0.16818, 0.12269, 0.05448, -0.17342, -0.15464, -0.37343, 0.16898, -0.13948, -0.03142, 0.05514, -0.16252,
+    0.39799, 0.00044, 0.23024, 0.02699, -0.06919, 0.11982, -0.04069, -0.11269, 0.03945, 0.28572, 0.08846, 0.12189, 0.00583, 0.43803,
+    0.166, -0.1501, 0.11421, -0.07121, 0.02925, -0.08761, 0.07409, 0.11077, 0.37191, -0.03033, 0.0944, -0.1766, -0.02114, 0.14067,
+    0.1107, 0.02432, 0.0804, -0.06473, 0.05342, -0.03888, -0.17559, -0.03003, -0.1016, -0.14954, 0.01949,
+]
+
+
+def test_published_figures(spark):
+    """The published series have the published figures."""
+    own, base = (metrics.metrics(series(spark, x), 12).first() for x in (PUBLISHED, PUBLISHED_BENCHMARK))
+    assert (own["total"], own["sharpe"], own["max_dd"]) == (pytest.approx(12.6015, abs=1e-4), pytest.approx(1.0344, abs=1e-4), pytest.approx(-0.5448, abs=1e-4))
+    assert (base["total"], base["sharpe"], base["max_dd"]) == (pytest.approx(0.6162, abs=1e-4), pytest.approx(0.4594, abs=1e-4), pytest.approx(-0.7204, abs=1e-4))
+    got = metrics.jensen(series(spark, PUBLISHED), series(spark, PUBLISHED_BENCHMARK)).first()
+    assert (got["alpha"], got["beta"], got["t_alpha"]) == (pytest.approx(0.7132, abs=1e-4), pytest.approx(0.7606, abs=1e-4), pytest.approx(1.9156, abs=1e-4))
+
+
 def test_jensen_and_jackknife(spark):
     r = np.random.default_rng(1)
     x = r.normal(0, 0.1, 30)
