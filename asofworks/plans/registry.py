@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import market_queries, text_queries
+from . import backtest_queries, file_queries, market_queries, parser_queries, text_queries
 
 
 def queries() -> dict:
-    return market_queries.QUERIES | text_queries.QUERIES
+    return market_queries.QUERIES | text_queries.QUERIES | file_queries.QUERIES | backtest_queries.QUERIES | parser_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return market_queries.ORACLES | text_queries.ORACLES
+    return market_queries.ORACLES | text_queries.ORACLES | file_queries.ORACLES | backtest_queries.ORACLES | parser_queries.ORACLES
