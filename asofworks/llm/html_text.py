@@ -11,8 +11,8 @@ The potentials are counts from labelled pages: those that mark their article
 (article or main element, or a role of that kind). Inside it is content,
 except elements that the markup itself names as something else. Marks of the
 article are hidden from half of the pages' counts, so that pages without them
-are told by the rest. Fixed odds stand in for markup that the
-labelled pages do not show.
+are told by the rest. Fixed odds stand in for markup that the labelled pages do
+not show, and fade as they show it.
 
 Defined results: a null or empty page has an empty text; a page without any
 tag is its own text. Unclosed and misnested elements are closed as HTML's
@@ -225,9 +225,8 @@ PRIOR = {
     ("hint", "-1"): (0.02, 0.02, 60.0),
     ("hint", "1"): (4.0, 20.0, 1.0),
 }
-#: Nodes with a feature value after which what labelled pages show gets half of the trust that it can get.
+#: Nodes with a feature value after which what labelled pages show counts as much as fixed odds.
 TRUST = 50
-MOST_TRUST = 0.7
 EDGE_PRIOR = ((15.0, 5.0, 10.0), (0.01, 60.0, 15.0), (0.005, 0.005, 60.0))
 #: Labelled pages weigh no more than this against an edge's pseudo-counts: pages of one make must not rule out others.
 MOST_EDGES = 100
@@ -259,7 +258,7 @@ class TreeModel:
         for name, value in seen.keys() | PRIOR.keys():
             own, prior = seen.get((name, value), [0.0] * 3), PRIOR.get((name, value), (1.0, 1.0, 1.0))
             share = [own[s] / max(1, total[name, s]) for s in range(3)]
-            trust = MOST_TRUST * sum(own) / (sum(own) + TRUST)
+            trust = sum(own) / (sum(own) + TRUST)
             mixed = [trust * share[s] / (max(share) or 1) + (1 - trust) * prior[s] / max(prior) for s in range(3)]
             tag = value.split()[0] if name == "tag" else ""
             most = MOST_BY_NAME if tag in NAMES_OTHER else MOST_BY_ARTICLE if tag in NAMES_ARTICLE else MOST_ODDS[name]
