@@ -200,9 +200,9 @@ def links(nodes: DataFrame) -> DataFrame:
     keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)])).alias("s")).select("fp", F.xxhash64("s.mask", "s.value").alias("shard"))
 
     def run(batches):
-        whole = pa.Table.from_batches(list(batches))
-        if whole.num_rows:
-            yield from shard_links(whole.combine_chunks().to_batches())
+        whole = one_batch(batches)
+        if whole is not None:
+            yield from shard_links([whole])
 
     return in_slices(keyed, ["fp"]).repartition("key").mapInArrow(run, "a long, b long")
 
@@ -317,7 +317,10 @@ def candidates(b: pa.RecordBatch, done):
 
 
 def one_batch(batches) -> pa.RecordBatch | None:
-    whole = pa.Table.from_batches(list(batches))
+    found = list(batches)
+    if not found:
+        return None
+    whole = pa.Table.from_batches(found)
     return whole.combine_chunks().to_batches()[0] if whole.num_rows else None
 
 
