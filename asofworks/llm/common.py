@@ -162,3 +162,36 @@ def annotate(df: DataFrame, fields: list[StructField], start: Callable[[], Calla
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *f(batch)], [*keep, *(x.name for x in fields)])
 
     return source.mapInArrow(run, schema)
+
+
+def whole_vectors(df: DataFrame, column: str, scale: int, limit: int, out: str) -> DataFrame:
+    """df's rows whose vector has no null or non-finite component, and out: floor(scale * x) of each component x as a double.
+
+    Values beyond the limit on either side are held there, so that what is
+    computed from them is exact in 64 bits.
+    """
+    fine = F.forall(column, lambda x: F.coalesce((x == x) & (F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x), F.lit(False)))
+    held_in = lambda x: F.greatest(F.lit(float(-limit)), F.least(F.lit(float(limit)), F.floor(x.cast("double") * scale).cast("double"))).cast("long")
+    return df.where(F.col(column).isNotNull() & fine).withColumn(out, F.transform(column, held_in))
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A list column of longs as a matrix; shorter rows are filled up with zeros."""
+    out = np.zeros((len(column), width), np.int64)
+    size = np.diff(column.offsets.to_numpy())
+    out[np.arange(width) < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def looked_up(rows: DataFrame, details: DataFrame, key: str, most: int = 100_000, salts: int = 32) -> DataFrame:
+    """rows with the columns of details, which has one row a key; no key is null.
+
+    details go to all tasks while they are at most so many rows; else they are
+    repeated under each salt, so that a key with a third of all rows is met in
+    as many tasks as there are salts.
+    """
+    if details.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(details), key, "left")
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
+    every = details.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(every, [key, "_salt"], "left").drop("_salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, html_text, langid, lm_mixing, packing, pieces, pii, quality_gam, quality_rules, simhash
+from . import gif, hard_negatives, host_reputation, html_text, langid, lm_mixing, packing, pieces, pii, quality_gam, quality_rules, simhash, vector_codes
 from .common import held, table
 
 
@@ -54,6 +54,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, net, keep=["doc_id"]).select("doc_id", held("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_reputation.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.mining_rows(table(spark, sf_dir, "embeddings")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_lm_mixing": op1_lm_mixing,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -65,6 +77,9 @@ QUERIES = {
     "op8_quality_gam": op8_quality_gam,
     "op9_pieces": op9_pieces,
     "op10_langid": op10_langid,
+    "op11_host_reputation": op11_host_reputation,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op12_hard_negatives": hard_negatives.SQL, "op13_vector_codes": vector_codes.oracle()}
