@@ -57,6 +57,10 @@ NAMES_OTHER = frozenset("nav header footer aside form menu search dialog".split(
 BEGINS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 REST = re.compile(r"([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>")
 PLAIN_REST = re.compile(r"([^>]*+)>")
+#: What ends a comment that has just begun, any comment, and a declaration.
+EMPTY_COMMENT = re.compile("-?>")
+COMMENT_END = re.compile("--!?>")
+DECLARATION_END = re.compile(">")
 NAMED = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -132,11 +136,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str] | None]]:
         text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
-            closing = "-->" if m[0] == "<!--" else ">"
-            k = page.find(closing, at)
-            if k < 0:  # cut off
+            stop = (EMPTY_COMMENT.match(page, at) or COMMENT_END.search(page, at)) if m[0] == "<!--" else DECLARATION_END.search(page, at)
+            if stop is None:  # cut off
                 break
-            at = k + len(closing)
+            at = stop.end()
             continue
         tag = m[2].lower()
         r = rest.match(page, at)
@@ -163,8 +166,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str] | None]]:
                 runs.append(None)
             continue
         if tag in RAW:  # up to its end tag, whatever stands there
-            stop = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
-            at = stop.end() if stop else end
+            stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            close_at = page.find(">", stop.end()) if stop else -1
+            at = close_at + 1 if close_at >= 0 else end
             continue
         if tag in ("html", "body"):
             continue
