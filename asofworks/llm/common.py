@@ -88,8 +88,9 @@ def hash_sample(df: DataFrame, keys: list[str], limit: int, strata: str | None =
     if strata is None:
         n = df.count()
         return df.dropDuplicates(keys) if n <= limit else df.where(mark < int(steps * limit / n)).dropDuplicates(keys)
-    shares = df.groupBy(strata).agg(F.least(F.lit(1.0), F.lit(float(limit)) / F.count("*")).alias("_share")).withColumnRenamed(strata, "_stratum")
-    own = df.join(F.broadcast(shares), F.col(strata).eqNullSafe(F.col("_stratum"))).where(mark < (F.col("_share") * steps).cast("long"))
+    stratum = F.struct(F.col(strata).isNull().alias("none"), F.coalesce(F.col(strata).cast("string"), F.lit("")).alias("name"))
+    shares = df.groupBy(stratum.alias("_stratum")).agg(F.least(F.lit(1.0), F.lit(float(limit)) / F.count("*")).alias("_share"))
+    own = looked_up(df.withColumn("_stratum", stratum), shares, "_stratum").where(mark < (F.col("_share") * steps).cast("long"))
     return own.select(*df.columns).dropDuplicates([*keys, strata])
 
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField
+from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField
 
 from .common import Texts, annotate, hash_sample
 
@@ -33,7 +33,12 @@ WIDTHS = (2, 3, 4)
 STEP = WINDOW - max(WIDTHS) + 1
 #: Byte classes: letters without case, white space, digits, other ASCII, and each of UTF-8's other bytes.
 CLASSES = 29 + 64 + 51
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers that are none by str.isalpha: fractions, Roman numerals.
+MAYBE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in MAYBE_LETTER.finditer(text))
 
 
 def byte_classes() -> np.ndarray:
@@ -103,19 +108,20 @@ def windows_of(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.lib.stride_tricks.sliding_window_view(out, WINDOW)[(end - room)[row] + nth * STEP], row
 
 
-def train(texts: list[str], langs: list[str], filters: int = 16, epochs: int = 6, per_text: int = 8, seed: int = 7) -> ByteCnn:
-    """Fits the network by Adam on up to per_text windows, evenly spread, of each text."""
-    languages = sorted(set(langs))
+def spread_windows(texts: Texts, per_text: int = 8) -> list[np.ndarray]:
+    """Up to per_text windows of each text, evenly spread."""
+    x, row = windows_of(texts)
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    return [x[np.unique(np.linspace(a, b - 1, per_text).astype(int))] if b > a else x[:0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def train(windows: list[np.ndarray], langs: list[str], filters: int = 16, epochs: int = 6, seed: int = 7) -> ByteCnn:
+    """Fits the network by Adam on each text's windows."""
     rng = np.random.default_rng(seed)
-    x, row = windows_of(Texts(pa.array(texts, pa.large_string())))
-    if not len(x):
-        languages = []
-    y = np.array([languages.index(v) for v in langs], np.int64) if languages else np.zeros(0, np.int64)
-    keep = []
-    for r in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row)) + 1) if len(row) else []:
-        keep.append(r[np.unique(np.linspace(0, len(r) - 1, per_text).astype(int))])
-    picked = np.concatenate(keep) if keep else np.zeros(0, int)
-    x, y = x[picked], y[row[picked]] if len(y) else y
+    languages = sorted({v for w, v in zip(windows, langs, strict=True) if len(w)})
+    places = {v: k for k, v in enumerate(languages)}
+    x = np.concatenate([w.reshape(-1, WINDOW) for w in windows]) if windows else np.zeros((0, WINDOW), np.uint8)
+    y = np.array([places[v] for w, v in zip(windows, langs, strict=True) for _ in range(len(w))], np.int64)
     scale = 0.3
     net = ByteCnn(languages, [rng.normal(0, scale, (w, CLASSES, filters)) for w in WIDTHS], rng.normal(0, 0.2, (len(WIDTHS) * filters, len(languages))), np.zeros(len(languages)))
     params = [*net.taps, net.out, net.bias]
@@ -161,10 +167,12 @@ def train(texts: list[str], langs: list[str], filters: int = 16, epochs: int = 6
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500) -> ByteCnn:
-    """A network from about per_language rows of each language (the bound on what comes to the driver, with the number of languages)."""
+    """A network from about per_language rows of each language. Of each row its windows come to the driver, half a kilobyte at most."""
     rows = hash_sample(labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col), [id_col, text_col], per_language, lang_col)
-    rows = sorted(rows.collect(), key=lambda r: (str(r[0]), str(r[1])))
-    return train([r[1] for r in rows], [str(r[2]) for r in rows])
+    f = lambda b: [pa.array([w.tobytes() for w in spread_windows(Texts(b.column(text_col)))], pa.binary())]
+    found = annotate(rows, [StructField("_windows", BinaryType())], lambda: f, [text_col], [id_col, lang_col], text_col)
+    own = sorted(found.collect(), key=lambda r: (str(r[0]), bytes(r[2])))
+    return train([np.frombuffer(r[2], np.uint8).reshape(-1, WINDOW) for r in own], [str(r[1]) for r in own])
 
 
 def identify(df: DataFrame, net: ByteCnn, text_col: str = "text", keep: list[str] | None = None, lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
@@ -183,7 +191,7 @@ def identify(df: DataFrame, net: ByteCnn, text_col: str = "text", keep: list[str
             count = np.maximum(1, np.bincount(row, minlength=n))
             mean = np.stack([np.bincount(row, p[:, k], n) / count for k in range(p.shape[1])], axis=1)
             best = mean.argmax(axis=1)
-            known = np.array([bool(LETTER.search(s)) for s in texts.strings()], bool)
+            known = np.array([has_letter(s) for s in texts.strings()], bool)
             names = [net.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
             return [pa.array(names, pa.string()), pa.array(np.where(known, np.clip(mean[np.arange(n), best], 0, 1), 0.0))]
 
