@@ -255,15 +255,27 @@ def test_rule_counts_against_brute_force(rng):
         assert got == [len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in s), dups, len(covered)]
 
 
-def test_binomial_tail_and_cutoff():
-    from math import comb
+def test_path_of_cutoffs():
+    """Steps tighten the rule that catches most bad texts for what it costs, and never level 0."""
+    n = quality_rules.GRID + 1
+    bad, cost = np.zeros((4, n), np.int64), np.zeros((4, n), np.int64)
+    bad[0, 150], bad[1, 90], bad[1, 40], bad[2, 0], bad[3, 5] = 3, 5, 2, 9, 1
+    cost[0, 160:180], cost[1, 95], cost[1, 50], cost[3, 6:] = 1, 2, 4, 10
+    step = quality_rules.path(bad, cost, 1.0)
+    never = quality_rules.NEVER
+    assert step[1, 90:].tolist() == [1] * (n - 90) and step[1, 40:90].tolist() == [2] * 50 and (step[1, :40] == never).all()
+    assert (step[2] == never).all() and (step[3] == never).all()  # level 0; costs more than it tells
+    assert (step[0] == never).all() and (quality_rules.path(bad, cost, 10.0)[0, 150:] != never).all()
+    assert (quality_rules.path(bad * 0, cost, 1.0) == never).all()
+
+
+def test_steps_are_certified_in_their_order():
+    """Each step needs the largest exact binomial probability up to it."""
+    tail = lambda k, n, p: math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    got = quality_rules.sequence(np.array([0, 0, 2, 0, 5]), 200, 0.04)
+    assert got.tolist() == pytest.approx([tail(0, 200, 0.04), tail(0, 200, 0.04), tail(2, 200, 0.04), tail(2, 200, 0.04), tail(7, 200, 0.04)])
+    assert quality_rules.sequence(np.array([0, 1]), 0, 0.04).tolist() == [1.0, 1.0]
 
-    for k, n, p in ((0, 10, 0.1), (3, 12, 0.4), (12, 12, 0.2)):
-        assert quality_rules.binomial_cdf(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
-    good, bad = np.zeros(11, int), np.zeros(11, int)
-    good[0], bad[7] = 1000, 50
-    assert quality_rules.certified_cutoff(good, bad, 0.01, 0.01) == 6  # the mildest that catches all
-    assert quality_rules.certified_cutoff(good // 100, bad, 0.01, 0.01) == 10  # too few to certify
 
 
 def test_additive_model_learns_a_pair():
@@ -273,18 +285,36 @@ def test_additive_model_learns_a_pair():
     m = quality_gam.train(x[:3000], y[:3000], n_pairs=1)
     assert ((m.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
     assert quality_gam.train(x[:0], y[:0]).score(x[:2]).tolist() == [0.5, 0.5]
+    for row, score in zip(x[3000:3050].tolist(), m.score(x[3000:3050]).tolist(), strict=True):  # a plain sum of table entries
+        bin_of = lambda cuts, v: sum(c <= v for c in cuts)
+        z = m.intercept + sum(t[bin_of(c, v)] for c, t, v in zip(m.cuts, m.tables, row, strict=True)) + sum(t[bin_of(a, row[i])][bin_of(b, row[j])] for i, j, a, b, t in m.pairs)
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
 
 
 # Language
 
 
 def test_language_of_windows():
-    net = langid.train(["the cat and the dog of the house " * 4, "der hund und die katze im haus " * 4] * 20, ["en", "de"] * 20, epochs=8)
+    texts = ["the cat and the dog of the house " * 4, "der hund und die katze im haus " * 4] * 20
+    net = langid.train(langid.spread_windows(Texts(pa.array(texts))), ["en", "de"] * 20, epochs=8)
     w, row = langid.windows_of(Texts(pa.array(["the house of the dog and the cat " * 4, None, "die katze und der hund im haus " * 4])))
     p = net.probabilities(w, net.tables())
     assert set(row.tolist()) == {0, 2}
     assert [net.languages[p[row == i].sum(axis=0).argmax()] for i in (0, 2)] == ["en", "de"]
     assert langid.train([], []).languages == []
+    # the same network byte by byte
+    bank = [tap.tolist() for tap in net.taps]
+    for k, window in enumerate(w.tolist()):
+        hidden = []
+        for width, tap in zip(langid.WIDTHS, bank, strict=True):
+            for f in range(len(tap[0][0])):
+                hidden.append(max(0.0, max(sum(tap[o][window[at + o]][f] for o in range(width)) for at in range(langid.WINDOW - width + 1))))
+        z = [sum(h * net.out[i][c] for i, h in enumerate(hidden)) + net.bias[c] for c in range(2)]
+        assert p[k].tolist() == pytest.approx([math.exp(v) / sum(math.exp(u) for u in z) for v in z], rel=1e-4)
+
+
+def test_letters():
+    assert not any(map(langid.has_letter, ("", "12 34!", "\u00bd \u00b2 \u2460", "\u2167 12", "_\u0301"))) and all(map(langid.has_letter, ("a", "1\u00bd\u00e9", "\u6f22", "\u00aa")))
 
 
 # Pages
@@ -317,6 +347,10 @@ def test_main_text():
     assert html_text.main_text("", m) == "" and html_text.main_text("no tags &lt;", m) == "no tags <"
     assert html_text.main_text("<p>only <b>this</b><br>x", m) == "only this x"
     assert html_text.labels(html_text.parse("<p>a</p>")[0]) is None
+    for skipped in ("<!-->", "<!--->", "<!---->", "<!----!>", "<!-- a --!>", "<!--x>y-->", "<!DOCTYPE x>", "<script>x</script foo>", "<script>a</scripty>b</script/>", "<textarea>y</textarea x='1'>", "<style>q</STYLE\n>"):
+        assert html_text.main_text(f"<article><p>one {skipped} two</p></article>", m) == "one two", skipped
+    assert html_text.main_text("<article><p>one <!--!> two --> three</p></article>", m) == "one three"
+    assert html_text.main_text("<article><p>one <script>two</script", m) == "one"
 
 
 @pytest.mark.parametrize("page", ["<a " * 8000, "<b>" * 8000 + "</i>" * 8000, '<a "' * 8000, "<!" * 8000, "<p><td>" + "<b>" * 8000 + "<hr>" * 8000, "<div>" * 8000 + "<td></td>" * 8000, "<!--" * 8000, "<" * 50000, "&" * 50000, "<a " + "class='" * 8000 + ">"])
