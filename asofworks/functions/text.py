@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -149,19 +150,98 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def common_share(quote: str, text: str) -> float:
-    """The longest common substring's share of the quote."""
-    if not quote:
-        return 0.0
-    m = SequenceMatcher(None, quote, text, autojunk=False).find_longest_match(0, len(quote), 0, len(text))
-    return m.size / len(quote)
+class Substrings:
+    """All substrings of some texts, as a suffix automaton: what another text has in common with each is found in one pass over it.
+
+    States are sets of end places; size is a state's longest substring, link
+    the state of its longest one with other ends.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.size = [-1], [0]
+        self.prefixes = []  # of each text the state of each of its beginnings
+        for text in texts:
+            at, own = 0, []
+            for c in text:
+                at = self.extended(at, c)
+                own.append(at)
+            self.prefixes.append(own)
+        self.by_size = sorted(range(1, len(self.size)), key=self.size.__getitem__)
+
+    def state(self, size: int, link: int, after: dict[str, int]) -> int:
+        self.next.append(after)
+        self.link.append(link)
+        self.size.append(size)
+        return len(self.size) - 1
+
+    def split(self, at: int, c: str) -> int:
+        """The state of what is at, and c behind it: cut off from a larger one if need be."""
+        to = self.next[at][c]
+        if self.size[to] == self.size[at] + 1:
+            return to
+        own = self.state(self.size[at] + 1, self.link[to], dict(self.next[to]))
+        while at >= 0 and self.next[at].get(c) == to:
+            self.next[at][c] = own
+            at = self.link[at]
+        self.link[to] = own
+        return own
+
+    def extended(self, at: int, c: str) -> int:
+        if c in self.next[at]:  # an earlier text has it
+            return self.split(at, c)
+        new = self.state(self.size[at] + 1, 0, {})
+        while at >= 0 and c not in self.next[at]:
+            self.next[at][c] = new
+            at = self.link[at]
+        if at >= 0:
+            self.link[new] = self.split(at, c)
+        return new
+
+    def longest_in(self, text: str) -> list[int]:
+        """Of each text the length of its longest substring that stands in the given one."""
+        best = [0] * len(self.size)
+        follow, link, size = self.next, self.link, self.size
+        at = n = 0
+        for c in text:
+            to = follow[at].get(c)
+            while to is None and at:
+                at = link[at]
+                n = size[at]
+                to = follow[at].get(c)
+            if to is None:
+                continue
+            at, n = to, n + 1
+            if n > best[at]:
+                best[at] = n
+        for s in reversed(self.by_size):  # what is matched holds its own ends
+            if best[s] and link[s] > 0:
+                best[link[s]] = size[link[s]]
+        for s in self.by_size:  # and a text's substrings are the ends of its beginnings
+            best[s] = max(best[s], best[link[s]] if link[s] > 0 else 0)
+        return [max((best[s] for s in own), default=0) for own in self.prefixes]
+
+
+def common_shares(quotes: list[str], text: str) -> list[float]:
+    """Of each quote the share that its longest common substring with the text has."""
+    return [n / len(q) if q else 0.0 for q, n in zip(quotes, Substrings(quotes).longest_in(text), strict=True)]
+
+
+def may_reach(a: str, b: str, least: float) -> bool:
+    """Can the ratio be that large? What matches has no more characters than both have in any order."""
+    return (Counter(a) & Counter(b)).total() >= least * (len(a) + len(b)) / 2 - 1e-9
 
 
 @F.pandas_udf(DoubleType())
-def fuzzy_ratio(quote: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([ratio(q, t) for q, t in zip(quote, text, strict=True)], dtype=float)
+def fuzzy_ratio(quote: pd.Series, text: pd.Series, least: pd.Series) -> pd.Series:
+    """The ratio, or 0 where upper bounds already stay below `least`."""
+    return pd.Series([ratio(q, t) if may_reach(q, t, x) else 0.0 for q, t, x in zip(quote, text, least, strict=True)], dtype=float)
 
 
 @F.pandas_udf(DoubleType())
 def common_substring(quote: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([common_share(q, t) for q, t in zip(quote, text, strict=True)], dtype=float)
+    """The longest common substring's share of the quote; all quotes of a text that a batch holds in one pass."""
+    out = pd.Series(0.0, index=quote.index)
+    for t, own in quote.groupby(text.to_numpy(), sort=False):
+        out[own.index] = common_shares(own.tolist(), t)
+    return out

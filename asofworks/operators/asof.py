@@ -1,10 +1,10 @@
 """Point-in-time look-ups: the last value at or before a date.
 
-Two plan shapes give the same rows. `asof_by_calendar` sends a small calendar's
-days to every task (only below a checked size), keeps the latest value of each
-symbol up to each date in a partial aggregate and carries it on; `asof_by_merge` puts probes and values
-into one stream per symbol and takes the last value before each probe, which
-costs one shuffle however long the calendar is.
+Two plan shapes give the same rows. `asof_by_calendar` deals each value to the
+first date of the calendar that may know it, by an equal join on days, keeps the
+latest value of each symbol and date in a partial aggregate and carries it on;
+`asof_by_merge` puts probes and values into one stream per symbol and takes the
+last value before each probe: for probes that differ from symbol to symbol.
 """
 
 from __future__ import annotations
@@ -12,34 +12,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType
-
-#: A calendar up to this many dates is sent to every task.
-SMALL_CALENDAR = 2_000
 
 
 def day_map(calendar: DataFrame, probe: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of a calendar of dates: (probe, _pos) in order, (_day, _pos) of each day from the first date to the last with the next date's place, and its bounds (_first, _last)."""
+    """Of a calendar of dates or timestamps: (probe, _pos) in order; of each day from the first to the last its probes (_own) and the place of the next one after it (_next); and its bounds (_first, _end: a place more than there are).
+
+    A row a day of the span, whatever the number of values.
+    """
     w = W.orderBy(probe)  # a row a date of the calendar
-    numbered = calendar.select(probe).where(F.col(probe).isNotNull()).distinct().withColumn("_pos", F.row_number().over(w)).withColumn("_before", F.lag(probe).over(w))
-    days = numbered.select("_pos", F.explode(F.sequence(F.coalesce(F.date_add("_before", 1), F.col(probe)), F.col(probe))).alias("_day"))
-    return numbered.select(probe, "_pos"), days, numbered.agg(F.min(probe).alias("_first"), F.max(probe).alias("_last"))
+    numbered = calendar.select(probe).where(F.col(probe).isNotNull()).distinct().withColumn("_pos", F.row_number().over(w))
+    by_day = numbered.groupBy(F.to_date(probe).alias("_at")).agg(F.sort_array(F.collect_list(F.struct(F.col(probe).alias("at"), F.col("_pos").alias("pos")))).alias("_probes"))
+    d = W.orderBy("_at")
+    by_day = by_day.withColumns({"_before": F.lag("_at").over(d), "_later": F.lead(F.col("_probes")[0]["pos"]).over(d)})
+    spread = by_day.select("_at", "_probes", "_later", F.explode(F.sequence(F.coalesce(F.date_add("_before", 1), F.col("_at")), F.col("_at"))).alias("_day"))
+    there = F.col("_day") == F.col("_at")
+    days = spread.select("_day", F.when(there, F.col("_probes")).alias("_own"), F.when(there, F.col("_later")).otherwise(F.col("_probes")[0]["pos"]).alias("_next"))
+    return numbered, days, numbered.agg(F.to_date(F.min(probe)).alias("_first"), (F.max("_pos") + 1).alias("_end"))
 
 
 def asof_by_calendar(series: DataFrame, calendar: DataFrame, value: str = "close", key: str = "symbol", day: str = "date", probe: str = "as_of") -> DataFrame:
-    """(key, probe, value, value's day) for every key with a value at or before the probe date; no limit of staleness. Days and probes are dates.
+    """(key, probe, value, value's day) for every key with a value at or before the probe date; no limit of staleness.
 
-    Each value goes to the first probe at or after its day (an equal join), the
-    latest of each (key, probe) is a partial aggregate, and what a key has at one
-    probe holds until its next one.
+    Each value goes to the first probe at or after it (an equal join on days),
+    the latest of each (key, probe) is a partial aggregate, and what a key has at
+    one probe holds until its next one, or to the calendar's end.
     """
     numbered, days, bounds = day_map(calendar, probe)
     live = series.where(F.col(value).isNotNull() & F.col(day).isNotNull()).select(key, F.col(value).alias("_v"), F.col(day).alias("_d"))
-    met = live.crossJoin(F.broadcast(bounds)).where("_d <= _last").withColumn("_day", F.greatest("_d", "_first")).join(F.broadcast(days), "_day")  # bounds: one row
-    found = met.groupBy(key, "_pos").agg(F.max_by("_v", "_d").alias(value), F.max("_d").alias(f"{value}_date"))
-    until = F.coalesce(F.lead("_pos").over(W.partitionBy(key).orderBy("_pos")), F.lit(SMALL_CALENDAR + 1))
+    met = live.join(F.broadcast(bounds)).withColumn("_day", F.greatest(F.to_date("_d"), F.col("_first"))).join(F.broadcast(days), "_day")  # bounds: one row; days: 3.7 million at most, for all years that a date can have
+    mine = F.filter("_own", lambda x: x["at"] >= F.col("_d"))
+    placed = met.withColumn("_pos", F.coalesce(F.try_element_at(mine, F.lit(1))["pos"], F.col("_next"))).where("_pos IS NOT NULL")
+    found = placed.groupBy(key, "_pos", "_end").agg(F.max_by("_v", "_d").alias(value), F.max("_d").alias(f"{value}_date"))
+    until = F.coalesce(F.lead("_pos").over(W.partitionBy(key).orderBy("_pos")), F.col("_end"))
     spread = found.withColumn("_until", until).select(key, value, f"{value}_date", F.explode(F.sequence(F.col("_pos"), F.col("_until") - 1)).alias("_pos"))
-    return spread.join(F.broadcast(numbered), "_pos").select(key, probe, value, f"{value}_date")
+    return spread.join(numbered, "_pos").select(key, probe, value, f"{value}_date")
 
 
 def asof_by_merge(series: DataFrame, probes: DataFrame, value: str = "close", key: str = "symbol", day: str = "date", probe: str = "as_of") -> DataFrame:
@@ -52,12 +58,8 @@ def asof_by_merge(series: DataFrame, probes: DataFrame, value: str = "close", ke
 
 
 def asof(series: DataFrame, calendar: DataFrame, value: str = "close", key: str = "symbol", day: str = "date", probe: str = "as_of") -> DataFrame:
-    """Values of all keys at all calendar dates, by the shape that the calendar's size allows."""
-    dates = isinstance(series.schema[day].dataType, DateType) and isinstance(calendar.schema[probe].dataType, DateType)
-    if dates and calendar.select(probe).distinct().limit(SMALL_CALENDAR + 1).count() <= SMALL_CALENDAR:
-        return asof_by_calendar(series, calendar, value, key, day, probe)
-    probes = series.select(key).distinct().crossJoin(calendar.select(probe).distinct())
-    return asof_by_merge(series, probes, value, key, day, probe)
+    """Values of all keys at all calendar dates."""
+    return asof_by_calendar(series, calendar, value, key, day, probe)
 
 
 def forward_returns(series: DataFrame, pairs: DataFrame, value: str = "close") -> DataFrame:

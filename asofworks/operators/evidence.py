@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .prefix import running
 from .storage import saved
 
 
@@ -68,23 +69,35 @@ def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def batches(df: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """Rows with a batch number: within a key a batch is filled in order until the next row would pass the budget.
+    """(key, order, batch): within a key a batch is filled in order until the next row would pass the budget.
 
-    The fold needs a key's sizes in order, so keys must be bounded (a
-    conversation, a day).
+    A batch's first row with a size goes in, however large it is. From running
+    sums each row knows which row would begin the next batch if it began one;
+    from a key's first row on these pointers are followed, twice as far each
+    round, so a key of any size takes as many rounds as the logarithm of its
+    batches, and no key has to fit one task.
     """
-
-    def fill(pdf):
-        pdf, used, n, out = pdf.sort_values(order), 0, 0, []
-        for size_ in pdf[size]:
-            if used and used + size_ > budget:
-                used, n = 0, n + 1
-            used += size_
-            out.append(n)
-        return pdf[[key, order]].assign(batch=out)
-
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, order))
-    return df.select(key, order, F.col(size).cast("long").alias(size)).groupBy(key).applyInPandas(fill, f"{kinds}, batch int")
+    rows = df.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"), F.lit(1).alias("_one"))
+    rows = saved(running(rows, ["_key"], ["_order"], {"_end": "_size", "_at": "_one"}))
+    # how many rows end at or below a sum: rows and questions in one order
+    start = F.col("_end") - F.col("_size")
+    asked = F.explode(F.array(F.struct(start.alias("v"), F.lit("zero").alias("kind")), F.struct((start + budget).alias("v"), F.lit("full").alias("kind")), F.struct(F.col("_end").alias("v"), F.lit("").alias("kind"))))
+    both = rows.select("_key", "_at", asked.alias("x")).select("_key", "_at", F.col("x.v").alias("_v"), F.col("x.kind").alias("_kind"), (F.col("x.kind") != "").cast("int").alias("_late"), (F.col("x.kind") == "").cast("int").alias("_is"))
+    told = running(both, ["_key"], ["_v", "_late"], {"_n": "_is"}).where("_late = 1")
+    upto = told.groupBy("_key", "_at").agg(F.max(F.when(F.col("_kind") == "zero", F.col("_n"))).alias("_zero"), F.max(F.when(F.col("_kind") == "full", F.col("_n"))).alias("_full"))
+    # the first row with a size always goes in, the first one beyond the budget begins the next batch
+    jump = saved(upto.select("_key", "_at", F.greatest(F.col("_zero") + 2, F.col("_full") + 1).alias("_next")))
+    starts, step = saved(jump.where("_at = 1").select("_key", "_at", F.lit(0).alias("batch"))), 1
+    while True:
+        new = starts.join(jump, ["_key", "_at"]).select("_key", F.col("_next").alias("_at"), (F.col("batch") + step).alias("batch"))
+        new = saved(new.join(rows.select("_key", "_at"), ["_key", "_at"], "left_semi"))
+        if not new.limit(1).count():
+            break
+        starts = saved(starts.unionByName(new))
+        further = jump.select("_key", F.col("_at").alias("_next"), F.col("_next").alias("_then"))
+        jump, step = saved(jump.join(further, ["_key", "_next"]).select("_key", "_at", F.col("_then").alias("_next"))), 2 * step
+    begun = rows.join(starts.select("_key", "_at", F.lit(1).alias("_begins")), ["_key", "_at"], "left").withColumn("_begins", F.coalesce("_begins", F.lit(0)))
+    return running(begun, ["_key"], ["_at"], {"_b": "_begins"}).select(F.col("_key").alias(key), F.col("_order").alias(order), (F.col("_b") - 1).cast("int").alias("batch"))
 
 
 def chunks(df: DataFrame, key: str, order: str, k: int) -> DataFrame:

@@ -10,12 +10,19 @@ from .asof import asof
 
 
 def daily_returns(series: DataFrame, value: str = "close") -> DataFrame:
-    """(symbol, date, ret) on the union of all dates: gaps are padded first, so a gap is a row of zeros and then one jump."""
-    grid = series.select("symbol").distinct().crossJoin(series.select("date").distinct())
-    order = W.partitionBy("symbol").orderBy("date")
-    padded = grid.join(series.select("symbol", "date", value), ["symbol", "date"], "left").withColumn("_p", F.last(value, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    before = F.lag("_p").over(order)
-    return padded.withColumn("ret", F.try_divide(F.col("_p"), before) - 1).select("symbol", "date", "ret")
+    """(symbol, date, ret) on the union of all dates: gaps are padded first, so a gap is a row of zeros and then one jump.
+
+    Each value fills the places of its gap itself, and the first one those
+    before it (null): no symbol meets a date but its own. A symbol without any
+    value has no rows.
+    """
+    dates = series.select("date").distinct().withColumn("_n", F.row_number().over(W.orderBy("date")))  # a row a date
+    order = W.partitionBy("symbol").orderBy("_n")
+    own = series.where(F.col(value).isNotNull()).select("symbol", "date", F.col(value).alias("_v")).join(dates, "date")
+    own = own.join(F.broadcast(dates.agg(F.max("_n").alias("_end")))).withColumns({"_before": F.lag("_v").over(order), "_first": F.row_number().over(order) == 1, "_to": F.coalesce(F.lead("_n").over(order) - 1, F.col("_end"))})
+    filled = own.select("symbol", "_v", "_before", F.col("_n").alias("_own"), F.explode(F.sequence(F.when(F.col("_first"), 1).otherwise(F.col("_n")), F.col("_to"))).alias("_n"))
+    before = F.when(F.col("_n") == F.col("_own"), F.col("_before")).when(F.col("_n") > F.col("_own"), F.col("_v"))
+    return filled.withColumn("ret", F.try_divide(F.col("_v"), before) - 1).join(dates, "_n").select("symbol", "date", "ret")
 
 
 def rolling_beta(returns: DataFrame, market: str, window: int) -> DataFrame:

@@ -71,8 +71,24 @@ def asof_close(spark, d):
 
 @query(sql("SELECT symbol, as_of, max_by(close, date) AS close, max(date) AS close_date FROM market JOIN months ON date <= as_of GROUP BY ALL", "market", "months"))
 def asof_close_merge(spark, d):
-    probes = D.sectors(spark, d).select("symbol").crossJoin(F.broadcast(D.months(spark, d)))
-    return asof.asof_by_merge(D.prices(spark, d), probes)
+    span = calendar.span(D.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")), "day")  # one row
+    firsts = F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month"))
+    probes = D.sectors(spark, d).select("symbol").join(F.broadcast(span)).select("symbol", "start", "end", F.explode(firsts).alias("_m")).withColumn("as_of", F.last_day("_m"))
+    return asof.asof_by_merge(D.prices(spark, d), probes.where(F.col("as_of").between(F.col("start"), F.col("end"))))
+
+
+@query(f"{sql('', 'market').rstrip()}, days AS (SELECT DISTINCT date AS as_of FROM market), grid_ AS (SELECT symbol, as_of FROM (SELECT DISTINCT symbol FROM market) CROSS JOIN days) SELECT g.symbol, g.as_of, m.close, m.date AS close_date FROM grid_ g ASOF JOIN market m ON g.symbol = m.symbol AND g.as_of >= m.date")
+def asof_daily(spark, d):
+    """Closes as of every day of the market: some 2,400 dates."""
+    return asof.asof(D.prices(spark, d), D.market(spark, d).select(F.col("date").alias("as_of")))
+
+
+@query("WITH hours AS (SELECT DISTINCT date_trunc('hour', ts) AS as_of FROM events), kinds AS (SELECT DISTINCT event_type FROM events), latest AS (SELECT event_type, ts, max(value) AS value FROM events GROUP BY ALL) SELECT k.event_type, h.as_of, l.value, l.ts AS value_date FROM (SELECT * FROM hours CROSS JOIN kinds) h JOIN kinds k USING (event_type) ASOF JOIN latest l ON l.event_type = k.event_type AND h.as_of >= l.ts")
+def asof_hourly(spark, d):
+    """The last value of each kind of event as of every full hour that has events."""
+    e = D.table(spark, d, "events")
+    latest = e.groupBy("event_type", "ts").agg(F.max("value").alias("value"))
+    return asof.asof(latest, e.select(F.date_trunc("hour", "ts").alias("as_of")), "value", "event_type", "ts")
 
 
 @query(sql("SELECT symbol, as_of, oi FROM ois", "ois"))
@@ -85,7 +101,7 @@ def asof_events(spark, d):
     e = D.table(spark, d, "events")
     days = e.select(F.to_date("ts").alias("as_of")).distinct()
     latest = e.groupBy("user_id", F.to_date("ts").alias("date")).agg(F.max(F.struct("ts", "event_id", "value")).alias("last"))
-    return asof.asof_by_merge(latest, latest.select("user_id").distinct().crossJoin(F.broadcast(days)), "last", "user_id").select("user_id", "as_of", "last.value", F.col("last.ts").alias("value_at"))
+    return asof.asof(latest, days, "last", "user_id").select("user_id", "as_of", "last.value", F.col("last.ts").alias("value_at"))
 
 
 @query(sql("SELECT symbol, as_of, next_as_of, round(ret, 6) AS ret FROM monthly", "monthly"))

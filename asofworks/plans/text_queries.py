@@ -106,11 +106,12 @@ def thread_roots(spark, d):
     return evidence.thread_roots(posts)
 
 
-QUOTES = "SELECT item_id AS quote_id, substr(text, 8, 120) AS quote FROM benchmark"
+QUOTES = "SELECT item_id AS quote_id, text AS quote FROM benchmark"
 
 
 def quotes(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.substring("text", 8, 120).alias("quote"))
+    """Whole benchmark texts."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
 
 
 @query(f"SELECT quote_id, doc_id FROM ({QUOTES}) q JOIN documents ON contains({NORM.format('text')}, {NORM.format('quote')})")
@@ -133,14 +134,10 @@ def quote_audit_fuzzy(spark, d):
     return audit.similar(quotes(spark, d), table(spark, d, "documents"))
 
 
-def whole_quotes(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-
-
 @query()
 def quote_audit_near(spark, d):
     """Verdicts on whole benchmark texts, by all documents that hold 0.85 of one in a row."""
-    return audit.verdicts(whole_quotes(spark, d), audit.similar(whole_quotes(spark, d), table(spark, d, "documents")), docs(spark, d), t0())
+    return audit.verdicts(quotes(spark, d), audit.similar(quotes(spark, d), table(spark, d, "documents")), docs(spark, d), t0())
 
 
 @query()
@@ -162,6 +159,13 @@ def quote_windows(spark, d):
     return audit.similar_windows(own, turns, ["conv_id"])
 
 
+@query()
+def quote_windows_anywhere(spark, d):
+    """The same quotes against all turns of all conversations: no column is shared."""
+    own, turns = drifted(spark, d)
+    return audit.similar_windows(own, turns)
+
+
 @query(f"SELECT doc_id, day, quote FROM (SELECT doc_id, CAST({DAY} AS VARCHAR) AS day, replace(text, '\"', '') AS quote FROM documents UNION ALL SELECT doc_id, 'undated', source FROM documents)")
 def citation_parse(spark, d):
     said = F.format_string('see [%s] "%s" and [undated]  "%s"', F.col("day").cast("string"), F.replace("text", F.lit('"'), F.lit("")), "source")

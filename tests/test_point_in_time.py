@@ -1,13 +1,14 @@
 """As-of look-ups, returns, calendars and lifecycle, by hand-computed cases."""
 
-from datetime import date
+import random
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from asofworks.operators import asof, calendar, lifecycle, returns
+from asofworks.operators import asof, backtest, calendar, lifecycle, returns
 
 D = date
 
@@ -30,6 +31,43 @@ def test_asof_shapes_agree(spark, prices):
     assert {(r["symbol"], r["as_of"]): r["close"] for r in a} == {("A", D(2024, 1, 14)): 100.0, ("A", D(2024, 1, 31)): 120.0, ("B", D(2024, 1, 31)): 50.0, ("A", D(2024, 2, 29)): 120.0, ("B", D(2024, 2, 29)): 50.0}
 
 
+@pytest.mark.parametrize("days", [2_500, 10_000])
+def test_long_calendars(spark, days):
+    """A value of each symbol, early and late, as of every day: all dates, and none before the value."""
+    first = date(1995, 1, 1)
+    late = first + timedelta(days=days - 300)
+    series = spark.createDataFrame([("A", first, 1.0), ("B", late, 2.0)], "symbol string, date date, close double")
+    cal = spark.range(days).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("as_of"))
+    probes = series.select("symbol").join(cal)
+    for found in (asof.asof(series, cal), asof.asof_by_calendar(series, cal), asof.asof_by_merge(series, probes)):
+        n = {r["symbol"]: (r["n"], r["a"], r["b"]) for r in found.groupBy("symbol").agg(F.count("*").alias("n"), F.min("as_of").alias("a"), F.max("as_of").alias("b")).collect()}
+        last = first + timedelta(days=days - 1)
+        assert n == {"A": (days, first, last), "B": (300, late, last)}
+        assert found.where("close_date > as_of").count() == 0
+
+
+def test_probes_within_a_day(spark):
+    r = random.Random(3)
+    at = lambda: datetime(2024, 1, 1) + timedelta(minutes=r.randrange(0, 4 * 24 * 60))
+    series = spark.createDataFrame([(f"s{k % 3}", at(), float(k)) for k in range(60)], "symbol string, date timestamp, close double").dropDuplicates(["symbol", "date"])
+    cal = spark.createDataFrame([(at(),) for _ in range(25)] + [(None,)], "as_of timestamp")
+    probes = series.select("symbol").distinct().join(cal.where("as_of IS NOT NULL"))
+    got = sorted(map(tuple, asof.asof(series, cal).collect()))
+    assert got == sorted(map(tuple, asof.asof_by_merge(series, probes).collect())) and len(got) > 40
+
+
+def test_funding_as_differences_of_running_sums(spark):
+    rows = [("a", date(2024, 1, d), d / 7) for d in (1, 2, 5, 9, 20)] + [("b", date(2024, 1, 9), 3.0), ("a", date(2024, 1, 9), 0.5), ("b", date(2024, 1, 3), None)]
+    spans = [(date(2024, 1, 1), date(2024, 1, 9)), (date(2024, 1, 9), date(2024, 1, 15)), (date(2024, 1, 15), date(2024, 2, 1)), (date(2024, 1, 20), None)]
+    got = {(r["symbol"], r["as_of"]): r["funding"] for r in backtest.period_funding(spark.createDataFrame(rows, "symbol string, date date, rate double"), spark.createDataFrame(spans, "as_of date, next_as_of date")).collect()}
+    want = {}
+    for a, b in spans:
+        for s, d, x in rows:
+            if b is not None and a < d <= b and x is not None:
+                want[s, a] = want.get((s, a), 0) + x / 100
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_forward_return_and_zero_price(spark, prices):
     pairs = spark.createDataFrame([(D(2024, 1, 1), D(2024, 1, 31)), (D(2024, 1, 31), D(2024, 3, 31))], "as_of date, next_as_of date")
     got = {(r["symbol"], r["as_of"]): r["ret"] for r in asof.forward_returns(prices, pairs).collect()}

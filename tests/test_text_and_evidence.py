@@ -2,12 +2,14 @@
 
 import random
 from datetime import date, datetime
+from difflib import SequenceMatcher
+from time import process_time
 
 import pytest
 from pyspark.sql import functions as F
 
 from asofworks.functions import text as X
-from asofworks.operators import audit, evidence, reconcile
+from asofworks.operators import audit, evidence, prefix, reconcile
 from asofworks.plans import registry
 from asofworks.streaming import events as S
 
@@ -39,7 +41,7 @@ def test_repair(cut, whole):
 def test_similarity():
     q = "the quick brown fox jumps over the lazy dog"
     assert X.ratio(q, q + " again") > 0.85 and X.ratio(q, "nothing like it at all in this text") < 0.6
-    assert X.common_share("abcdef", "xxabcdxx") == pytest.approx(4 / 6) and X.common_share("", "x") == 0
+    assert X.common_shares(["abcdef", ""], "xxabcdxx") == [pytest.approx(4 / 6), 0]
 
 
 def test_jaccard(spark):
@@ -109,6 +111,11 @@ def quote_cases():
     return texts, quotes
 
 
+def common_share(quote, text):
+    m = SequenceMatcher(None, quote, text, autojunk=False).find_longest_match(0, len(quote), 0, len(text))
+    return m.size / len(quote)
+
+
 def test_quotes_against_all_pairs(spark):
     texts, quotes = quote_cases()
     corpus, own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string")
@@ -116,7 +123,7 @@ def test_quotes_against_all_pairs(spark):
     t, q = plain(corpus, "text"), plain(own, "quote")
     assert {tuple(r) for r in audit.contained(own, corpus).collect()} == {(i, j) for i, a in q.items() for j, b in t.items() if a and a in b}
     for least in (0.85, 0.6):
-        want = {(i, j): share for i, a in q.items() for j, b in t.items() if a and (share := X.common_share(a, b)) >= least}
+        want = {(i, j): share for i, a in q.items() for j, b in t.items() if a and (share := common_share(a, b)) >= least}
         got = {(r["quote_id"], r["doc_id"]): r["score"] for r in audit.similar(own, corpus, least).collect()}
         assert got == pytest.approx(want) and len(want) > 40
 
@@ -136,8 +143,65 @@ def test_windowed_ratio_against_all_pairs(spark):
                     want[i, j] = best
     got = {(r["quote_id"], r["doc_id"]): r["score"] for r in audit.similar_windows(own, corpus, ["who"]).collect()}
     assert got == pytest.approx(want) and want
-    with pytest.raises(ValueError):
-        audit.similar_windows(own, corpus, [])
+
+
+@pytest.mark.parametrize("least", [0.85, 0.7])
+def test_windowed_ratio_without_a_shared_column(spark, least, monkeypatch):
+    texts, quotes = quote_cases()
+    texts, quotes = texts[:12], [*quotes[::4], "\U0001f600ab", texts[0][3:90].replace("e", "") + "zz"]
+    corpus, own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string")
+    plain = lambda df, c: {r[0]: r[1] for r in df.select(df.columns[0], X.normalised(F.col(c))).collect()}
+    want = {}
+    for i, a in plain(own, "quote").items():
+        for j, b in plain(corpus, "text").items():
+            best = max((X.ratio(a, b[k : k + len(a) + 10]) for k in range(0, max(1, len(b) - len(a) + 1), max(1, len(a) // 2))), default=0) if a else 0
+            if best >= least:
+                want[i, j] = best
+    got = {(r["quote_id"], r["doc_id"]): r["score"] for r in audit.similar_windows(own, corpus, least=least).collect()}
+    assert got == pytest.approx(want) and len(want) >= 4
+    monkeypatch.setattr(audit, "BROADCAST_RUNS", 0)
+    assert {(r["quote_id"], r["doc_id"]) for r in audit.similar_windows(own, corpus, least=least).collect()} == want.keys()
+
+
+def test_suffix_automaton():
+    r = random.Random(5)
+    for k in range(400):
+        letters = "ab" if k % 2 else "abcd"
+        quotes = ["".join(r.choice(letters) for _ in range(r.randrange(9))) for _ in range(r.randrange(1, 5))]
+        text = "".join(r.choice(letters + "z") for _ in range(r.randrange(25)))
+        want = [max((j - i for i in range(len(q)) for j in range(i + 1, len(q) + 1) if q[i:j] in text), default=0) for q in quotes]
+        assert X.Substrings(quotes).longest_in(text) == want
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(2000)]
+    began = process_time()
+    X.common_shares([" ".join(r.choices(words, k=20)) for _ in range(200)], " ".join(r.choices(words, k=20_000)))
+    assert process_time() - began < 2
+
+
+def plain_batches(sizes, budget):
+    used, n, out = 0, 0, []
+    for s in sizes:
+        if used and used + s > budget:
+            used, n = 0, n + 1
+        used += s
+        out.append(n)
+    return out
+
+
+def test_batches_equal_the_fold(spark):
+    r = random.Random(6)
+    keys = {f"k{k}": [r.choice([0, 0, 1, 3, 7, 30, 60]) for _ in range(n)] for k, n in enumerate((1, 2, 40, 300, 5))} | {"zeros": [0] * 9, "large": [90] * 6, "end": [5, 0, 0]}
+    df = spark.createDataFrame([(k, i, s) for k, own in keys.items() for i, s in enumerate(own)], "k string, i int, s int")
+    got = {(x["k"], x["i"]): x["batch"] for x in evidence.batches(df, "k", "i", "s", 50).collect()}
+    assert got == {(k, i): b for k, own in keys.items() for i, b in enumerate(plain_batches(own, 50))}
+    assert evidence.batches(df.where("false"), "k", "i", "s", 50).collect() == []
+
+
+def test_running_sums_of_one_key_take_several_tasks(spark):
+    df = spark.range(40_000).select(F.lit("one").alias("k"), "id", F.lit(2).alias("s"))
+    got = prefix.running(df, ["k"], ["id"], {"total": "s"})
+    assert got.where("total <> 2 * (id + 1)").count() == 0 and got.count() == 40_000
+    ranges = df.repartitionByRange("k", "id").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(ranges) > 1 and max(x["count"] for x in ranges) < 30_000
 
 
 def test_vocabulary(spark):
