@@ -6,9 +6,10 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from asofworks.operators import corpus
+from asofworks.functions import text as X
+from asofworks.operators import corpus, evidence
 from asofworks.operators.storage import shared_folder
-from asofworks.sources import files, sinks
+from asofworks.sources import committed, files, published, sinks
 
 from . import derived as D
 from .derived import sql, table
@@ -171,3 +172,109 @@ def digest_order(spark, d):
     own = docs(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.trim(F.regexp_replace(F.regexp_replace("text", r"https?://\S+", ""), r"@\w+", "")) == "").alias("e"))
     own = own.select("source", "n", F.when((F.col("e") == 0) & (F.col("n") % 2 == 0), F.col("n") % 17).alias("ret"))
     return corpus.leading_first(own, "ret", "source").select("source", "n", F.col("place").cast("long").alias("place"))
+
+
+@query(sql("SELECT symbol, date, close FROM market WHERE date < DATE '1996-01-01' OR sector <> 'REGION_0' UNION ALL SELECT symbol, date, oi FROM market WHERE sector = 'REGION_0' AND date >= DATE '1996-01-01'", "market"))
+def series_committed(spark, d):
+    """Closes, saved twice; then a job that stops before it is known; then other values of one sector's symbols; then merged."""
+    root = place(spark, "series")
+    own = D.market(spark, d).select("symbol", "sector", "date", F.col("close").alias("value"), "oi")
+    for _ in range(2):
+        committed.save_series(own, root, "close", "all closes")
+    lost = own.withColumn("value", F.lit(0.0)).select(F.lit("close").alias("series"), "symbol", "date", "value")
+    published.written(published.Log(spark, root), {"series": lost})
+    value = F.when(F.col("date") < F.lit("1996-01-01").cast("date"), F.col("value")).otherwise(F.col("oi"))
+    committed.save_series(own.where("sector = 'REGION_0'").withColumn("value", value), root, "close", "one sector")
+    committed.compact_series(spark, root)
+    return committed.series(spark, root, "close").withColumnRenamed("value", "close")
+
+
+@query(sql("SELECT * FROM panel", "panel"))
+def panel_committed(spark, d):
+    """A run's panel, dispersion and returns in one commit; an earlier run stays behind it."""
+    root = place(spark, "signals")
+    tables = {"panel": D.panel(spark, d), "dispersion": D.dispersion(spark, d), "returns": D.monthly(spark, d)}
+    committed.save_signals({name: rows.limit(0) for name, rows in tables.items()}, root, "first")
+    committed.save_signals(tables, root, "second")
+    committed.save_signals({"returns": tables["returns"]}, root, "returns alone")
+    return committed.signals(spark, root, "panel", tables["panel"].schema)
+
+
+@query(sql("SELECT member, as_of, count(*) AS n, CAST(sum(conviction) AS BIGINT) AS conviction FROM views GROUP BY ALL", "views"))
+def views_committed(spark, d):
+    """Views of each member and month with sectors and tokens, saved in two runs that overlap; what the first one saved stays."""
+    root = place(spark, "views")
+    v = D.views(spark, d)
+    item = F.struct(F.col("item").alias("name"), "item_type", "parent_sector", F.when(F.col("stance_sign") > 0, "bullish").when(F.col("stance_sign") < 0, "bearish").otherwise("neutral").alias("stance"), "conviction")
+    own = v.groupBy("member", "as_of").agg(F.collect_list(item).alias("items"))  # a member's items of a month
+    committed.save_views(own.where("month(as_of) % 2 = 0"), root, "even months")
+    again = own.withColumn("items", F.when(F.month("as_of") % 2 == 0, F.slice("items", 1, 0)).otherwise(F.col("items")))
+    committed.save_views(again, root, "all months")
+    sums = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["conviction"])
+    return committed.views(spark, root).select("member", "as_of", F.size("items").cast("long").alias("n"), sums.alias("conviction"))
+
+
+@query(f"SELECT source AS slug, 'document' AS source_type, CAST(doc_id AS VARCHAR) AS id, {DAY} AS day, md5(text) AS digest, source || ' itself' AS name FROM documents WHERE {DAY} <= DATE '{T}'")
+def evidence_committed(spark, d):
+    """Evidence of each source with its identity, saved anew for some, read as of a day."""
+    root = place(spark, "evidence")
+    own = docs(spark, d).select(F.col("source").alias("slug"), F.to_timestamp("day").alias("timestamp"), F.lit("document").alias("source_type"), F.col("doc_id").cast("string").alias("id"), "text")
+    people = own.select("slug").distinct().withColumn("name", F.concat("slug", F.lit(" itself"))).withColumn("bio", F.lit(None).cast("string"))
+    early = F.col("slug") < "source_3"
+    committed.save_evidence(own.where(early).withColumn("text", F.lit("old")), people.where(early).withColumn("name", F.lit("old")), root, "first")
+    committed.save_evidence(own, people, root, "second")
+    known = committed.evidence(spark, root, t0()).join(committed.identities(spark, root), "slug")
+    return known.select("slug", "source_type", "id", F.to_date("timestamp").alias("day"), F.md5("text").alias("digest"), F.get_json_object("identity", "$.name").alias("name"))
+
+
+@query(PASSAGES)
+def distillates_numbered(spark, d):
+    """The cache of passages as a numbered log: two appends at once, a repeated one, and a merge in between."""
+    root = place(spark, "passages")
+    own = docs(spark, d).select(F.col("doc_id").cast("string").alias("object_id"), F.array(F.struct(F.col("day").cast("string").alias("date"), F.md5("text").alias("passage"))).alias("passages"), "doc_id")
+    committed.append_passages(own.withColumn("passages", F.expr("filter(passages, x -> false)")), root, "empty", "doc_id")
+    committed.append_passages(own, root, "all", "doc_id")
+    committed.compact_passages(spark, root)
+    committed.append_passages(own.where("doc_id % 3 = 0").withColumn("passages", F.expr("filter(passages, x -> false)")), root, "every third", "doc_id")
+    committed.append_passages(own, root, "all", "doc_id")  # it was there: not written again
+    return committed.passages(spark, root).select("object_id", F.inline("passages"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, ts AS created_at, event_type AS type, props AS text, CAST(NULL AS VARCHAR) AS lang, CAST(user_id AS VARCHAR) AS author_id, 'u' || user_id AS author_username, CAST(NULL AS VARCHAR) AS author_name, CAST(NULL AS BIGINT) AS reply_count, CAST(NULL AS BIGINT) AS retweet_count, CAST(floor(value) AS BIGINT) AS like_count, CAST(NULL AS BIGINT) AS quote_count, CAST(NULL AS BIGINT) AS view_count, CAST(NULL AS BIGINT) AS bookmark_count, CAST(user_id AS VARCHAR) AS conversation_id, CAST(NULL AS VARCHAR) AS in_reply_to_id, CAST(NULL AS VARCHAR) AS in_reply_to_user_id, CAST(NULL AS VARCHAR) AS in_reply_to_username, CAST(NULL AS VARCHAR) AS quoted_id, CAST(NULL AS VARCHAR) AS retweeted_id, 'https://x.example/' || user_id || '/' || event_id AS url, '{\"id\":' || event_id || '}' AS raw_json FROM events")
+def post_table_whole(spark, d):
+    """All columns of a post, written from rows that have some of them, in another order."""
+    path = place(spark, "posts")
+    e = table(spark, d, "events")
+    user = F.col("user_id").cast("string")
+    sinks.save_posts(e.select(F.concat(F.lit("https://x.example/"), user, F.lit("/"), F.col("event_id")).alias("url"), F.col("props").alias("text"), F.floor("value").alias("like_count"), user.alias("author_id"), F.concat(F.lit("u"), user).alias("author_username"), user.alias("conversation_id"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("type"), F.concat(F.lit('{"id":'), F.col("event_id"), F.lit("}")).alias("raw_json"), F.lit(1).alias("more")), path)
+    return files.posts(spark, path)
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS object_id, {DAY} AS post_date, md5(text) AS digest FROM documents WHERE doc_id % 5 <> 0 AND text IS NOT NULL AND trim(text) <> ''")
+def article_table(spark, d):
+    """Articles written and scanned: those of another status go, and a text is the first one that is not blank."""
+    path = place(spark, "articles")
+    own = docs(spark, d).select(F.col("doc_id").cast("string").alias("object_id"), F.lit("a title").alias("title"), F.when(F.col("doc_id") % 5 == 0, "unavailable").otherwise("ok").alias("status"), F.concat(F.col("day").cast("string"), F.lit("T00:00:00")).alias("post_date"), F.lit("  ").alias("acf_content"), F.col("text").alias("extracted_text"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("transcript"))
+    own.write.parquet(path)
+    return files.articles(spark, path).select("object_id", "post_date", F.md5("text").alias("digest"))
+
+
+@query("SELECT slug, bio, title FROM (SELECT coalesce(a.slug, b.slug) AS slug, CASE WHEN coalesce(length(b.bio), 0) > coalesce(length(a.bio), 0) THEN b.bio ELSE a.bio END AS bio, coalesce(a.title, b.title) AS title FROM (SELECT c_custkey AS slug, c_mktsegment AS bio, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS title FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT s_suppkey AS slug, substr(s_name || s_name, 1, CAST(s_suppkey % 17 AS INTEGER)) AS bio, s_name AS title FROM supplier) b ON a.slug = b.slug)")
+def identity_merge(spark, d):
+    a = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("slug"), F.col("c_mktsegment").alias("bio"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("title"))
+    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("slug"), F.expr("substr(concat(s_name, s_name), 1, cast(s_suppkey % 17 as int))").alias("bio"), F.col("s_name").alias("title"))
+    return evidence.merged_identities(a, b)
+
+
+@query(sql("SELECT as_of, item, stance, CASE stance WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END AS sign FROM panel", "panel"))
+def stance_signs(spark, d):
+    return D.panel(spark, d).select("as_of", "item", "stance", X.stance_sign(F.col("stance")).alias("sign"))
+
+
+@query("SELECT 's' || s_suppkey AS slug, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'h' || s_suppkey END AS x_handle, 'v' || s_suppkey || '.json' AS linkedin_file FROM supplier")
+def roster_file(spark, d):
+    """A roster of all suppliers, written as YAML and read again."""
+    path = place(spark, "roster")
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("slug"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("h"), "s_suppkey")).alias("x_handle"), F.concat(F.lit("https://l.example/in/v"), "s_suppkey", F.lit("/")).alias("linkedin_url"))
+    sinks.save_roster(s, path)
+    return files.roster(spark, path).select("slug", "name", "x_handle", "linkedin_file")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import backtest_queries, file_queries, market_queries, parser_queries, text_queries
+from . import backtest_queries, file_queries, market_queries, memory_queries, parser_queries, stream_queries, text_queries
+
+
+MODULES = (market_queries, text_queries, file_queries, backtest_queries, parser_queries, stream_queries, memory_queries)
 
 
 def queries() -> dict:
-    return market_queries.QUERIES | text_queries.QUERIES | file_queries.QUERIES | backtest_queries.QUERIES | parser_queries.QUERIES
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return market_queries.ORACLES | text_queries.ORACLES | file_queries.ORACLES | backtest_queries.ORACLES | parser_queries.ORACLES
+    return {name: text for m in MODULES for name, text in m.ORACLES.items()}

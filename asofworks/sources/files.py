@@ -9,6 +9,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# A post's columns, in their order.
+POST_COLUMNS = {
+    "id": "string",
+    "created_at": "timestamp",
+    "type": "string",
+    "text": "string",
+    "lang": "string",
+    "author_id": "string",
+    "author_username": "string",
+    "author_name": "string",
+    "reply_count": "long",
+    "retweet_count": "long",
+    "like_count": "long",
+    "quote_count": "long",
+    "view_count": "long",
+    "bookmark_count": "long",
+    "conversation_id": "string",
+    "in_reply_to_id": "string",
+    "in_reply_to_user_id": "string",
+    "in_reply_to_username": "string",
+    "quoted_id": "string",
+    "retweeted_id": "string",
+    "url": "string",
+    "raw_json": "string",
+}
+
 PASSAGES = "array<struct<date: string, passage: string>>"
 ITEM = "struct<name: string, item_type: string, parent_sector: string, stance: string, conviction: int>"
 SEGMENTS = "array<struct<idx: long, slug: string, text: string, kept: boolean, confidence: double>>"
@@ -95,13 +121,27 @@ def minted(current: DataFrame, tokens: DataFrame) -> DataFrame:
     return both.select("sectors", F.array_union("tokens", "_t").alias("tokens"), parents.alias("token_parent"))
 
 
+PERSON = "slug string, name string, x_handle string, linkedin_url string"
+
+
 def roster(spark: SparkSession, path: str) -> DataFrame:
-    """(slug, name, x_handle, linkedin_url, linkedin_file) of a YAML roster's people; needs PyYAML."""
-    import yaml
+    """(slug, name, x_handle, linkedin_url, linkedin_file) of YAML rosters: lists of people, at the top or under `people`, a document a file; needs PyYAML.
+
+    A person without a name is named by the slug. Files are parsed where they are read.
+    """
+
+    def people(batches):
+        import pandas as pd
+        import yaml
 
-    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())  # a list of people, one small file
-    people = [(p["slug"], p.get("name", p["slug"]), p.get("x_handle"), p.get("linkedin_url")) for p in yaml.safe_load(text)["people"]]
-    own = spark.createDataFrame(people, "slug string, name string, x_handle string, linkedin_url string")
+        columns = [c.split()[0] for c in PERSON.split(", ")]
+        for batch in batches:
+            for text in batch["value"]:
+                told = yaml.safe_load(text) or []
+                own = told["people"] if isinstance(told, dict) else told
+                yield pd.DataFrame([[p["slug"], p.get("name") or p["slug"], p.get("x_handle"), p.get("linkedin_url")] for p in own], columns=columns)
+
+    own = spark.read.text(path, wholetext=True).mapInPandas(people, PERSON)
     return own.withColumn("linkedin_file", vanity_file(F.col("linkedin_url")))
 
 
@@ -117,3 +157,18 @@ def subject(people: DataFrame, slug: str) -> DataFrame:
     if not found.count():
         raise KeyError(f"no subject {slug!r}")
     return found
+
+
+def posts(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A table of posts with its typed columns, or those named: only they are read. A column that the files lack is null."""
+    kind = ", ".join(f"{c} {t}" for c, t in POST_COLUMNS.items() if columns is None or c in columns)
+    return spark.read.schema(kind).parquet(path)
+
+
+def articles(spark: SparkSession, path: str) -> DataFrame:
+    """(object_id, title, status, post_date, text) of articles or transcripts that have a text; the day is null where it is none."""
+    kind = "object_id string, title string, status string, post_date string, transcript string, acf_content string, extracted_text string"
+    filled = lambda c: F.when(F.trim(c) != "", F.col(c))
+    text = F.coalesce(filled("transcript"), filled("acf_content"), filled("extracted_text"))
+    own = spark.read.schema(kind).parquet(path).where(F.coalesce("status", F.lit("ok")) == "ok")
+    return own.select("object_id", "title", "status", F.try_to_date(F.substring("post_date", 1, 10), "yyyy-MM-dd").alias("post_date"), text.alias("text")).where("text IS NOT NULL")

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import exists
-
-POST_COLUMNS = {"id": "string", "created_at": "timestamp", "type": "string", "text": "string", "author_id": "string", "in_reply_to_user_id": "string", "in_reply_to_id": "string", "quoted_id": "string"}
+from .files import POST_COLUMNS, exists
 
 
 def save_series(frames: DataFrame, folder: str, series: str) -> None:
@@ -100,3 +98,9 @@ def save_reconciled(panel: DataFrame, source: str, target: str) -> None:
 def save_registry(registry: DataFrame, path: str) -> None:
     """The registry as one JSON line, in place of the old one."""
     registry.coalesce(1).write.mode("overwrite").json(path)
+
+
+def save_roster(people: DataFrame, path: str) -> None:
+    """people (slug, name, x_handle, linkedin_url) as a YAML list, a person a line."""
+    line = F.concat(F.lit("- "), F.to_json(F.struct("slug", "name", "x_handle", "linkedin_url")))  # JSON is YAML
+    people.select(line.alias("value")).write.text(path)

@@ -25,6 +25,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return own.select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
+def quoted_stream(posts: DataFrame, texts: DataFrame, late: str = "1 hour", within: str = "30 days") -> DataFrame:
+    """posts (ts, quoted_id, ...) with the text that they quote as context, and context_missing where it does not come, of streams.
+
+    texts: (id, ts, text). A post waits for a text that is no older than `within`
+    and no younger than itself until the watermark tells that none can come any
+    more; so both sides' state ends `within` and `late` behind the newest rows.
+    """
+    own = posts.withWatermark("ts", late)
+    said = texts.select(F.col("id").alias("_id"), F.col("ts").alias("_ts"), F.col("text").alias("context")).withWatermark("_ts", late)
+    meet = (F.col("quoted_id") == F.col("_id")) & (F.col("_ts") <= F.col("ts")) & (F.col("_ts") >= F.col("ts") - F.expr(f"INTERVAL {within}"))
+    both = own.join(said, meet, "left_outer")
+    return both.withColumn("context_missing", F.col("quoted_id").isNotNull() & F.col("_id").isNull()).drop("_id", "_ts")
+
+
 def append_new(batch: DataFrame, path: str, key: str) -> None:
     """For foreachBatch and resumable jobs: appends the rows whose key the table at path lacks.
 

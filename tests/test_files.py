@@ -110,7 +110,7 @@ def test_files_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     got = registry.queries()[name](spark, SF)
     con = duckdb.connect()
-    for t in "region nation customer orders events documents pages conversations".split():
+    for t in "region nation customer supplier orders events documents pages conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in want.description]
