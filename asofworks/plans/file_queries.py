@@ -58,10 +58,10 @@ def distillate_cache(spark, d):
     return files.distillates(spark, cache(spark, d)).select("object_id", F.inline("passages"))
 
 
-@query(f"SELECT source AS handle, CAST({DAY} AS VARCHAR) AS date, md5(text) AS text FROM documents WHERE doc_id % 2 = 0")
+@query(f"SELECT source AS handle, CAST({DAY} AS VARCHAR) AS date, md5(text) AS text FROM documents")
 def kept_post_cache(spark, d):
     path = place(spark, "posts")
-    own = docs(spark, d).where("doc_id % 2 = 0").withColumn("batch", F.pmod("doc_id", F.lit(50)).cast("int"))
+    own = docs(spark, d).withColumn("batch", F.pmod("doc_id", F.lit(50)).cast("int"))
     kept = own.groupBy(F.col("source").alias("handle"), "batch").agg(F.collect_list(F.struct(F.col("day").cast("string").alias("date"), F.md5("text").alias("text"))).alias("kept"))
     sinks.append_lines(kept, path)
     return files.kept_posts(spark, path)

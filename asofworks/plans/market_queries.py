@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofworks.operators import asof, backtest, calendar, consensus, lifecycle, metrics, portfolio, returns, stats
+from asofworks.operators import asof, backtest, calendar, consensus, lifecycle, metrics, portfolio, returns, scoring, stats
 
 from . import derived as D
 from .derived import HEDGE, sql
@@ -272,8 +272,14 @@ def bullish_not_bearish(spark, d):
 @query(sql("SELECT m.member, d.as_of FROM (SELECT DISTINCT member FROM views) m CROSS JOIN months d WHERE NOT EXISTS (SELECT 1 FROM views v WHERE v.member = m.member AND v.as_of = d.as_of AND v.item_type = 'token')", "views", "months"))
 def missing_tasks(spark, d):
     v = D.views(spark, d)
-    every = v.select("member").distinct().crossJoin(F.broadcast(D.months(spark, d)))
-    return every.join(v.where("item_type = 'token'").select("member", "as_of"), ["member", "as_of"], "left_anti")
+    return scoring.missing_tasks(v.where("item_type = 'token'"), v, D.months(spark, d))
+
+
+@query(sql("SELECT DISTINCT a.as_of FROM views a JOIN views b ON a.as_of = b.as_of AND a.member = 'BUILDING' AND b.member = 'MACHINERY' AND a.stance_sign > 0 AND b.stance_sign < 0", "views"))
+def common_dates(spark, d):
+    """Months in which one member is bullish on something and another bearish."""
+    v = D.views(spark, d)
+    return scoring.common_dates(v.where("member = 'BUILDING' AND stance_sign > 0"), v.where("member = 'MACHINERY' AND stance_sign < 0"))
 
 
 # Books
@@ -618,9 +624,12 @@ def ic_ttest(spark, d):
     return out.select("n", r("mean_ic"), r("sd_ic"), r("pct_pos"), r("t", 5))
 
 
-@query()
+P_VALUE = "u * exp(-z * z - 1.26551223 + u * (1.00002368 + u * (0.37409196 + u * (0.09678418 + u * (-0.18628806 + u * (0.27886807 + u * (-1.13520398 + u * (1.48851587 + u * (-0.82215223 + u * 0.17087277)))))))))"
+
+
+@query(f"{EVALS}, {RANKS.format(p='as_of', q='as_of,', t='eval')}, {PERIOD}, told AS (SELECT count(ic) AS n, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS t FROM ics WHERE ic IS NOT NULL AND NOT isnan(ic)), halves AS (SELECT n, t, abs(t) / sqrt(2) AS z, 1 / (1 + 0.5 * abs(t) / sqrt(2)) AS u FROM told) SELECT n, round(t, 5) AS t, round({P_VALUE}, 6) AS p FROM halves")
 def ic_pvalue(spark, d):
-    return stats.ic_ttest(stats.period_ic(evaluation(spark, d), "signal", "ret"))
+    return stats.ic_ttest(stats.period_ic(evaluation(spark, d), "signal", "ret")).select("n", r("t", 5), r("p"))
 
 
 CONTROL = "SELECT e.as_of, e.signal AS s, e.ret, t.ret AS x FROM eval e JOIN trail t ON t.symbol = e.item AND t.as_of = e.as_of AND t.days = 91 WHERE t.ret IS NOT NULL"

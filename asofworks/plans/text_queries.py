@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from asofworks.functions import answers, profiles
 from asofworks.functions import text as X
-from asofworks.operators import audit, calendar, evidence, reconcile
+from asofworks.operators import audit, calendar, evidence, reconcile, scoring
 from asofworks.streaming import events as S
 
 from . import derived as D
@@ -201,30 +202,44 @@ def props_flatten(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-VIEW = "sectors_bullish array<struct<name:string,item:string,conviction:string>>, sectors_bearish array<struct<name:string,item:string,conviction:string>>"
-
-
-@query(sql("SELECT as_of, member, item, stance_sign, conviction FROM views WHERE item_type = 'sector' AND stance_sign <> 0", "views"))
+@query(sql("SELECT as_of, member, item, item_type, parent_sector, CASE WHEN stance_sign > 0 THEN 'bullish' ELSE 'bearish' END AS stance, conviction, CASE WHEN conviction % 3 = 0 THEN 'structural' ELSE 'tactical' END AS horizon, CASE WHEN conviction % 2 = 0 THEN 'stated' ELSE 'extrapolated' END AS provenance, CAST(conviction % 2 AS BIGINT) AS citations FROM views WHERE stance_sign <> 0", "views"))
 def view_parse(spark, d):
-    """Documents of two arrays are built from views and parsed again; items are called name or item, malformed ones are left out."""
-    v = D.views(spark, d).where("item_type = 'sector'")
-    entry = F.struct(F.when(F.col("conviction") % 2 == 0, F.col("item")).alias("name"), F.when(F.col("conviction") % 2 == 1, F.col("item")).alias("item"), F.col("conviction").cast("string").alias("conviction"))
-    broken = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("item"), F.lit("x").alias("conviction")))
-    side = lambda s: F.concat(F.collect_list(F.when(F.col("stance_sign") == s, entry)), broken)
-    written = v.groupBy("as_of", "member").agg(F.to_json(F.struct(side(1).alias("sectors_bullish"), side(-1).alias("sectors_bearish"))).alias("j"))
-    parsed = written.select("as_of", "member", F.from_json("j", VIEW).alias("v"))
-    out = None
-    for name, s in (("sectors_bullish", 1), ("sectors_bearish", -1)):
-        own = parsed.select("as_of", "member", F.inline(f"v.{name}")).select("as_of", "member", F.coalesce("name", "item").alias("item"), F.lit(s).alias("stance_sign"), X.conviction(F.col("conviction")).alias("conviction"))
-        out = own if out is None else out.unionByName(own)
-    return out.where("item IS NOT NULL")
+    """Answers of four arrays are built from views and parsed again; items are called name or item, entries that are none are left out, odd values are coerced."""
+    v = D.views(spark, d)
+    c = F.col("conviction")
+    cited = F.array(F.struct(F.lit("2020-01-01").alias("date"), F.when(c % 2 == 1, "said").otherwise("").alias("quote")))
+    entry = F.to_json(F.struct(F.when(c % 2 == 0, F.col("item")).alias("name"), F.when(c % 2 == 1, F.col("item")).alias("item"), "parent_sector", c.alias("conviction"), F.when(c % 3 == 0, " Structural").otherwise("for ever").alias("horizon"), F.when(c % 2 == 0, "STATED").alias("provenance"), cited.alias("citations")))
+    side = lambda kind, s: F.concat(F.lit('["a bare string", {"why": "no name"}'), F.array_join(F.transform(F.collect_list(F.when((F.col("item_type") == kind) & (F.col("stance_sign") == s), entry)), lambda x: F.concat(F.lit(", "), x)), ""), F.lit("]"))
+    parts = [F.concat(F.lit(f'"{name}": '), side(kind, 1 if stance == "bullish" else -1)) for name, (kind, stance) in answers.ARRAYS.items()]
+    written = v.groupBy("as_of", "member").agg(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).alias("j"))
+    items = written.select("as_of", "member", F.inline(answers.view_items(F.col("j"))))
+    return items.select("as_of", "member", "item", "item_type", "parent_sector", "stance", "conviction", "horizon", "provenance", F.size("citations").cast("long").alias("citations"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'risk_off' ELSE 'no_view' END AS stance, CASE WHEN event_type = 'view' THEN 0 ELSE CAST(greatest(0, least(100, round_even(value, 0))) AS INTEGER) END AS conviction FROM events")
+def risk_parse(spark, d):
+    """The risk regime of answers: given, of an unknown kind, or not there."""
+    kind, v = F.col("event_type"), F.col("value").cast("string")
+    said = F.when(kind == "view", F.lit('{"notes": "none"}')).otherwise(F.concat(F.lit('{"risk_regime": {"stance": "'), F.when(kind == "click", "RISK_OFF").otherwise("odd"), F.lit('", "conviction": '), v, F.lit("}}")))
+    return table(spark, d, "events").select("event_id", answers.risk(said).alias("r")).select("event_id", "r.stance", "r.conviction")
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'videos' WHEN 1 THEN 'podcasts' WHEN 2 THEN 'podcasts' END AS format, CASE WHEN page_id % 4 = 3 THEN NULL WHEN page_id % 3 = 0 THEN 'youtube' WHEN page_id % 4 <> 0 AND page_id % 3 = 1 THEN 'whisper' ELSE 'none' END AS source, CASE WHEN page_id % 4 = 3 THEN NULL WHEN page_id % 3 = 0 THEN lpad(CAST(page_id AS VARCHAR), 11, '_') WHEN page_id % 4 <> 0 AND page_id % 3 = 1 THEN lpad(CAST(page_id AS VARCHAR), 36, 'a') END AS media_id FROM pages")
+def media_routing(spark, d):
+    """Pages with a video player, an audio player or none put into them, routed by their format and players."""
+    k = F.col("page_id")
+    kind = F.when(k % 4 == 0, F.array(F.lit("videos"))).when(k % 4 == 3, F.array(F.lit("articles"))).otherwise(F.array(F.lit("podcasts"), F.lit("videos")))
+    video = F.concat(F.lit('<iframe src="https://www.youtube.com/embed/'), F.lpad(k.cast("string"), 11, "_"), F.lit('?x=1"></iframe>'))
+    audio = F.concat(F.lit("<iframe src='https://player.simplecast.com/"), F.lpad(k.cast("string"), 36, "a"), F.lit("?dark=true'></iframe>"))
+    html = F.concat("html", F.when(k % 3 == 0, F.concat(video, audio)).when(k % 3 == 1, audio).otherwise(""))
+    return table(spark, d, "pages").select("page_id", answers.transcript_route(kind, html).alias("r")).select("page_id", "r.format", "r.source", "r.media_id")
 
 
 @query("SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) > 50 THEN 'hedge' ELSE 'no_hedge' END AS decision FROM events")
 def hedge_stance(spark, d):
     k = F.from_json("props", "k bigint")["k"]
     said = F.when(k > 50, F.lit('{"hedge": {"stance": "hedge"}}')).otherwise(F.lit("{}"))
-    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object(said, "$.hedge.stance"), F.lit("no_hedge")).alias("decision"))
+    return table(spark, d, "events").select("event_id", answers.hedge_decision(said).alias("decision"))
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS kind, CAST(greatest(0, least(100, round_even(value, 0))) AS INTEGER) AS conviction FROM events")
@@ -234,9 +249,8 @@ def coercion(spark, d):
 
 @query(sql("SELECT as_of, string_agg(item || ':' || conviction, ',' ORDER BY item) AS blind FROM items WHERE item_type = 'sector' GROUP BY as_of", "items"))
 def blind_view(spark, d):
-    rows = F.array_sort(F.collect_list(F.struct("item", "conviction", "stance_sign")))
-    kept = F.transform(rows, lambda x: F.concat_ws(":", x["item"], x["conviction"]))
-    return D.items(spark, d).where("item_type = 'sector'").groupBy("as_of").agg(F.array_join(kept, ",").alias("blind"))
+    told = scoring.blind(D.items(spark, d).where("item_type = 'sector'"))
+    return told.select("as_of", F.array_join(F.transform("views", lambda x: F.concat_ws(":", x["item"], x["conviction"])), ",").alias("blind"))
 
 
 @query("SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS names FROM events WHERE value < 3 GROUP BY user_id HAVING count(*) >= 4 AND count(DISTINCT event_type) = 1")
@@ -272,19 +286,19 @@ def entity_unescape(spark, d):
 
 @query("SELECT c_custkey, c_name AS name, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment FROM customer")
 def profile_ld_json(spark, d):
-    """Profile pages with a Person node are built from customers and read again; masked fields are null."""
-    person = F.to_json(F.struct(F.lit("Person").alias("@type"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).otherwise("**** **").alias("jobTitle")))
-    page = F.concat(F.lit('<html><script type="application/ld+json">'), person, F.lit("</script><p>x</p></html>"))
-    found = F.from_json(F.regexp_extract(page, r"(?s)application/ld\+json[^>]*>(.*?)</script>", 1), "name string, jobTitle string")
-    return table(spark, d, "customer").select("c_custkey", found.alias("p")).select("c_custkey", "p.name", X.unmasked(F.col("p.jobTitle")).alias("segment"))
+    """Profile pages with a Person node in a graph are built from customers and read again; masked fields are null."""
+    person = F.struct(F.lit("Person").alias("@type"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).otherwise("**** **").alias("description"))
+    nodes = F.concat(F.lit('{"@graph": [{"@type": "WebSite"}, '), F.to_json(person), F.lit("]}"))
+    page = F.concat(F.lit('<html><script type="application/ld+json">{broken</script><script type="application/ld+json">'), nodes, F.lit("</script><p>x</p></html>"))
+    return table(spark, d, "customer").select("c_custkey", profiles.profile(page).alias("p")).select("c_custkey", "p.name", F.col("p.bio").alias("segment"))
 
 
 @query("SELECT o_orderkey, year(o_orderdate) AS begin_year, CASE WHEN o_orderstatus <> 'O' THEN year(o_orderdate) + 3 END AS end_year FROM orders")
 def date_ranges(spark, d):
     y = F.year("o_orderdate")
-    said = F.concat(y.cast("string"), F.lit(" - "), F.when(F.col("o_orderstatus") == "O", "Present 26 years").otherwise((y + 3).cast("string")))
-    parts = F.split(said, " - ")
-    return table(spark, d, "orders").select("o_orderkey", parts[0].try_cast("int").alias("begin_year"), F.regexp_extract(parts[1], r"^(\d{4})", 1).try_cast("int").alias("end_year"))
+    said = F.concat(y.cast("string"), F.lit(" - "), F.when(F.col("o_orderstatus") == "O", "Present 26 years").otherwise(F.concat((y + 3).cast("string"), F.lit(" 3 yrs"))))
+    span = answers.years(said)
+    return table(spark, d, "orders").select("o_orderkey", span["start"].try_cast("int").alias("begin_year"), span["end"].try_cast("int").alias("end_year"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'retweet' WHEN event_type = 'purchase' THEN 'quote' WHEN value > 25 THEN 'reply' ELSE 'original' END AS kind FROM events")
@@ -295,11 +309,10 @@ def post_type(spark, d):
 
 @query(sql("SELECT symbol, date, close, oi FROM market", "market"))
 def ohlcv_parse(spark, d):
-    """Responses with numbers as strings are built for each symbol and month, and parsed and typed again."""
-    bar = F.struct((F.unix_date("date").cast("long") * 86_400_000).cast("string").alias("time"), F.col("close").cast("string").alias("close"), F.col("oi").cast("string").alias("oi"))
+    """Responses with numbers as strings are built for each symbol and month, in no order, and parsed, typed and sorted again."""
+    bar = F.struct((F.unix_date("date").cast("long") * 86_400_000).cast("string").alias("time"), F.col("close").cast("string").alias("close"), F.col("oi").cast("string").alias("volume"))
     said = D.market(spark, d).groupBy("symbol", F.last_day("date").alias("m")).agg(F.to_json(F.struct(F.lit("0").alias("code"), F.collect_list(bar).alias("data"))).alias("j"))
-    bars = said.select("symbol", F.inline(F.from_json("j", "data array<struct<time:string,close:string,oi:string>>")["data"]))
-    return bars.select("symbol", F.timestamp_millis(F.col("time").cast("long")).cast("date").alias("date"), F.col("close").cast("double").alias("close"), F.col("oi").cast("double").alias("oi"))
+    return said.select("symbol", F.inline(answers.bars(F.col("j")))).select("symbol", "date", "close", F.col("volume").alias("oi"))
 
 
 @query("SELECT s_suppkey, format('{:+.1f}%', round(s_acctbal / 100, 1)) AS said FROM supplier WHERE round(s_acctbal / 100, 1) <> 0")
@@ -332,7 +345,7 @@ def even_sample(spark, d):
 
 @query("SELECT conv_id, turn, right(text, 40) AS tail FROM conversations")
 def memory_tail(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.right("text", F.lit(40)).alias("tail"))
+    return table(spark, d, "conversations").select("conv_id", "turn", answers.tail(F.col("text"), 40).alias("tail"))
 
 
 @query(sql("SELECT as_of, coalesce((SELECT max(a) FROM (SELECT unnest([DATE '1996-06-30', DATE '1998-06-30', DATE '2000-06-30']) AS a) WHERE a <= as_of), DATE '1996-06-30') AS anchor FROM months", "months"))
@@ -355,10 +368,10 @@ def union_dedup(spark, d):
     return evidence.first_by(evidence.union_all(a, b), "id", "k").select("id", "origin")
 
 
-@query("SELECT l_partkey, string_agg(DISTINCT l_shipmode_, ',' ORDER BY l_shipmode_) AS flags FROM (SELECT l_partkey, l_returnflag || l_linestatus AS l_shipmode_ FROM lineitem) GROUP BY l_partkey")
+@query("SELECT l_partkey, string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags, min(l_orderkey) AS first_order FROM (SELECT l_partkey, l_orderkey, l_returnflag || l_linestatus AS flag FROM lineitem) GROUP BY l_partkey")
 def list_union(spark, d):
-    own = table(spark, d, "lineitem").select("l_partkey", F.concat("l_returnflag", "l_linestatus").alias("x"))
-    return own.groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_set("x")), ",").alias("flags"))
+    own = table(spark, d, "lineitem").select("l_partkey", F.array(F.concat("l_returnflag", "l_linestatus")).alias("flags"), F.col("l_orderkey").alias("first_order"), F.struct("l_orderkey", "l_linenumber").alias("at"))
+    return scoring.list_union(own, "l_partkey", ("flags",), "at").select("l_partkey", F.array_join("flags", ",").alias("flags"), "first_order")
 
 
 @query(sql("SELECT item AS id, max_by(item_type, as_of) AS item_type FROM items GROUP BY item UNION ALL SELECT DISTINCT parent_sector, 'sector' FROM items WHERE parent_sector IS NOT NULL AND parent_sector NOT IN (SELECT item FROM items)", "items"))
@@ -380,13 +393,12 @@ def canonical_names(spark, d):
     return reconcile.canonical(names, registry)
 
 
-@query("SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 AND turn = 0 THEN 'answer to ' || conv_id ELSE 'none' END AS output FROM conversations WHERE role = 'user' AND text NOT IN (SELECT text FROM conversations WHERE role = 'user' GROUP BY text HAVING count(*) > 1)")
+@query("SELECT conv_id, turn, coalesce(output, 'none') AS output FROM conversations LEFT JOIN (SELECT text, 'answer to ' || min(conv_id) AS output FROM conversations WHERE role = 'user' AND conv_id % 2 = 0 AND turn = 0 GROUP BY text) USING (text) WHERE role = 'user'")
 def replayed_calls(spark, d):
-    """Prompts answered from a table of recorded responses, by the prompt's hash."""
+    """Prompts answered from a table of recorded responses, by the prompt's hash; equal prompts have one response."""
     u = table(spark, d, "conversations").where("role = 'user'")
-    once = u.withColumn("_n", F.count("*").over(W.partitionBy("text"))).where("_n = 1")
-    recorded = once.where("conv_id % 2 = 0 AND turn = 0").select(F.sha2("text", 256).alias("prompt_sha"), F.concat(F.lit("answer to "), F.col("conv_id").cast("string")).alias("output"))
-    return reconcile.replayed(once.select("conv_id", "turn", F.col("text").alias("prompt")), recorded, "none").select("conv_id", "turn", "output")
+    recorded = u.where("conv_id % 2 = 0 AND turn = 0").groupBy(F.sha2("text", 256).alias("prompt_sha")).agg(F.concat(F.lit("answer to "), F.min("conv_id").cast("string")).alias("output"))
+    return reconcile.replayed(u.select("conv_id", "turn", F.col("text").alias("prompt")), recorded, "none").select("conv_id", "turn", "output")
 
 
 @query("SELECT doc_id, passage, min(idx) AS idx FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS passage, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents) WHERE idx IN (0, 2, 99) GROUP BY ALL")
@@ -406,28 +418,26 @@ def evidence_union(spark, d):
 @query("SELECT lang, count(*) AS n, count_if(quality = 1) AS good, count_if(toxic = 1) AS toxic, round(avg(quality), 6) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY lang")
 def provenance_counts(spark, d):
     own = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
-    return own.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.round(F.avg("quality"), 6).alias("rate"))
+    return scoring.coverage(own, "lang", {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}, "quality").withColumn("rate", F.round("rate", 6))
 
 
 @query("SELECT user_id, count_if(event_type = 'purchase') AS confirmed, count_if(event_type = 'error') AS contradicted, round(count_if(event_type = 'purchase') / nullif(count_if(event_type IN ('purchase', 'error')), 0), 6) AS confirm_rate FROM events GROUP BY user_id")
 def confirm_rate(spark, d):
-    n = lambda v: F.count_if(F.col("event_type") == v)
-    own = table(spark, d, "events").groupBy("user_id").agg(n("purchase").alias("confirmed"), n("error").alias("contradicted"))
-    return own.withColumn("confirm_rate", F.round(F.try_divide(F.col("confirmed"), F.col("confirmed") + F.col("contradicted")), 6))
+    kind = F.col("event_type")
+    return scoring.confirm_rate(table(spark, d, "events"), "user_id", kind == "purchase", kind == "error").withColumn("confirm_rate", F.round("confirm_rate", 6))
 
 
 @query("SELECT role, count(*) AS n, count_if(guess = role) AS correct, round(avg(CASE WHEN guess = role THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(confidence), 6) AS mean_confidence FROM (SELECT role, CASE WHEN length(text) > 150 THEN 'assistant' ELSE 'user' END AS guess, CASE WHEN turn % 2 = 0 THEN length(text) % 100 END AS confidence FROM conversations) GROUP BY role")
 def authorship_tally(spark, d):
     guess = F.when(F.length("text") > 150, "assistant").otherwise("user")
     said = F.when(F.col("turn") % 2 == 0, (F.length("text") % 100).cast("string")).otherwise("sure")
-    own = table(spark, d, "conversations").select("role", (guess == F.col("role")).alias("ok"), said.try_cast("double").alias("confidence"))
-    return own.groupBy("role").agg(F.count("*").alias("n"), F.count_if("ok").alias("correct"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("accuracy"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    own = scoring.tally(table(spark, d, "conversations").withColumns({"guess": guess, "said": said}), "role", "guess", "role", "said")
+    return own.withColumns({"accuracy": F.round("accuracy", 6), "mean_confidence": F.round("mean_confidence", 6)})
 
 
 @query(sql("SELECT as_of, round(avg(CASE WHEN member < 'C' THEN conviction END) - avg(CASE WHEN member >= 'C' THEN conviction END), 6) AS lift FROM views GROUP BY as_of", "views"))
 def ablation_lift(spark, d):
-    side = lambda full: F.avg(F.when((F.col("member") < "C") == F.lit(full), F.col("conviction")))
-    return D.views(spark, d).groupBy("as_of").agg(F.round(side(True) - side(False), 6).alias("lift"))
+    return scoring.lift(D.views(spark, d), "as_of", "conviction", F.col("member") < "C").withColumn("lift", F.round("lift", 6))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
