@@ -49,9 +49,10 @@ def test_memory_against_all_pairs(spark, vectors):
         return out
 
     assert found(exact=True, probes=2) == want
-    some = found(exact=False, probes=12)
+    rows, cells = memory.index(vectors, memory.fit(vectors, cells=64))
+    some = found(exact=False, probes=40)
     hits = sum(len(set(some[i]) & set(own)) for i, own in want.items())
-    assert hits >= 0.9 * sum(map(len, want.values()))  # recall at 10 in three of four cells
+    assert hits >= 0.9 * sum(map(len, want.values()))  # recall at 10: neighbours of these vectors are spread wide
     assert all(days[j] <= days[i] for i, own in some.items() for j in own)
 
 
