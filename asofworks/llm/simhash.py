@@ -194,17 +194,50 @@ def in_slices(keyed: DataFrame, columns: list[str], by: str = "fp") -> DataFrame
     return dealt
 
 
+#: Rows of whole shards that a task compares at once, about: with the slices' bound this bounds what it holds.
+HELD = 1 << 15
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    """rows with those of a key side by side, in one task."""
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
+def whole_keys(batches):
+    """A task's rows, in order of their keys, as batches of whole keys: about HELD rows, or one key's."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n >= HELD:
+            whole = joined()
+            key = np.asarray(whole.column("key"))
+            before = np.flatnonzero(key != key[-1])
+            cut = int(before[-1]) + 1 if len(before) else 0  # the last key may go on
+            if cut:
+                yield whole.slice(0, cut)
+            held, n = [whole.slice(cut)], whole.num_rows - cut
+    if n:
+        yield joined()
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints nodes(fp) as all pairs within RADIUS would."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks()]
     keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)])).alias("s")).select("fp", F.xxhash64("s.mask", "s.value").alias("shard"))
 
     def run(batches):
-        whole = one_batch(batches)
-        if whole is not None:
+        for whole in whole_keys(batches):
             yield from shard_links([whole])
 
-    return in_slices(keyed, ["fp"]).repartition("key").mapInArrow(run, "a long, b long")
+    return by_key(in_slices(keyed, ["fp"])).mapInArrow(run, "a long, b long")
 
 
 # Near copies: five-word shingles, shards by min-hashes, an exact similarity at last
@@ -316,30 +349,23 @@ def candidates(b: pa.RecordBatch, done):
                     yield x[same], y[same]
 
 
-def one_batch(batches) -> pa.RecordBatch | None:
-    found = list(batches)
-    if not found:
-        return None
-    whole = pa.Table.from_batches(found)
-    return whole.combine_chunks().to_batches()[0] if whole.num_rows else None
-
-
 def marked_rows(batches):
     """Of a task's rows those with a candidate: key, side, band, node."""
-    b = one_batch(batches)
-    if b is None:
-        return
-    found = np.zeros(b.num_rows, bool)
-    for x, y in candidates(b, lambda x, y: found[x] & found[y]):
-        found[x] = found[y] = True
-    yield b.select(["key", "side", "band", "node"]).filter(pa.array(found))
+    for b in whole_keys(batches):
+        found = np.zeros(b.num_rows, bool)
+        for x, y in candidates(b, lambda x, y, found=found: found[x] & found[y]):
+            found[x] = found[y] = True
+        yield b.select(["key", "side", "band", "node"]).filter(pa.array(found))
 
 
 def exact_links(batches):
-    """Spanning links (a, b) of a task's near copies, each pair decided by its sets of shingles unless others connect it."""
-    b = one_batch(batches)
-    if b is None:
-        return
+    """Spanning links (a, b) of a task's near copies."""
+    for b in whole_keys(batches):
+        yield spanning_links(b)
+
+
+def spanning_links(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Links (a, b) of the near copies of some shards, each pair decided by its sets of shingles unless others connect it."""
     node, text = np.asarray(b.column("node")), b.column("text")
     sets: dict[int, np.ndarray] = {}
     root = np.arange(b.num_rows)
@@ -363,7 +389,7 @@ def exact_links(batches):
                 root[max(p, q)] = min(p, q)
                 a.append(node[x])
                 c.append(node[y])
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
 
 def copy_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -374,8 +400,8 @@ def copy_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """
     dealt = in_slices(nodes.select("node", F.posexplode("bands").alias("band", "shard")), ["node", "band"], "node")
     # fingerprints and sketches join late: only nodes that share a shard with others need theirs
-    marked = dealt.join(nodes, "node").repartition("key").mapInArrow(marked_rows, "key long, side int, band int, node long")
-    return marked.join(nodes, "node").join(texts, "node").repartition("key").mapInArrow(exact_links, "a long, b long")
+    marked = by_key(dealt.join(nodes, "node")).mapInArrow(marked_rows, "key long, side int, band int, node long")
+    return by_key(marked.join(nodes, "node").join(texts, "node")).mapInArrow(exact_links, "a long, b long")
 
 
 def spaced(text: Column) -> Column:

@@ -532,3 +532,16 @@ def test_a_text_without_itself():
     assert once == pytest.approx(score({})) and twice > 0.7 * once
     alone = model.score(texts[:1], words, {}, False)[0][3]
     assert once < alone  # what is learned from a text makes it likelier, if it is not taken out
+
+
+def test_tasks_compare_whole_shards_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 50)
+    r = np.random.default_rng(1)
+    key = np.sort(np.concatenate([r.integers(0, 60, 700), np.full(130, 7)]))
+    table = pa.table({"key": pa.array(key), "row": pa.array(np.arange(len(key)))})
+    got = list(simhash.whole_keys(iter([pa.RecordBatch.from_arrays([[], []], schema=table.schema), *table.to_batches(max_chunksize=17)])))
+    assert np.array_equal(np.concatenate([np.asarray(b.column("row")) for b in got]), np.arange(len(key)))
+    owners = [set(np.asarray(b.column("key")).tolist()) for b in got]
+    assert all(not x & y for i, x in enumerate(owners) for y in owners[:i])
+    assert len(got) > 8 and all(b.num_rows <= 50 + 17 for b, own in zip(got, owners, strict=True) if 7 not in own)
+    assert list(simhash.whole_keys(iter([]))) == []
