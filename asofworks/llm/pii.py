@@ -12,13 +12,16 @@ day, addresses in two cases one address. With the key, `reveal` undoes it.
 
 Formats: e-mail addresses, IPv4 addresses, card numbers (13 to 19 digits with a
 valid check digit), IBANs, US social security numbers, telephone numbers, dates
-from 1900 to 2099 (ISO, dotted, slashed) and quoted or bare hexadecimal secrets
+from 1900 to 2099 (ISO, also before a time; dotted, slashed, with English names
+of months) and quoted or bare hexadecimal secrets
 of 32 digits and more. Two properties of a day are kept, so that it can be read
 back from any way of writing: whether its day comes after the 12th, and whether
-day or month has one digit.
+day or month has one digit. With a month's name the leading zero of a day and
+the short name may be lost on the way back (May is short and whole at once).
 
 Defined results: null stays null; an empty text, or one without such values, is
-unchanged. Overlapping findings: the one that begins first counts, of those the
+unchanged. Bare runs of nine or ten digits are no telephone or security numbers
+without their marks. Overlapping findings: the one that begins first counts, of those the
 one listed first. A number that fails its format's validation is left alone. A
 text of any length is read whole; every search is linear in its length.
 Repeated rows are treated alike; an empty table gives an empty result. A column
@@ -30,7 +33,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import secrets
 from bisect import bisect_left
 from collections.abc import Callable
 from datetime import date, timedelta
@@ -50,9 +52,16 @@ KEY_CONF = "spark.asofworks.pseudonyms.key"
 ROUNDS = 8
 
 
-def session_key(spark: SparkSession) -> bytes:
-    """The key of the session's setting; without it a new random one, kept nowhere: values stay linked, and nobody can undo it."""
-    return spark.conf.get(KEY_CONF, "").encode() or secrets.token_bytes(32)
+#: A key that everybody knows, for tests and for the registered query and pipeline where a session names none: it hides nothing.
+OPEN_KEY = b"known to all: name another key"
+
+
+def session_key(spark: SparkSession, default: bytes | None = None) -> bytes:
+    """The key of the session's setting; without it the caller's default, and an error where there is none."""
+    key = spark.conf.get(KEY_CONF, "").encode() or default
+    if not key:
+        raise ValueError(f"set {KEY_CONF} to a secret key")
+    return key
 
 
 class Feistel:
@@ -164,13 +173,14 @@ TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51
 
 def phone(m: str, f: Feistel, back: bool) -> str | None:
     """Numbers with + keep their country code; those without are national ones of code 1."""
-    digits = re.sub(r"\D", "", m)
+    shape = m.replace("(0)", "(\0)")  # the trunk's digit is no part of a number with its country's code
+    digits = re.sub(r"\D", "", shape)
     code = "1" if m[0] != "+" else digits[: 1 if digits[:1] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3]
     rest = digits[len(code) :] if m[0] == "+" else digits
     if not 7 <= len(rest) <= 14:
         return None
     v = f.permute(int(rest), 10 ** len(rest), b"phone%s|%d" % (code.encode(), len(rest)), back)
-    return refill(m, (code if m[0] == "+" else "") + f"{v:0{len(rest)}d}")
+    return refill(shape, (code if m[0] == "+" else "") + f"{v:0{len(rest)}d}").replace("\0", "0")
 
 
 FIRST = date(1900, 1, 1)
@@ -191,6 +201,37 @@ def days_by_kind() -> dict[tuple[bool, bool], list[date]]:
     return out
 
 
+def moved(day: date, f: Feistel, back: bool) -> date:
+    kind = kind_of(day)
+    alike = days_by_kind()[kind]
+    return alike[f.permute(bisect_left(alike, day), len(alike), b"date%d%d" % kind, back)]
+
+
+# Fixed values.
+MONTHS = "January February March April May June July August September October November December".split()
+MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + ")"
+
+
+def named_day(m: str, f: Feistel, back: bool) -> str | None:
+    """Dates with a month's name before or behind the day; the name stays short or whole."""
+    name, year = re.search("[A-Za-z]+", m)[0], re.search(r"\d{4}$", m)[0]
+    number = re.search(r"\d+", m)[0]
+    try:
+        day = date(int(year), next(k for k, x in enumerate(MONTHS, 1) if x.startswith(name)), int(number))
+    except ValueError:
+        return None
+    if not 0 <= (day - FIRST).days < DAYS:
+        return None
+    new = moved(day, f, back)
+    month = MONTHS[new.month - 1]
+    month = month[:3] if len(name) == 3 and name != "May" else month
+    if len(name) == 3 and name == "May":  # short and whole at once: as its mark says
+        month = month[:3] if "May." in m else month
+    own = f"{new.day:02d}" if number[0] == "0" else str(new.day)
+    parts = {name: month, number: own, year: f"{new.year}"}
+    return re.sub(r"[A-Za-z]+|\d{4}$|\d+", lambda x: parts[x[0]], m)
+
+
 def calendar(m: str, f: Feistel, back: bool) -> str | None:
     """Dates: year-month-day, day.month.year, month/day/year (day/month/year where only that is one)."""
     sep = re.search(r"[-./]", m).group()
@@ -206,9 +247,7 @@ def calendar(m: str, f: Feistel, back: bool) -> str | None:
         return None
     if not 0 <= (day - FIRST).days < DAYS:
         return None
-    kind = kind_of(day)
-    alike = days_by_kind()[kind]
-    day = alike[f.permute(bisect_left(alike, day), len(alike), b"date%d%d" % kind, back)]
+    day = moved(day, f, back)
     own = [0, 0, 0]
     for value, i in zip((day.year, day.month, day.day), order, strict=True):
         own[i] = value
@@ -228,7 +267,8 @@ KINDS: list[tuple[str, str, Callable[[str, Feistel, bool], str | None]]] = [
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])", secret),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", iban),
     ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", ipv4),
-    ("date", r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d)", calendar),
+    ("date", r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?:(?=T\d{2}:\d{2})|(?![\w/-]|\.\d))", calendar),
+    ("named", rf"(?<![\w])(?:{MONTH}\.? \d{{1,2}}, \d{{4}}|\d{{1,2}}\.? {MONTH}\.? \d{{4}})(?!\w)", named_day),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     ("card", r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\w|-\d)", card),
     ("phone", r"(?<![\w])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", phone),
@@ -239,7 +279,7 @@ LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 OF = {name: f for name, _, f in KINDS}
 HINT = re.compile(rb"[0-9@]")
 #: Where a number or an IBAN may begin.
-NEAR = re.compile(r"(?:\+|\(|[A-Z]{2})?\d|(?<![0-9A-Za-z])[a-fA-F]+\d")
+NEAR = re.compile(rf"(?:\+|\(|[A-Z]{{2}})?\d|(?<![0-9A-Za-z])[a-fA-F]+\d|(?<!\w){MONTH}\.? \d")
 
 
 def pseudonyms(text: str, f: Feistel, back: bool = False) -> tuple[str, int]:

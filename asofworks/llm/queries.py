@@ -14,7 +14,7 @@ def op1_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.session_key(spark), keep=["doc_id", "text"])
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.session_key(spark, pii.OPEN_KEY), keep=["doc_id", "text"])
 
 
 def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

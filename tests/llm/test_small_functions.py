@@ -545,3 +545,17 @@ def test_tasks_compare_whole_shards_in_bounded_batches(monkeypatch):
     assert all(not x & y for i, x in enumerate(owners) for y in owners[:i])
     assert len(got) > 8 and all(b.num_rows <= 50 + 17 for b, own in zip(got, owners, strict=True) if 7 not in own)
     assert list(simhash.whole_keys(iter([]))) == []
+
+
+def test_one_day_and_one_number_in_more_writings():
+    f = pii.Feistel(b"k")
+    days = ["2020-03-04", "2020-03-04T10:00:00Z", "March 4, 2020", "4 March 2020", "4.3.2020"]
+    new = [pii.pseudonyms(t, f)[0] for t in days]
+    assert new[1] == new[0] + "T10:00:00Z"
+    year, month, day = map(int, new[0].split("-"))
+    assert new[2:] == [f"{pii.MONTHS[month - 1]} {day}, {year}", f"{day} {pii.MONTHS[month - 1]} {year}", f"{day}.{month}.{year}"]
+    assert [pii.pseudonyms(t, f, True)[0] for t in new] == days
+    trunk, plain = (pii.pseudonyms(t, f)[0] for t in ("+49 (0)30 1234567", "+49 30 1234567"))
+    assert trunk.replace("(0)", "") == plain != "+49 30 1234567"
+    for left in ("Marching 4, 2020", "March 41, 2020", "2020-03-04Txx", "May 2020", "4155551234"):
+        assert pii.pseudonyms(left, f) == (left, 0)
