@@ -65,7 +65,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null; repeated rows get equal pseudonyms.
     """
     n = free(docs, "_pseudonyms")
-    done = pii.pseudonymise(docs, pii.session_key(spark), count_out=n)
+    done = pii.pseudonymise(docs, pii.session_key(spark, pii.OPEN_KEY), count_out=n)
     return done.withColumn("n_chars", F.when(F.col(n) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(n)
 
 
