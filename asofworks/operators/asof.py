@@ -62,24 +62,37 @@ def asof(series: DataFrame, calendar: DataFrame, value: str = "close", key: str
     return asof_by_calendar(series, calendar, value, key, day, probe)
 
 
-def forward_returns(series: DataFrame, pairs: DataFrame, value: str = "close") -> DataFrame:
-    """(symbol, as_of, next_as_of, ret): value(next) / value(as_of) - 1; null where a price is missing or 0, or the first is not positive."""
+HORIZONS = (7, 30, 91, 182, 365, 730)
+
+
+def with_horizons(calendar: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """as_of: the calendar's dates, and those so many days before them: what one look-up for all returns needs."""
+    days = F.explode(F.array(F.col("as_of"), *[F.date_sub("as_of", h) for h in horizons]))
+    return calendar.select(days.alias("as_of")).distinct()
+
+
+def forward_returns(series: DataFrame, pairs: DataFrame, value: str = "close", known: DataFrame | None = None) -> DataFrame:
+    """(symbol, as_of, next_as_of, ret): value(next) / value(as_of) - 1; null where a price is missing or 0, or the first is not positive.
+
+    known: values as of all these dates, where they have been looked up already.
+    """
     days = pairs.select("as_of").union(pairs.select("next_as_of")).where("as_of IS NOT NULL").distinct()
-    prices = asof(series, days, value)
+    prices = asof(series, days, value) if known is None else known
     now = prices.select("symbol", "as_of", F.col(value).alias("_p0")).join(pairs, "as_of")
     then = prices.select("symbol", F.col("as_of").alias("next_as_of"), F.col(value).alias("_p1"))
     fine = (F.col("_p0") > 0) & (F.col("_p1") != 0)
     return now.join(then, ["symbol", "next_as_of"]).select("symbol", "as_of", "next_as_of", F.when(fine, F.col("_p1") / F.col("_p0") - 1).alias("ret"))
 
 
-def trailing_returns(series: DataFrame, calendar: DataFrame, horizons: tuple[int, ...] = (7, 30, 91, 182, 365, 730), value: str = "close") -> DataFrame:
-    """(symbol, as_of, days, ret) over the given numbers of calendar days; all horizons in one look-up. Null where a price is missing or 0, or the first is not positive."""
-    spark = series.sparkSession
-    spans = spark.createDataFrame([(h,) for h in horizons], "days int")
-    probes = calendar.select("as_of").distinct().crossJoin(F.broadcast(spans)).withColumn("_from", F.date_sub("as_of", F.col("days")))
-    days = probes.select("as_of").union(probes.select("_from")).distinct()
-    prices = asof(series, days, value)
-    now = prices.select("symbol", "as_of", F.col(value).alias("_p1")).join(F.broadcast(probes), "as_of")
+def trailing_returns(series: DataFrame, calendar: DataFrame, horizons: tuple[int, ...] = HORIZONS, value: str = "close", known: DataFrame | None = None) -> DataFrame:
+    """(symbol, as_of, days, ret) over the given numbers of calendar days; all horizons in one look-up. Null where a price is missing or 0, or the first is not positive.
+
+    known: values as of with_horizons(calendar, horizons), where they have been looked up already.
+    """
+    dates = calendar.select("as_of").distinct()
+    prices = asof(series, with_horizons(dates, horizons), value) if known is None else known
+    spans = F.explode(F.array(*[F.lit(h) for h in horizons])).alias("days")
+    now = prices.select("symbol", "as_of", F.col(value).alias("_p1")).join(dates, "as_of").select("*", spans).withColumn("_from", F.date_sub("as_of", F.col("days")))
     then = prices.select("symbol", F.col("as_of").alias("_from"), F.col(value).alias("_p0"))
     fine = (F.col("_p0") > 0) & (F.col("_p1") != 0)
     return now.join(then, ["symbol", "_from"]).select("symbol", "as_of", "days", F.when(fine, F.col("_p1") / F.col("_p0") - 1).alias("ret"))

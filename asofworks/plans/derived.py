@@ -117,9 +117,19 @@ def baskets(spark: SparkSession, d: str) -> DataFrame:
     return returns.basket_members(sectors(spark, d), backtest.open_interest(market(spark, d), months(spark, d)), FLOOR)
 
 
+@kept
+def closes(spark: SparkSession, d: str) -> DataFrame:
+    """(symbol, as_of, close, close_date) as of all months and all horizons before them: one look-up for all returns."""
+    return asof.asof(prices(spark, d), asof.with_horizons(months(spark, d)))
+
+
 @kept
 def monthly(spark: SparkSession, d: str) -> DataFrame:
-    return asof.forward_returns(prices(spark, d), pairs(spark, d))
+    return asof.forward_returns(prices(spark, d), pairs(spark, d), known=closes(spark, d))
+
+
+def trailing(spark: SparkSession, d: str, horizons: tuple[int, ...] = asof.HORIZONS) -> DataFrame:
+    return asof.trailing_returns(prices(spark, d), months(spark, d), horizons, known=closes(spark, d))
 
 
 @kept

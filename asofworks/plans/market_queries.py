@@ -118,8 +118,7 @@ def with_trailing(query_: str, *needs: str) -> str:
     return f"{base}, {WITH_TRAILING} {query_}"
 
 
-def trailing(spark, d, horizons=(7, 30, 91, 182, 365, 730)):
-    return asof.trailing_returns(D.prices(spark, d), D.months(spark, d), horizons)
+trailing = D.trailing
 
 
 @query(with_trailing("SELECT symbol, as_of, days, round(ret, 6) AS ret FROM trail"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from asofworks.operators import corpus
-from asofworks.plans import file_queries, parser_queries, registry
+from asofworks.plans import file_queries, memory_queries, parser_queries, registry, stream_queries
 from asofworks.sources import files, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -105,12 +105,12 @@ def test_corpus_joins(spark):
     assert [r["k"] for r in ranked.orderBy("place").collect()] == ["c", "b", "a"]
 
 
-@pytest.mark.parametrize("name", sorted(file_queries.QUERIES | parser_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(file_queries.QUERIES | parser_queries.QUERIES | stream_queries.QUERIES | memory_queries.ORACLES))
 def test_files_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     got = registry.queries()[name](spark, SF)
     con = duckdb.connect()
-    for t in "region nation customer supplier orders events documents pages conversations".split():
+    for t in "region nation customer supplier orders events documents pages conversations embeddings".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in want.description]
