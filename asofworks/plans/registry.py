@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import backtest_queries, file_queries, market_queries, memory_queries, parser_queries, stream_queries, text_queries
+from . import backtest_queries, file_queries, market_queries, memory_queries, parser_queries, run_queries, stream_queries, text_queries
 
 
-MODULES = (market_queries, text_queries, file_queries, backtest_queries, parser_queries, stream_queries, memory_queries)
+MODULES = (market_queries, text_queries, file_queries, backtest_queries, parser_queries, stream_queries, memory_queries, run_queries)
 
 
 def queries() -> dict:
