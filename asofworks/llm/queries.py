@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import gif, hard_negatives, host_reputation, html_text, langid, lm_mixing, packing, pieces, pii, quality_gam, quality_rules, simhash, vector_codes
 from .common import held, table
