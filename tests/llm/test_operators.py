@@ -243,6 +243,29 @@ def test_language_model_counts_all_documents(spark):
         assert (model.values[k] == values).all() and (model.less[k] == less).all()
 
 
+def test_starting_weights_come_from_all_documents(spark):
+    """Every decision of every text, by plain loops: at each gate's weights their cost is least, however texts are dealt."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["one", "two", "three", f"x{r.randrange(90)}"]) for _ in range(20)) for _ in range(120)] + ["zz " * 40 + "rare qq"] * 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm_mixing.fit(docs.repartition(5), lm_mixing.token_counts(docs), sample_docs=3)
+    again = lm_mixing.fit(docs.coalesce(1), lm_mixing.token_counts(docs))
+    assert (model.weights == again.weights).all()
+    seen = {}
+    for text in texts:
+        s = lm_model.Symbols(model.code, [text.encode()])
+        for i, leaf in enumerate(s.leaf.tolist()):
+            first = int(model.code.start[leaf])
+            for packed in model.code.packed[first : first + int(model.code.size[leaf])].tolist():
+                slot, gate, bit = lm_model.parts(packed)
+                values = [int(model.less[k][int(s.contexts[k][i] ^ slot) << 1 | bit]) * (2 * bit - 1) for k in range(lm_model.CONTEXTS)]
+                seen.setdefault(gate + int(s.place[i]), []).append([max(-15, min(15, round(v / 8))) / 2 for v in values])
+    assert len(seen) > 8
+    for gate, w in enumerate(model.weights):
+        x = np.array(seen.get(gate, [[0.0] * lm_model.CONTEXTS]))
+        assert np.abs((x / (1 + np.exp(x @ w))[:, None]).sum(axis=0) - (w - 0.3)).max() < 1e-4 * (1 + len(x))
+
+
 def test_continuations_by_brute_force(spark):
     """What batches name, counted again over all of them; and copies are told by each other."""
     r = random.Random(2)
