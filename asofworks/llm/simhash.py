@@ -194,8 +194,8 @@ def in_slices(keyed: DataFrame, columns: list[str], by: str = "fp") -> DataFrame
     return dealt
 
 
-#: Rows of whole shards that a task compares at once, about: with the slices' bound this bounds what it holds.
-HELD = 1 << 15
+#: Rows of whole shards that a task compares at once, about, and their bytes: with the slices' bound this bounds what it holds.
+HELD, HELD_BYTES = 1 << 15, 64 << 20
 
 
 def by_key(rows: DataFrame) -> DataFrame:
@@ -204,9 +204,9 @@ def by_key(rows: DataFrame) -> DataFrame:
 
 
 def whole_keys(batches):
-    """A task's rows, in order of their keys, as batches of whole keys: about HELD rows, or one key's."""
+    """A task's rows, in order of their keys, as batches of whole keys: about HELD rows or HELD_BYTES, or one key's."""
     held: list[pa.RecordBatch] = []
-    n = 0
+    n, size, wait = 0, 0, 1
 
     def joined() -> pa.RecordBatch:
         return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -215,15 +215,16 @@ def whole_keys(batches):
         if not b.num_rows:
             continue
         held.append(b)
-        n += b.num_rows
-        if n >= HELD:
+        n, size = n + b.num_rows, size + b.nbytes
+        if n >= wait * HELD or size >= wait * HELD_BYTES:
             whole = joined()
             key = np.asarray(whole.column("key"))
             before = np.flatnonzero(key != key[-1])
             cut = int(before[-1]) + 1 if len(before) else 0  # the last key may go on
             if cut:
                 yield whole.slice(0, cut)
-            held, n = [whole.slice(cut)], whole.num_rows - cut
+            held, n, size = [whole.slice(cut)], whole.num_rows - cut, whole.slice(cut).nbytes
+            wait = 1 if cut else 2 * wait  # a large key's rows are not joined again and again
     if n:
         yield joined()
 

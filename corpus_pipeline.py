@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofworks.llm import langid, packing, pii, quality_gam, simhash
-from asofworks.llm.common import checkpoint, held, table
+from asofworks.llm.common import checkpoint, held, ready, table
 
 #: Texts whose best language is less likely than this are rejected, as are those without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -56,6 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids the smallest hash of the text stays; an id with texts of several groups
     stands in each. Rows that are equal but for other columns are one document.
     """
+    ready(spark)
     return simhash.without_copies(docs.where("doc_id IS NOT NULL")).unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -64,6 +65,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null; repeated rows get equal pseudonyms.
     """
+    ready(spark)
     n = free(docs, "_pseudonyms")
     done = pii.pseudonymise(docs, pii.session_key(spark, pii.OPEN_KEY), count_out=n)
     return done.withColumn("n_chars", F.when(F.col(n) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(n)
@@ -71,6 +73,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences of the corpus: a row for each piece of a document. A null or empty text is one piece, the end token; repeated rows are packed each."""
+    ready(spark)
     return packing.pack(docs)
 
 

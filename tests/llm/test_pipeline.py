@@ -2,12 +2,13 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from asofworks.llm import langid, packing, pii, quality_gam, simhash
-from asofworks.llm.common import held, table
+from asofworks.llm.common import ARROW_ROWS, READER_ROWS, held, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -139,3 +140,21 @@ def test_stages_take_nulls_and_empty_tables(spark):
             assert out.columns == docs.columns and {tuple(r) for r in out.select(*names).distinct().collect()} == {("mine",) * len(names)}
         assert out.count() > 0
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_each_stage_readies_its_session(spark):
+    """A stage that runs alone, on documents that the one before it left, reads long texts in small batches."""
+    docs = table(spark, SF, "documents").limit(5).collect()
+    for name, stage in corpus_pipeline.STAGES:
+        own = spark.newSession()
+        stage(own, own.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+        assert (own.conf.get(ARROW_ROWS), own.conf.get(READER_ROWS)) == ("1000", "256"), name
+
+
+def test_whole_keys_hold_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(simhash, "HELD_BYTES", 10_000)
+    keys = sorted([k // 4 for k in range(400)] + [50] * 300)
+    batches = [pa.RecordBatch.from_pydict({"key": keys[a : a + 7], "text": ["x" * 500] * len(keys[a : a + 7])}) for a in range(0, len(keys), 7)]
+    found = [b.column("key").to_pylist() for b in simhash.whole_keys(iter(batches))]
+    assert sum(found, []) == keys and sum(len(set(x)) for x in found) == 100  # every row once, no key in two batches
+    assert max(len(x) for x in found if 50 not in x) * 500 < 20_000
