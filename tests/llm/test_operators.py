@@ -312,3 +312,35 @@ def test_pages(spark):
     got = {r["page_id"]: r["text"] for r in out.collect()}
     assert out.count() == len(data) and got[4] == "Title 4\nOne & two.\nFour" and got[50] == got[51] == "" and got[None] == "a"
     assert html_text.extract(pages.limit(0), html_text.fit(pages.limit(0))).count() == 0
+
+
+def test_spelled_words_are_counted_once_a_distinct_word(spark):
+    """Tables and weights equal those of all symbols of all texts; of rare words only the ends are read again with each text."""
+    r = random.Random(9)
+    rare = [f"q{k}é" for k in range(60)] + ["y" * 70, "Z" * 90 + "x"]  # twice each, or too long for a symbol of its own
+    texts = [" ".join(r.choice(["one", "two", "three"]) for _ in range(9)) + " ".join(["", *r.sample(rare, 3)]) + r.choice(["", "\n", " ", "\t\n"]) for _ in range(40)] + ["", " ", *["y" * 70] * 4]
+    training = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string").repartition(3)
+    counts = lm_mixing.token_counts(training).cache()
+    model = lm_mixing.fit(training, counts)
+    code, raw = model.code, [t.encode() for t in texts]
+    spelled = Counter({bytes(x["token"]): x["c"] for x in counts.collect() if x["token"][:1] != b" " and bytes(x["token"]) not in code.atoms})
+    assert spelled[b"y" * 70] > 3 and len(spelled) > 2 and max(spelled.values()) > 1
+    whole, ends = lm_model.Symbols(code, raw), lm_model.Symbols(code, raw, inner=False)
+    words = lm_model.Spellings(code, list(spelled), np.array(list(spelled.values())))
+    total = Counter()
+    for s, n in ((ends, [1] * len(ends.leaf)), (words, words.times.tolist())):
+        for *x, k in zip(s.leaf.tolist(), s.place.tolist(), *(c.tolist() for c in s.contexts), n, strict=True):
+            total[tuple(x)] += k
+    assert total == Counter(zip(whole.leaf.tolist(), whole.place.tolist(), *(c.tolist() for c in whole.contexts), strict=True))
+    assert len(ends.leaf) + len(words.leaf) < 0.8 * len(whole.leaf)
+    all_counts = np.zeros((lm_model.CONTEXTS, 2 * lm_model.SLOTS), np.int32)
+    lm_model.count_into(all_counts, code, raw)
+    for k in range(lm_model.CONTEXTS):
+        values, less = lm_model.tables(all_counts[k])
+        assert (model.values[k] == values).all() and (model.less[k] == less).all()
+    cells = np.zeros(lm_model.GATES * lm_model.CELLS, np.int64)
+    lm_model.cells_into(cells, code, lm_model.levels(model.less), whole)
+    for gate in range(lm_model.GATES):
+        own = cells[gate * lm_model.CELLS : (gate + 1) * lm_model.CELLS]
+        at = np.flatnonzero(own)
+        assert (model.weights[gate] == (np.round(lm_model.gate_weights(at, own[at]), 9) if len(at) else 0.3)).all()
