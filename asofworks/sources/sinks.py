@@ -34,10 +34,19 @@ def missing(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def save_once(rows: DataFrame, path: str, keys: list[str], kind: str = "parquet") -> int:
-    """Appends the rows whose keys the table at path lacks, one for each key, and says how many; nothing that is there is written again."""
+def save_once(rows: DataFrame, path: str, keys: list[str], kind: str = "parquet", order: str | None = None) -> int:
+    """Appends the rows whose keys the table at path lacks, one for each key, and says how many; nothing that is there is written again.
+
+    Of several rows of a key that with the least order stays (a column that is
+    not written); without an order they must be equal, else any one stays.
+    """
     spark = rows.sparkSession
-    own = rows.dropDuplicates(keys)
+    if order:
+        first = F.min_by(F.struct(*[c for c in rows.columns if c != order]), F.struct(F.col(order).isNull(), order))  # rows without an order last
+        own = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(first.alias("_x")).select("_x.*")
+        rows = rows.drop(order)
+    else:
+        own = rows.dropDuplicates(keys)
     if exists(spark, path):
         own = missing(own, spark.read.format(kind).schema(rows.schema).load(path), keys)
     before = count(spark, path, rows, kind)
