@@ -286,7 +286,7 @@ def test_titles_that_end_within_a_reference(spark, tmp_path):
     assert got == want and dict(got)[1] == "cut off &amp"
 
 
-@pytest.mark.parametrize("name", ["citation_parse"])
+@pytest.mark.parametrize("name", ["citation_parse", "citation_parse_whole"])
 def test_citations_of_odd_rows(spark, tmp_path, name):
     texts = ["plain", "", None, '"', 'a "b" c', "[x] y ]", "null", "%s %d \\ $1", "two\nlines", "\U0001f600"]
     rows = [(i, t, s) for i, (t, s) in enumerate((t, s) for t in texts for s in ("web", "", None, 'a "source"', '[d] "q"'))] + [(None, "x", "web"), (3, "again", "web"), (3, "again", "web")]
