@@ -304,6 +304,17 @@ def test_continuations_by_brute_force(spark):
     assert max(out[k] for k in twice) < 0.5 * min(others)
 
 
+def test_continuations_are_counted_over_the_whole_corpus(spark):
+    """What is no batch's most frequent continuation may be that of the corpus, and none of its occurrences is left out."""
+    parts = {0: "aa " * 5 + "zz " * 3, 1: "bb " * 5 + "zz " * 3, 2: "cc " * 4 + "zz " * 3 + "aa"}
+    rows = [(f"one two three four {word}", False, batch) for batch, words in parts.items() for word in words.split()]
+    docs = spark.createDataFrame([*rows, ("one two three four what", True, 2), ("one two three four what", True, 3)], "text string, held_out boolean, batch int")
+    code = lm_model.Code.of([], 1, [1] * 7, [1] * 7, [[1] * 256] * 3)
+    shared = spark.sparkContext.broadcast(lm_model.Model(code, None, None, None, None, None, n_tokens=1))
+    got = sorted((r["batch"], r["n"], bytes(r["code"])[4:6]) for r in lm_mixing.continuations(docs.repartitionById(4, "batch"), shared).collect())
+    assert got == [(b, n, word) for b in range(4) for n, word in ((6, b"aa"), (9, b"zz"))]
+
+
 def test_pages(spark):
     page = "<html><nav><a href=1>Home</a></nav><article><h1>Title {0}</h1><p>One &amp; two.<p>Four</article><footer>c</footer>"
     data = [(i, "u", page.format(i), "x") for i in range(30)] + [(50, None, None, "x"), (51, "u", "", "x"), (None, "u", "<p>a", "x"), (3, "u", page.format(3), "x")]
