@@ -5,10 +5,12 @@ from datetime import date, datetime
 from difflib import SequenceMatcher
 from time import process_time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from asofworks.functions import text as X
+from asofworks.functions import windows
 from asofworks.operators import audit, evidence, prefix, reconcile
 from asofworks.plans import registry
 from asofworks.streaming import events as S
@@ -292,3 +294,60 @@ def test_citations_of_odd_rows(spark, tmp_path, name):
     rows = [(i, t, s) for i, (t, s) in enumerate((t, s) for t in texts for s in ("web", "", None, 'a "source"', '[d] "q"'))] + [(None, "x", "web"), (3, "again", "web"), (3, "again", "web")]
     got, want = against_sql(spark, tmp_path, name, documents=spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert got == want and len(want) == 2 * len(rows)
+
+
+def test_longest_common_subsequence_in_a_band():
+    r = random.Random(3)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    seen = 0
+    for m in [1, 2, 5, 20, 60, 150, 300] * 20:
+        quotes = np.array([[r.randrange(4) for _ in range(m)] for _ in range(2)], np.uint8)
+        own = []
+        for _ in range(6):
+            w = [int(c) for c in quotes[1] if r.random() > 0.08]
+            for _ in range(r.randrange(12)):
+                w.insert(r.randrange(len(w) + 1), r.randrange(4))
+            own.append(w[: m + 10])
+        own = [w for w in own if windows.least_matched(m, np.array([len(w)]), 0.85)[0] <= min(m, len(w))]
+        if not own:
+            continue
+        size = np.array([len(w) for w in own])
+        need = windows.least_matched(m, size, 0.85)
+        columns = np.full((size.max(), len(own)), 256, np.uint16)
+        for i, w in enumerate(own):
+            columns[: len(w), i] = w
+        got = windows.subsequence(quotes, np.ones(len(own), int), columns, need, size)
+        for w, n, found in zip(own, need.tolist(), got.tolist(), strict=True):
+            want = plain(quotes[1].tolist(), w)
+            seen += want >= n
+            assert found == want if want >= n else found <= want
+    assert seen > 200
+
+
+@pytest.mark.parametrize("by", [["who"], []])
+def test_windows_are_compared_by_blocks(spark, by, monkeypatch):
+    """Groups of many blocks, and nothing that all tasks or the driver hold."""
+    texts, quotes = quote_cases()
+    who = lambda i: None if i % 11 == 10 else 7 if i % 5 else i % 3
+    corpus = spark.createDataFrame([(who(i), i, t) for i, t in enumerate(texts)], "who int, doc_id long, text string")
+    own = spark.createDataFrame([(who(i), i, q) for i, q in enumerate(quotes)], "who int, quote_id long, quote string")
+    want = {tuple(r) for r in audit.similar_windows(own, corpus, by).collect()}
+    monkeypatch.setattr(audit, "QUOTE_BLOCK", 500)
+    monkeypatch.setattr(audit, "TEXT_BLOCK", 900)
+    monkeypatch.setattr(windows, "STEP", 300)
+    monkeypatch.setattr(windows, "FEW", 0)
+    found = audit.similar_windows(own, corpus, by)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 20
+    if not by:
+        assert "Broadcast" not in found._jdf.queryExecution().toString()
+    monkeypatch.setattr(audit, "BROADCAST_RUNS", 0)
+    assert {tuple(r) for r in audit.similar_windows(own, corpus, by).collect()} == want
