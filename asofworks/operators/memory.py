@@ -6,23 +6,32 @@ rows that were known at its date, and ranks those by their exact similarity.
 A second look takes every cell that could still hold a better
 row (a row is no nearer than its centre less the cell's radius), so nothing is
 missed; exact=False leaves it out. A cell with many rows is dealt over salts, so that no task holds it all.
+Similarities are matrix products of such blocks; those near the best are summed
+up again component by component, so that equal vectors score equally.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .storage import saved
 
-#: Rows of a cell that one task compares, about.
+#: Rows of a cell and queries that one task compares, about, and pairs whose similarity it holds at once.
 ROWS_A_SALT = 50_000
+QUERIES_A_PART = 20_000
+PAIRS = 1 << 21
+#: Similarities by blocks differ by less from those that rank.
+ROUNDING = 1e-9
 
 
 @dataclass
@@ -73,9 +82,9 @@ def distances(cells: Cells) -> object:
 
 
 def index(memory: DataFrame, cells: Cells, vector: str = "vector") -> tuple[DataFrame, Cells]:
-    """memory with _u (the vector at length 1) and _cell, of all rows that have a direction; and cells with their radius and rows."""
+    """memory with _v (the vector) and _cell, of all rows that have a direction; and cells with their radius and rows."""
     d = distances(cells)
-    rows = memory.where(whole(vector)).withColumn("_u", unit(vector)).withColumn("_d", d("_u"))
+    rows = memory.where(whole(vector)).withColumn("_v", F.col(vector)).withColumn("_d", d(unit(vector)))
     rows = saved(rows.withColumn("_away", F.array_min("_d")).withColumn("_cell", F.array_position("_d", F.array_min("_d")).cast("int") - 1).drop("_d"))
     n = len(cells.centres)
     radius, count = np.zeros(n), np.zeros(n, np.int64)
@@ -84,14 +93,71 @@ def index(memory: DataFrame, cells: Cells, vector: str = "vector") -> tuple[Data
     return rows, Cells(cells.centres, radius, count)
 
 
-def compared(asked: DataFrame, rows: DataFrame, cells: Cells, key: str, day: str) -> DataFrame:
-    """(query_id, key, score): each query with the rows of its cells (_cells) that were known at its t."""
-    salts = F.array(*[F.lit(max(1, -(-int(n) // ROWS_A_SALT))) for n in cells.rows])
-    of = lambda c: F.get(salts, c)
-    own = asked.select("query_id", "t", "_q", F.explode("_cells").alias("_cell")).withColumn("_salt", F.explode(F.sequence(F.lit(0), of(F.col("_cell")) - 1)))
-    held = rows.select(key, day, "_u", "_cell").withColumn("_salt", F.pmod(F.xxhash64(key), of(F.col("_cell"))).cast("int"))
-    both = own.join(held, ["_cell", "_salt"]).where(F.col(day) <= F.col("t"))
-    return both.select("query_id", key, F.aggregate(F.zip_with("_q", "_u", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score"))
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(vectors.combine_chunks().flatten(), dtype=np.float64).reshape(len(vectors), -1)
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of equal places, summed up in the order of the components, as SQL does: equal vectors have equal scores wherever they stand."""
+    both, left, right = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        both += x * y
+        left += x * x
+        right += y * y
+    return np.clip(both / np.sqrt(left * right), -1, 1)
+
+
+def nearest(asked: np.ndarray, t: np.ndarray, held: np.ndarray, day: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of queries, places of rows, scores) of each query's k most similar rows with a day up to its t; ties by place."""
+    one = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    order = np.argsort(day, kind="stable")
+    known, units, turned = np.searchsorted(day[order], t, side="right"), one(held)[order].T, one(asked)
+    by_day, wide = np.argsort(-known, kind="stable"), max(1, PAIRS // max(1, len(held)))
+    for at in range(0, len(asked), wide):
+        some = by_day[at : at + wide]
+        n = int(known[some].max(initial=0))
+        if not n:
+            return
+        score = turned[some] @ units[:, :n]
+        score[np.arange(n) >= known[some][:, None]] = -9
+        least = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(some), -5.0)
+        q, r = np.nonzero(score >= np.maximum(least - ROUNDING, -5)[:, None])
+        row = order[r]
+        exact = np.concatenate([cosines(asked[some[q[a : a + PAIRS // 64]]], held[row[a : a + PAIRS // 64]]) for a in range(0, len(q), PAIRS // 64)])
+        ranked = np.lexsort((row, -exact, q))
+        q, row, exact = q[ranked], row[ranked], exact[ranked]
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+        yield some[q[keep]], row[keep], exact[keep]
+
+
+def compared(asked: DataFrame, rows: DataFrame, cells: Cells, key: str, day: str, k: int) -> DataFrame:
+    """(query_id, key, score): of each query and each of its cells (_cells) the k most similar rows that were known at its t.
+
+    A task holds some rows of a cell and some of the queries that look there.
+    """
+    salted = [max(1, -(-int(n) // ROWS_A_SALT)) for n in cells.rows]
+    parts = max(1, -(-asked.count() // QUERIES_A_PART))
+    salts, first = (F.array(*[F.lit(int(x)) for x in own]) for own in (salted, np.cumsum(salted) - salted))
+    task = ((F.get(first, F.col("_cell")) + F.col("_salt")) * parts + F.col("_part")).cast("int").alias("_task")
+    own = asked.select("query_id", "t", "_q", F.explode("_cells").alias("_cell")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.get(salts, F.col("_cell")) - 1)))
+    own = own.withColumn("_part", F.pmod(F.xxhash64("query_id", "_q"), F.lit(parts))).select("query_id", "t", "_q", task)
+    held = rows.where(F.col(day).isNotNull()).select(F.col(key).alias("_key"), F.col(day).alias("_day"), "_v", "_cell").withColumn("_salt", F.pmod(F.xxhash64("_key"), F.get(salts, F.col("_cell"))))
+    held = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("_key", "_day", "_v", task)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.filter(left.column("t").is_valid()), right.take(pa.compute.sort_indices(right, sort_keys=[("_key", "ascending")], null_placement="at_start"))
+        found = []
+        if len(left) and len(right):
+            days = pa.concat_arrays([*left.column("t").cast(right.schema.field("_day").type).chunks, *right.column("_day").chunks])
+            order = pa.compute.rank(days, tiebreaker="dense").to_numpy()
+            found = list(nearest(matrix(left.column("_q")), order[: len(left)], matrix(right.column("_v")), order[len(left) :], k))
+        q, r, score = (np.concatenate([x[i] for x in found] or [np.zeros(0, int)]) for i in range(3))
+        return pa.table([left.column("query_id").take(pa.array(q)), right.column("_key").take(pa.array(r)), pa.array(score, pa.float64())], names=["query_id", key, "score"])
+
+    schema = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField(key, rows.schema[key].dataType), StructField("score", DoubleType())])
+    tasks = max(1, sum(salted) * parts)
+    return own.repartitionById(tasks, "_task").groupBy("_task").cogroup(held.repartitionById(tasks, "_task").groupBy("_task")).applyInArrow(lambda left, right: meet(left, right), schema)
 
 
 def best(found: DataFrame, key: str, k: int) -> DataFrame:
@@ -105,10 +171,10 @@ def search(queries: DataFrame, rows: DataFrame, cells: Cells, k: int = 10, probe
     rows, cells: as index returns them. Queries without a direction find nothing.
     """
     d = distances(cells)
-    asked = queries.where(whole("vector")).select("query_id", "t", unit("vector").alias("_q")).withColumn("_d", d("_q"))
+    asked = queries.where(whole("vector")).select("query_id", "t", F.col("vector").alias("_q"), d(unit("vector")).alias("_d"))
     ordered = F.transform(F.sort_array(F.transform("_d", lambda x, i: F.struct(x.alias("d"), i.alias("cell")))), lambda s: s["cell"])
-    asked = asked.withColumn("_cells", F.slice(ordered, 1, probes))
-    found = best(compared(asked, rows, cells, key, day), key, k)
+    asked = saved(asked.withColumn("_cells", F.slice(ordered, 1, probes)))
+    found = best(compared(asked, rows, cells, key, day, k), key, k)
     if not exact:
         return found.select("query_id", key, "score", "rank")
     found = saved(found)
@@ -118,4 +184,4 @@ def search(queries: DataFrame, rows: DataFrame, cells: Cells, k: int = 10, probe
     radius = F.array(*[F.lit(float(x)) for x in cells.radius])
     rest = F.filter(F.transform("_d", lambda x, i: F.when(~F.array_contains("_cells", i) & (x - F.get(radius, i) <= far), i)), lambda i: i.isNotNull())
     again = asked.join(worst, "query_id", "left").withColumn("_more", rest).select("query_id", "t", "_q", F.col("_more").alias("_cells"))
-    return best(found.select("query_id", key, "score").unionByName(compared(again, rows, cells, key, day)), key, k).select("query_id", key, "score", "rank")
+    return best(found.select("query_id", key, "score").unionByName(compared(again, rows, cells, key, day, k)), key, k).select("query_id", key, "score", "rank")

@@ -68,6 +68,30 @@ def test_memory_of_odd_rows(spark):
     assert none.count() == 0 and len(empty.centres) == 0
 
 
+def test_memory_by_blocks(spark, monkeypatch):
+    """Blocks of few rows and queries; copies and multiples of a vector tie by the smaller key, bit for bit as SQL sums; null days and empty memories."""
+    r = np.random.default_rng(4)
+    base = r.normal(size=(40, 7)).astype(np.float32)
+    rows = [(i, (base[i % 40] * (1 if i % 3 else 4)).tolist(), D(2024, 1, 1 + i % 9) if i % 13 else None) for i in range(400)]
+    m = spark.createDataFrame(rows, "id long, vector array<float>, day date")
+    asked = m.where("id % 5 = 0").select(F.col("id").alias("query_id"), "vector", F.col("day").alias("t"))
+
+    def cosine(a, b):
+        x = y = z = 0.0
+        for p, q in zip(a, b, strict=True):
+            x, y, z = x + p * q, y + p * p, z + q * q
+        return max(-1.0, min(1.0, x / math.sqrt(y * z)))
+
+    want = {(i, n + 1, j) for i, v, t in rows if i % 5 == 0 and t for n, (_, j) in enumerate(sorted((-cosine(v, w), j) for j, w, day in rows if day and day <= t)[:10])}
+    monkeypatch.setattr(memory, "QUERIES_A_PART", 30)
+    monkeypatch.setattr(memory, "ROWS_A_SALT", 25)
+    monkeypatch.setattr(memory, "PAIRS", 640)
+    held, cells = memory.index(m, memory.fit(m, cells=6))
+    assert {(x["query_id"], x["rank"], x["id"]) for x in memory.search(asked, held, cells, probes=2).collect()} == want
+    none, empty = memory.index(m.where("false"), memory.fit(m.where("false")))
+    assert memory.search(asked, none, empty).count() == 0
+
+
 def test_hot_cells_are_dealt(spark, vectors, monkeypatch):
     want = nearest(vectors)
     rows, cells = memory.index(vectors, memory.fit(vectors, cells=2))
